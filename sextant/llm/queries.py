@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import token_output, url_filter
+from sextant.llm import chunks, mixing, simhash, token_output, url_filter
 from sextant.llm.common import shared_dir, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -41,10 +41,26 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+def op9_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_token_output": op2_token_output,
         "op3_url_filter": op3_url_filter,
+        "op4_source_mixing": op4_source_mixing,
+        "op9_simhash_covering": op9_simhash_covering,
+        "op10_chunk_fingerprint": op10_chunk_fingerprint,
     }
 
 
