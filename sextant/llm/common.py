@@ -82,3 +82,17 @@ def order_buckets(df: DataFrame, key: str, count: int, name: str = "bucket") ->
 def by_bucket(df: DataFrame, count: int, *order: Column, name: str = "bucket") -> DataFrame:
     """One partition for each bucket, sorted."""
     return df.repartitionById(count, F.col(name)).sortWithinPartitions(name, *order)
+
+
+#: Tables that are joined by broadcast have this many rows at most; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it is small enough (counted first; ``df`` should be cheap to read twice)."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def in_fold(key: Column, parts: int, part: int) -> Column:
+    """Whether crc32 of the key as text leaves ``part`` modulo ``parts``; false for a null key."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import ascii_lower, settle
+from sextant.llm.common import ascii_lower, bounded, settle
 
 #: Between words: every ASCII character other than digits and lower-case letters (A-Z are lower-cased before).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark shingles are broadcast up to this many (16 bytes each); beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -32,11 +30,6 @@ def _shingles(words: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size))))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def windows_of(items: DataFrame, width: int = 10) -> DataFrame:
     """(item_id, window, length): window is its words joined by spaces, which no word contains."""
     words, n = F.col("words"), F.size("words")
@@ -76,14 +69,14 @@ def contaminated_by(docs: DataFrame, items: DataFrame, width: int = 10, shingle:
         for q in sizes:
             one = pieces.select("doc_id", F.size("words").alias("n"), F.posexplode(_shingles(F.col("words"), q)).alias("pos", "token"))
             at = one if at is None else at.unionByName(one)
-        seen = settle(at.join(_bounded(needed.select("token").distinct()), "token"), "occurrences")
+        seen = settle(at.join(bounded(needed.select("token").distinct()), "token"), "occurrences")
         counts = seen.groupBy("token").agg(F.count("*").alias("n"))
         rarity = needed.join(counts, "token", "left").groupBy("window", "length").agg(
             F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("prefix")
         )
         prefixes = rarity.where("prefix.n > 0").select("window", "length", "prefix.token", "prefix.offset")
         start = F.col("pos") - F.col("offset")
-        placed = seen.join(_bounded(settle(prefixes, "prefixes")), "token").where((start >= 0) & (start + F.col("length") <= F.col("n")))
+        placed = seen.join(bounded(settle(prefixes, "prefixes")), "token").where((start >= 0) & (start + F.col("length") <= F.col("n")))
         found = placed.groupBy("doc_id").agg(F.collect_set(F.struct(start.alias("start"), "length", "window")).alias("places"))
 
     texts = docs.select("doc_id", "text")

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chunks, decontaminate, mixing, simhash, token_output, url_filter
-from sextant.llm.common import shared_dir, table
+from sextant.llm import chunks, decontaminate, html_text, language_id, mixing, simhash, token_output, url_filter
+from sextant.llm.common import in_fold, shared_dir, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -65,6 +65,17 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """.replace("\\\\", "\\")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = in_fold(F.col("doc_id"), 3, 1)
+    model = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -80,6 +91,8 @@ def queries() -> dict:
         "op3_url_filter": op3_url_filter,
         "op4_source_mixing": op4_source_mixing,
         "op5_decontaminate": op5_decontaminate,
+        "op6_html_text": op6_html_text,
+        "op7_language_id": op7_language_id,
         "op9_simhash_covering": op9_simhash_covering,
         "op10_chunk_fingerprint": op10_chunk_fingerprint,
     }

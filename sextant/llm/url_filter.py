@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.common import _LOWER, _UPPER
@@ -58,6 +58,15 @@ def longest(trie: dict, host: str, path: str) -> tuple[str, str] | None:
     return (best[1], best[2]) if best else None
 
 
+def split_url(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path of a URL; both empty if it is null or has no ``://``."""
+    whole = F.coalesce(url, F.lit(""))
+    at = F.instr(whole, "://")
+    rest = F.when(at > 0, F.substr(whole, at + 3)).otherwise("")
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    return F.translate(host, _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+
+
 def filter_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` (columns of these names are replaced).
 
@@ -75,12 +84,9 @@ def filter_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default:
             found = [longest(trie.value, h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
 
-    whole = F.coalesce(F.col(url), F.lit(""))
-    rest = F.when(F.instr(whole, "://") > 0, F.expr("substring(coalesce(`{0}`, ''), instr(coalesce(`{0}`, ''), '://') + 3)".format(url.replace("`", "``")))).otherwise("")
-    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
-    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    host, path = split_url(F.col(url))
     return (
-        df.withColumns({"host": F.translate(host, _UPPER, _LOWER), "path": path})
+        df.withColumns({"host": host, "path": path})
         .withColumn("_judged", judge("host", "path"))
         .withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")})
         .drop("_judged")
