@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chunks, decontaminate, html_text, language_id, mixing, simhash, token_output, url_filter
+from sextant.llm import chunks, decontaminate, html_text, language_id, mixing, simhash, substring_dedup, token_output, url_filter
 from sextant.llm.common import in_fold, shared_dir, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -19,6 +19,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM docs WHERE len(w) >= 13)),
+dup AS (SELECT doc_id, i FROM wins JOIN (SELECT win, min(doc_id) AS first FROM wins GROUP BY win) USING (win) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(generate_series(i, i + 12)) AS p FROM dup) GROUP BY doc_id),
+kept AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE kept END AS t FROM docs LEFT JOIN gone USING (doc_id)
+  LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs) AS a
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(ps) AS p FROM gone) AS b WHERE b.doc_id = a.doc_id AND b.p = a.p) GROUP BY doc_id) USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept
+"""
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=1)
@@ -87,6 +105,7 @@ def op10_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_token_output": op2_token_output,
         "op3_url_filter": op3_url_filter,
         "op4_source_mixing": op4_source_mixing,
@@ -99,4 +118,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL}
