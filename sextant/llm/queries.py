@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chunks, decontaminate, html_text, language_id, mixing, simhash, substring_dedup, token_output, url_filter
+from sextant.llm import chunks, decontaminate, html_text, language_id, lm_score, mixing, simhash, substring_dedup, token_output, url_filter
 from sextant.llm.common import in_fold, shared_dir, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -94,6 +94,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score_documents(docs, in_fold(F.col("doc_id"), 7, 2), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -112,6 +117,7 @@ def queries() -> dict:
         "op5_decontaminate": op5_decontaminate,
         "op6_html_text": op6_html_text,
         "op7_language_id": op7_language_id,
+        "op8_lm_score": op8_lm_score,
         "op9_simhash_covering": op9_simhash_covering,
         "op10_chunk_fingerprint": op10_chunk_fingerprint,
     }
