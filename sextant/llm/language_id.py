@@ -8,12 +8,12 @@ of the set, less a penalty for each language, rises.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Trigrams are hashed to this many cells.
@@ -113,21 +113,18 @@ def proportions(model: Model, cells: np.ndarray, counts: np.ndarray, rounds: int
     return dict(zip(chosen, share.tolist(), strict=True))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``lang_pred`` (a learned language, or ``und``) and ``score`` (its proportion, 0 for ``und``).
+def classifier(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to a struct: ``lang_pred`` (a learned language, or ``und``), ``score`` (its proportion).
 
-    A null text, one without any letter, and any text if nothing was learned are ``und``. Only
-    ``text`` is read; other columns pass through (those of these two names are replaced).
+    A null text, one without any letter, and any text if nothing was learned are ``und`` with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def one(text: str | None) -> tuple[str, float]:
         known = shared.value
         if not text or not known.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         cells, counts = grams(text)
-        if not len(cells):
-            return UNKNOWN, 0.0
         found = proportions(known, cells, counts)
         pick = max(found, key=lambda k: (found[k], -k))
         return known.languages[pick], min(1.0, found[pick])
@@ -137,4 +134,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_judged", judge("text")).withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
+    return judge
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """Add ``lang_pred`` and ``score`` to every row; columns that have these names are replaced, others pass through."""
+    judged = docs.withColumn("_judged", classifier(docs.sparkSession, model)(F.col("text")))
+    return judged.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
