@@ -218,14 +218,21 @@ def loose_date(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(t, F.lit("d MMMM yyyy")), F.try_to_timestamp(t, F.lit("d MMM yyyy"))).cast("date")
 
 
+# Titles that stand for none.
+PLACEHOLDERS = (r"(?i)documents\.gov\.lk", r"(?i)can be downloaded", r"(?i)^this act\b", r"(?i)^untitled$", r"(?i)^pdf document$")
+
+
 def is_placeholder_title(title: Column) -> Column:
-    """Titles that stand for none: empty, "untitled", a bare number or file-like name."""
-    t = F.lower(squeeze(title))
-    return t.isin("", "untitled", "untitled act", "act", "unknown") | t.rlike(r"^[\d\s._-]+$") | t.rlike(r"\.pdf$")
+    t = F.coalesce(F.trim(title), F.lit(""))
+    out = F.length(t) < 4
+    for p in PLACEHOLDERS:
+        out = out | t.rlike(p)
+    return out
 
 
 def display_title(title: Column, number: Column, year_: Column, file_name: Column) -> Column:
-    """The title, else "Act No. n of y", else the file's stem with blanks, else "Untitled Act"."""
+    """The title, else what is known of number and year, else the file's stem with blanks, else "Untitled Act"."""
     stem = F.trim(F.regexp_replace(F.regexp_replace(file_name, r"(?i)\.pdf$", ""), r"[_-]+", " "))
-    cited = F.concat(F.lit("Act No. "), number.cast("string"), F.lit(" of "), year_.cast("string"))
-    return F.coalesce(F.when(~is_placeholder_title(title), squeeze(title)), cited, F.nullif(stem, F.lit("")), F.lit("Untitled Act"))
+    n, y = F.nullif(number.cast("string"), F.lit("")), F.nullif(year_, F.lit(0)).cast("string")
+    cited = F.coalesce(F.concat(F.lit("Act No. "), n, F.lit(" of "), y), F.concat(F.lit("Act No. "), n), F.concat(F.lit("Act of "), y))
+    return F.coalesce(F.when(~is_placeholder_title(title), F.trim(title)), cited, F.when(F.length(stem) > 3, stem), F.lit("Untitled Act"))
