@@ -13,6 +13,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Patterns and word lists that results depend on.
 ACT_NUMBER = r"(?i)\bNo\.?\s*(\d+[A-Z]?)\s+of\s+(\d{4})\b"
@@ -36,18 +37,18 @@ RELATIONSHIP_WORDS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity (0 to 1); null if either side is."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def entities(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unescape(t))
 

@@ -1,11 +1,885 @@
-"""The registered queries of the engine and their DuckDB counterparts."""
+"""The registered queries of the engine, each over its whole tables, and their DuckDB counterparts.
+
+Keys follow the operator inventory; the comment above a query names what it covers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sextant import schemas
+from sextant.functions import scoring as M
+from sextant.functions import text as X
+from sextant.operators import catalog, documents, evaluation, exports, graph, mapping, search, state
+from sextant.operators import intent as Q
+from sextant.operators import visibility as V
+from sextant.sources import bindings as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+# The bindings of sextant.sources.bindings in SQL.
+ACTS = """acts AS (SELECT doc_id AS id, substr(text, 1, 40) AS title, (doc_id % 50)::VARCHAR AS act_number, (1978 + doc_id % 48)::INTEGER AS year, source AS category, lang, text AS raw_text,
+  CASE quality WHEN 1 THEN 'VERIFIED' WHEN 0 THEN 'PROCESSED' ELSE 'UPLOADED' END AS processing_status FROM documents LEFT JOIN labels USING (doc_id))"""
+SECTIONS = """sections AS (SELECT conv_id AS act_id, turn AS sort_order, role AS heading, text,
+  CASE (conv_id + turn) % 4 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'NEEDS_REVIEW' ELSE 'REJECTED' END AS verification_status FROM conversations)"""
+REFS = """refs AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS source, CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey % 10 END AS target,
+  CASE l_returnflag WHEN 'A' THEN 'AMENDS' WHEN 'N' THEN 'REFERS_TO' ELSE 'REPEALS' END AS relationship,
+  CASE l_linestatus WHEN 'F' THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS verification_status, l_discount * 10 AS confidence, l_shipdate AS created_at FROM lineitem)"""
+EDGES = REFS + """, edges AS (SELECT source, target, relationship AS label, count(*) AS n, bool_or(verification_status <> 'VERIFIED') AS pending
+  FROM refs WHERE target IS NOT NULL AND source <> target GROUP BY ALL)"""
+VECTORS = "vecs AS (SELECT vec_id AS section_id, label AS act_id, embedding::DOUBLE[] AS embedding FROM embeddings)"
+FORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- filters ---------------------------------------------------------------------------------
+
+
+# FLT-01, FLT-20, SRC-01
+@query(f"WITH {ACTS} SELECT id, year, processing_status FROM acts WHERE processing_status IN ('PROCESSED', 'VERIFIED')")
+def flt_role_visibility(spark, d):
+    return T.acts(spark, d).where(V.acts("LAWYER", F.col("processing_status"))).select("id", "year", "processing_status")
+
+
+# FLT-02, FLT-27
+@query(f"WITH {SECTIONS} SELECT act_id, sort_order FROM sections WHERE verification_status = 'VERIFIED'")
+def flt_section_visibility(spark, d):
+    return T.sections(spark, d).where(V.sections("GENERAL_USER", F.col("verification_status"))).select("act_id", "sort_order")
+
+
+# FLT-03, FLT-26
+@query(f"WITH {REFS} SELECT l_orderkey, l_linenumber, l_partkey, source FROM refs WHERE verification_status = 'VERIFIED' AND target IS NOT NULL")
+def flt_reference_visibility(spark, d):
+    r = T.references(spark, d)
+    return r.where(V.references("GENERAL_USER", F.col("verification_status"), F.col("target").isNotNull())).select("l_orderkey", "l_linenumber", "l_partkey", "source")
+
+
+# FLT-05, FLT-22, FLT-23
+@query(f"WITH {ACTS} SELECT id, title FROM acts WHERE year = 2001 AND category ILIKE '%src1%'")
+def flt_metadata(spark, d):
+    return T.acts(spark, d).where(V.metadata(year=2001, category="src1")).select("id", "title")
+
+
+# FLT-06
+@query(f"WITH {ACTS} SELECT id FROM acts WHERE title ILIKE '%the%' OR category ILIKE '%the%' OR raw_text ILIKE '%the%'")
+def flt_ilike_or(spark, d):
+    a = T.acts(spark, d)
+    return a.where(search._any(*(search._like(c, "the") for c in ("title", "category", "raw_text")))).select("id")
+
+
+# FLT-11
+@query(f"WITH {SECTIONS} SELECT act_id, sort_order, verification_status FROM sections WHERE verification_status IN ('VERIFIED', 'PENDING', 'NEEDS_REVIEW')")
+def flt_verified_pending(spark, d):
+    return T.sections(spark, d).where(V.verification("verified_pending", F.col("verification_status"))).select("act_id", "sort_order", "verification_status")
+
+
+# FLT-10, FLT-28
+@query(f"WITH {REFS} SELECT count(*) FILTER (WHERE target IS NOT NULL) AS mapped, count(*) FILTER (WHERE target IS NULL) AS unresolved FROM refs")
+def flt_mapped_unresolved(spark, d):
+    m = F.col("target").isNotNull()
+    return T.references(spark, d).agg(F.count_if(V.mapped_status("mapped", m)).alias("mapped"), F.count_if(V.mapped_status("unresolved", m)).alias("unresolved"))
+
+
+# FLT-13
+@query(f"WITH {REFS} SELECT relationship, count(*) AS n FROM refs WHERE source = 3 OR target = 3 GROUP BY 1")
+def flt_scope_direction(spark, d):
+    r = T.references(spark, d).withColumnsRenamed({"source": "source_act_id", "target": "target_act_id"})
+    return r.where(V.scope(3, None)).groupBy("relationship").agg(F.count("*").alias("n"))
+
+
+# FLT-24
+@query(f"WITH {REFS} SELECT CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM refs GROUP BY 1")
+def flt_confidence_band(spark, d):
+    return T.references(spark, d).groupBy(M.confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n"))
+
+
+# FLT-16
+@query(f"WITH {ACTS} SELECT id FROM acts WHERE contains(lower(raw_text), 'the_')")
+def flt_literal_contains(spark, d):
+    return T.acts(spark, d).where(V.contains_literal(F.col("raw_text"), "the_")).select("id")
+
+
+# FLT-25
+@query("SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'build')")
+def flt_saved_text(spark, d):
+    return catalog.text_filter(T.read(spark, d, "customer"), ["c_name", "c_mktsegment"], " Build ").select("c_custkey")
+
+
+# FLT-17
+@query(f"WITH {ACTS} SELECT id FROM acts WHERE list_has_all(regexp_split_to_array(lower(raw_text), '[^a-z0-9]+'), ['the', 'and', 'with'])")
+def search_fulltext_all_terms(spark, d):
+    return T.acts(spark, d).where(V.all_terms(F.col("raw_text"), "the and With")).select("id")
+
+
+# --- search ----------------------------------------------------------------------------------
+
+KEYWORD = f"""WITH {ACTS}, scored AS (SELECT 'ACT' AS result_type, id::VARCHAR AS id, title, {FORM.format('title')} AS form, raw_text, category, year, processing_status FROM acts
+  WHERE processing_status IN ('PROCESSED', 'VERIFIED') AND ({FORM.format('title')} ILIKE '%the%' OR year::VARCHAR ILIKE '%the%' OR act_number ILIKE '%the%' OR category ILIKE '%the%' OR raw_text ILIKE '%the%')),
+hits AS (SELECT result_type, id, title, raw_text, round(0.3::DOUBLE + CASE WHEN form = 'the' THEN 9.0::DOUBLE WHEN contains(form, 'the') THEN 5.5::DOUBLE ELSE 0 END
+  + CASE WHEN contains({FORM.format('category')}, 'the') THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN contains(lower(raw_text), 'the') THEN 0.8::DOUBLE ELSE 0 END
+  + CASE processing_status WHEN 'VERIFIED' THEN 0.3::DOUBLE ELSE 0.15::DOUBLE END, 6) AS score FROM scored)"""
+
+
+def _keyword(spark, d):
+    acts = T.acts(spark, d).withColumn("normalized_title", X.search_form(F.col("title")))
+    return search.act_hits(acts, "the", "LAWYER")
+
+
+# FLT-06, MTH-10, SRT-01, SRT-02
+@query(KEYWORD + " SELECT result_type, id, title, score FROM hits ORDER BY score DESC, result_type, title, id LIMIT 20 OFFSET 5")
+def search_keyword_page(spark, d):
+    return search.page(_keyword(spark, d), 20, 5).select("result_type", "id", "title", "score")
+
+
+# AGG-01, MTH-10 over all hits
+@query(KEYWORD + " SELECT result_type, id, score FROM hits")
+def search_keyword_scores(spark, d):
+    return _keyword(spark, d).select("result_type", "id", "score")
+
+
+# STR-14
+@query(f"WITH {ACTS}, flat AS (SELECT id, trim(regexp_replace(raw_text, '\\s+', ' ', 'g')) AS t FROM acts) SELECT id, substr(t, greatest(1, strpos(lower(t), 'und') - 73), 220) AS snippet FROM flat")
+def search_snippet(spark, d):
+    return T.acts(spark, d).select("id", X.snippet(F.col("raw_text"), "und").alias("snippet"))
+
+
+# SRT-13
+@query(f"WITH {ACTS} SELECT id, title FROM acts WHERE contains(lower(title), 'an') ORDER BY title, id LIMIT 8")
+def search_suggest(spark, d):
+    return search.suggest(T.acts(spark, d), "an")
+
+
+# SET-01, PRJ-01, AGG-01
+@query(f"""WITH {ACTS}, {SECTIONS}, {REFS} SELECT result_type, count(*) AS n FROM (
+  SELECT 'ACT' AS result_type FROM acts WHERE contains(lower(title), 'en') UNION ALL SELECT 'SECTION' FROM sections WHERE contains(lower(text), 'en')
+  UNION ALL SELECT 'REFERENCE' FROM refs WHERE relationship = 'AMENDS') GROUP BY 1""")
+def search_union_three_types(spark, d):
+    a = T.acts(spark, d).where(V.contains_literal(F.col("title"), "en")).select(F.lit("ACT").alias("result_type"), "title")
+    s = T.sections(spark, d).where(V.contains_literal(F.col("text"), "en")).select(F.lit("SECTION").alias("result_type"), "heading")
+    r = T.references(spark, d).where("relationship = 'AMENDS'").select(F.lit("REFERENCE").alias("result_type"), "confidence")
+    return search.counts(search.union_hits(a, s, r))
+
+
+# SRT-04, MTH-02, MTH-03
+def _probe(spark, d) -> list[float]:
+    """The query vector: that of the least id (one row)."""
+    return list(T.vectors(spark, d).orderBy("section_id").limit(1).first()["embedding"])
+
+
+KNN = f"WITH {VECTORS}, q AS (SELECT embedding AS e FROM vecs ORDER BY section_id LIMIT 1), near AS (SELECT v.*, round(1 - greatest(-1, least(1, list_cosine_similarity(embedding, e))), 9) AS distance FROM vecs v, q)"
+
+
+@query(KNN + " SELECT section_id, act_id, distance, round(greatest(1 - distance, 0) * 100, 2) AS score FROM near ORDER BY distance, section_id LIMIT 10 OFFSET 2")
+def knn_topk(spark, d):
+    return search.nearest(T.vectors(spark, d), _probe(spark, d), 10, 2).select("section_id", "act_id", "distance", "score")
+
+
+# SRT-05, SRT-06, FLT-15
+@query(KNN + " SELECT section_id, act_id, distance FROM near ORDER BY (act_id = 4) DESC, distance, section_id LIMIT 60")
+def knn_exact_tier(spark, d):
+    return search.nearest(T.vectors(spark, d), _probe(spark, d), 60, exact=F.col("act_id") == 4).select("section_id", "act_id", "distance")
+
+
+# FLT-14
+@query(KNN + " SELECT section_id, distance FROM near WHERE act_id = 3 ORDER BY distance, section_id LIMIT 10")
+def knn_filtered(spark, d):
+    return search.nearest(T.vectors(spark, d).where("act_id = 3"), _probe(spark, d), 10).select("section_id", "distance")
+
+
+# MTH-03 over all rows
+@query(KNN + " SELECT section_id, round(greatest(1 - distance, 0) * 100, 2) AS score FROM near")
+def knn_score_clamp(spark, d):
+    distance = F.round(M.cosine_distance(F.col("embedding"), M.as_vector(_probe(spark, d))), 9)
+    return T.vectors(spark, d).select("section_id", M.similarity_score(distance).alias("score"))
+
+
+# MTH-06
+@query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AS valid FROM embeddings")
+def vector_validity(spark, d):
+    return T.read(spark, d, "embeddings").select("vec_id", M.valid_vector(F.col("embedding"), 64).alias("valid"))
+
+
+def _lists(spark, d):
+    c = T.read(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_totalprice", "o_orderkey")
+    order = Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    kw = c.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100).withColumn("rank", F.row_number().over(order))
+    low = Window.orderBy("o_totalprice", "o_orderkey")
+    sem = c.where("o_totalprice > 1000").orderBy("o_totalprice", "o_orderkey").limit(100).withColumn("rank", F.row_number().over(low))
+    return kw.withColumn("result_type", F.lit("ACT")), sem.withColumn("result_type", F.lit("ACT"))
+
+
+LISTS = """WITH kw AS (SELECT o_custkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 100),
+sem AS (SELECT o_custkey AS id, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rank FROM orders WHERE o_totalprice > 1000 QUALIFY rank <= 100)"""
+
+
+# HYB-02, JOI-15, SET-02, MTH-01, SRT-03, SRT-07
+@query(LISTS + """, a AS (SELECT id, min(rank) AS r FROM kw GROUP BY 1), b AS (SELECT id, min(rank) AS r FROM sem GROUP BY 1)
+SELECT id, round(coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0), 9) AS score FROM a FULL OUTER JOIN b USING (id)""")
+def rrf_fusion(spark, d):
+    return search.fuse(*_lists(spark, d)).select("id", "score")
+
+
+# WIN-01
+@query(LISTS + " SELECT id, min(rank) AS first_rank FROM kw GROUP BY 1")
+def rrf_dedupe_first_rank(spark, d):
+    return _lists(spark, d)[0].groupBy("id").agg(F.min("rank").cast("bigint").alias("first_rank"))
+
+
+# HYB-04: components of the fused page
+@query(LISTS + """, a AS (SELECT id, min(rank) AS r FROM kw GROUP BY 1), b AS (SELECT id, min(rank) AS r FROM sem GROUP BY 1)
+SELECT id, a.r AS keyword_rank, b.r AS semantic_rank, round(coalesce(2.0::DOUBLE / (10 + a.r), 0) + coalesce(0.5::DOUBLE / (10 + b.r), 0), 9) AS score FROM a FULL OUTER JOIN b USING (id) ORDER BY score DESC, id LIMIT 25""")
+def rrf_weighted_page(spark, d):
+    fused = search.fuse(*_lists(spark, d), k=10, weights=(2.0, 0.5))
+    return search.fused_page(fused, 25).select("id", F.col("keyword_rank").cast("bigint").alias("keyword_rank"), F.col("semantic_rank").cast("bigint").alias("semantic_rank"), "score")
+
+
+# --- joins -----------------------------------------------------------------------------------
+
+
+# JOI-01, JOI-02
+@query(f"WITH {ACTS}, {SECTIONS} SELECT act_id, sort_order, a.category FROM sections s JOIN acts a ON s.act_id = a.id")
+def join_inner_act(spark, d):
+    return T.sections(spark, d).join(T.acts(spark, d).select(F.col("id").alias("act_id"), "category"), "act_id").select("act_id", "sort_order", "category")
+
+
+# JOI-04, PRJ-02
+@query(f"""WITH {ACTS}, {REFS} SELECT r.l_orderkey, r.l_linenumber, r.l_partkey, r.source, a.title AS source_title, b.title AS target_title FROM refs r LEFT JOIN acts a ON r.source = a.id LEFT JOIN acts b ON r.target = b.id""")
+def join_left_targets(spark, d):
+    a = T.acts(spark, d)
+    s, t = a.select(F.col("id").alias("source"), F.col("title").alias("source_title")), a.select(F.col("id").alias("target"), F.col("title").alias("target_title"))
+    return T.references(spark, d).join(s, "source", "left").join(t, "target", "left").select("l_orderkey", "l_linenumber", "l_partkey", "source", "source_title", "target_title")
+
+
+# JOI-20
+@query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
+def join_semi_saved(spark, d):
+    return T.read(spark, d, "part").join(T.read(spark, d, "lineitem").where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_name")
+
+
+# JOI-17
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def join_anti_unmapped(spark, d):
+    return T.read(spark, d, "customer").join(T.read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+# JOI-09: by number and year; of several acts the least id
+@query(f"""WITH {ACTS}, wanted AS (SELECT o_orderkey, (o_custkey % 60)::VARCHAR AS number, (1978 + o_orderkey % 60)::INTEGER AS y FROM orders)
+SELECT o_orderkey, min(a.id) AS act FROM wanted LEFT JOIN acts a ON a.act_number = number AND a.year = y GROUP BY 1""")
+def join_two_key(spark, d):
+    acts = T.acts(spark, d).groupBy("act_number", "year").agg(F.min("id").alias("act"))
+    o = T.read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 60).cast("string").alias("act_number"), (1978 + F.col("o_orderkey") % 60).cast("int").alias("year"))
+    return o.join(acts, ["act_number", "year"], "left").select("o_orderkey", "act")
+
+
+# JOI-10: candidates in order, the first match
+@query(f"""WITH {ACTS}, cand AS (SELECT o_orderkey, unnest([0, 1, 2]) AS pos, unnest(['src' || (o_custkey % 40), 'src' || (o_orderkey % 30), 'src1']) AS wanted FROM orders),
+titled AS (SELECT category, min(id) AS act FROM acts GROUP BY 1)
+SELECT o_orderkey, arg_min(act, pos) AS act FROM cand JOIN titled ON wanted = category GROUP BY 1""")
+def join_title_candidates(spark, d):
+    o = T.read(spark, d, "orders")
+    forms = F.array(F.concat(F.lit("src"), F.col("o_custkey") % 40), F.concat(F.lit("src"), F.col("o_orderkey") % 30), F.lit("src1"))
+    titled = T.acts(spark, d).groupBy("category").agg(F.min("id").alias("act"))
+    return o.select("o_orderkey", F.posexplode(forms).alias("pos", "category")).join(titled, "category").groupBy("o_orderkey").agg(F.min_by("act", "pos").alias("act"))
+
+
+# JOI-11, JOI-12: containment of a word list, as an equi-join on words
+@query("""WITH nouns AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part) SELECT p_partkey, w FROM part, nouns WHERE list_contains(string_split(p_name, ' '), w)""")
+def join_contains_words(spark, d):
+    p = T.read(spark, d, "part")
+    words = p.select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    return words.join(p.select(F.element_at(F.split("p_name", " "), 1).alias("w")).distinct(), "w").select("p_partkey", "w")
+
+
+# JOI-14, WIN-07: interval overlap of lines with pages of 500 characters
+@query(f"""WITH {ACTS}, lines AS (SELECT id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS k FROM acts),
+placed AS (SELECT id, k, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, length(line) AS n FROM lines)
+SELECT id, k::BIGINT AS k, a AS source_start, a // 500 + 1 AS page_start, (a + greatest(n, 1) - 1) // 500 + 1 AS page_end FROM placed""")
+def join_interval_overlap(spark, d):
+    lines = T.acts(spark, d).select("id", F.posexplode(F.split("raw_text", "\n")).alias("k", "line"))
+    before = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("bigint")
+    s = lines.select("id", (F.col("k") + 1).cast("bigint").alias("k"), start.alias("source_start"), F.length("line").alias("n")).withColumn("source_end", F.col("source_start") + F.greatest(F.col("n"), F.lit(1)))
+    pages = T.acts(spark, d).select("id", F.explode(F.sequence(F.lit(0), F.floor(F.length("raw_text") / 500).cast("int"))).alias("p"))
+    spans = pages.select("id", (F.col("p") + 1).cast("bigint").alias("page_number"), (F.col("p") * 500).cast("bigint").alias("start"), (F.col("p") * 500 + 500).cast("bigint").alias("end"))
+    return documents.section_pages(s, spans).select("id", "k", "source_start", "page_start", "page_end")
+
+
+# JOI-05, JOI-06
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount > 0.09)")
+def join_exists_or(spark, d):
+    o, li = T.read(spark, d, "orders"), T.read(spark, d, "lineitem")
+    hit = li.where("l_discount > 0.09").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(True))
+    return o.join(hit, "o_orderkey", "left").where("o_totalprice > 400000 OR hit").select("o_orderkey")
+
+
+# JOI-07, SRT-08
+@query(f"WITH {ACTS}, {SECTIONS} SELECT act_id, sort_order, title FROM sections s JOIN acts a ON a.id = s.act_id WHERE verification_status = 'REJECTED' ORDER BY act_id DESC, sort_order DESC LIMIT 10")
+def join_failed_samples(spark, d):
+    s = T.sections(spark, d).where("verification_status = 'REJECTED'").join(T.acts(spark, d).select(F.col("id").alias("act_id"), "title"), "act_id")
+    return s.orderBy(F.col("act_id").desc(), F.col("sort_order").desc()).limit(10).select("act_id", "sort_order", "title")
+
+
+# JOI-08: keys that name exactly one row
+@query("SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2 HAVING count(*) = 1")
+def join_unique_identity(spark, d):
+    return T.read(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+CONTEXT = f"""WITH {REFS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at, l_orderkey, l_linenumber, l_partkey) AS pos FROM refs),
+f AS (SELECT *, relationship <> 'REFERS_TO' AND target IS NULL AND l_linenumber % 2 = 0 AS bare, l_linenumber = 5 AS principal,
+  CASE WHEN target IS NOT NULL AND l_linenumber <> 5 THEN target END AS own FROM r),
+c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY source ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM f)"""
+
+
+# JOI-16, WIN-05
+@query(CONTEXT + " SELECT source, pos, context, CASE WHEN (bare OR principal) AND context IS NOT NULL THEN context ELSE own END AS resolved FROM c")
+def asof_principal_context(spark, d):
+    order = Window.partitionBy("source").orderBy("created_at", "l_orderkey", "l_linenumber", "l_partkey")
+    principal = F.col("l_linenumber") == 5
+    r = T.references(spark, d).withColumns({
+        "pos": F.row_number().over(order).cast("bigint"), "principal": principal, "own": F.when(~principal, F.col("target")),
+        "bare": (F.col("relationship") != "REFERS_TO") & F.col("target").isNull() & (F.col("l_linenumber") % 2 == 0),
+    })
+    return mapping.resolve_context(r, "source", "pos").select("source", "pos", "context", "resolved")
+
+
+# WIN-06; levenshtein stands in for the fuzzy ratio, which SQL lacks
+@query("""WITH p AS (SELECT p_brand, p_partkey, p_name, round(1 - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type)), 6) AS s FROM part),
+r AS (SELECT *, row_number() OVER w AS k, lead(s) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY s DESC, p_partkey))
+SELECT p_brand, p_partkey, s, s >= 0.1 AND (nxt IS NULL OR s - nxt >= 0.01) AS sure FROM r WHERE k = 1""")
+def fuzzy_margin_topcandidate(spark, d):
+    s = F.round(1.0 - F.levenshtein("p_name", "p_type").cast("double") / F.greatest(F.length("p_name"), F.length("p_type")), 6)
+    w = Window.partitionBy("p_brand").orderBy(F.col("s").desc(), "p_partkey")
+    r = T.read(spark, d, "part").withColumn("s", s).withColumns({"k": F.row_number().over(w), "nxt": F.lead("s").over(w)}).where("k = 1")
+    return r.select("p_brand", "p_partkey", "s", ((F.col("s") >= 0.1) & (F.col("nxt").isNull() | (F.col("s") - F.col("nxt") >= 0.01))).alias("sure"))
+
+
+# --- aggregations ------------------------------------------------------------------------------
+
+
+# AGG-05
+@query(f"""WITH {ACTS}, {SECTIONS}, {REFS}, s AS (SELECT act_id, count(*) AS n, count(*) FILTER (verification_status = 'VERIFIED') AS v, count(*) FILTER (verification_status = 'PENDING') AS p FROM sections GROUP BY 1),
+r AS (SELECT source, count(*) AS n, count(*) FILTER (verification_status = 'NEEDS_REVIEW') AS w, count(target) AS m FROM refs GROUP BY 1)
+SELECT id AS act_id, coalesce(s.n, 0) AS sections, coalesce(s.v, 0) AS sections_verified, coalesce(s.p, 0) AS sections_pending, coalesce(r.n, 0) AS "references", coalesce(r.w, 0) AS references_needs_review, coalesce(r.m, 0) AS mapped, coalesce(r.n - r.m, 0) AS unresolved
+FROM acts LEFT JOIN s ON s.act_id = id LEFT JOIN r ON r.source = id""")
+def agg_verification_summary(spark, d):
+    r = T.references(spark, d).select(F.col("source").alias("source_act_id"), F.col("target").alias("target_act_id"), F.lit(None).cast("bigint").alias("target_section_id"), "verification_status")
+    out = catalog.verification_summary(T.acts(spark, d), T.sections(spark, d), r)
+    return out.select("act_id", "sections", "sections_verified", "sections_pending", "references", "references_needs_review", "mapped", "unresolved")
+
+
+# AGG-06, AGG-25
+@query(f"""WITH {ACTS}, {SECTIONS}, {REFS}, s AS (SELECT act_id, count(*) AS n FROM sections WHERE verification_status = 'VERIFIED' GROUP BY 1), r AS (SELECT source, count(*) AS n FROM refs WHERE verification_status = 'VERIFIED' GROUP BY 1)
+SELECT id, title, processing_status, coalesce(s.n, 0) AS verified_sections, coalesce(r.n, 0) AS verified_references FROM acts LEFT JOIN s ON s.act_id = id LEFT JOIN r ON r.source = id""")
+def agg_browse_counts(spark, d):
+    return catalog.browse_counts(T.acts(spark, d), T.sections(spark, d), T.references(spark, d))
+
+
+# AGG-07, JOI-18, SRT-10
+@query(f"""WITH {ACTS}, {REFS}, r AS (SELECT source, count(*) FILTER (verification_status = 'NEEDS_REVIEW') AS n, count(*) - count(target) AS u FROM refs GROUP BY 1)
+SELECT id, title, n AS needs_review, u AS unresolved FROM acts JOIN r ON source = id WHERE n > 0""")
+def agg_review_queue(spark, d):
+    return catalog.review_queue(T.acts(spark, d), T.references(spark, d))
+
+
+# AGG-08
+@query(f"WITH {REFS}, domain(value) AS (VALUES " + ", ".join(f"('{v}')" for v in schemas.RELATIONSHIPS) + ") SELECT value, coalesce(n, 0) AS n FROM domain LEFT JOIN (SELECT relationship AS value, count(*) AS n FROM refs GROUP BY 1) USING (value)")
+def agg_corpus_metrics(spark, d):
+    return catalog.domain_counts(T.references(spark, d), "relationship", schemas.RELATIONSHIPS)
+
+
+# AGG-09
+@query(f"""WITH {REFS}, own AS (SELECT * FROM refs WHERE source = 7 OR target = 7)
+SELECT count(*) AS total, count(*) FILTER (source = 7) AS outgoing, count(*) FILTER (source <> 7) AS incoming, count(target) AS mapped, count(*) - count(target) AS unresolved FROM own""")
+def agg_relationship_summary(spark, d):
+    return graph.summary(T.references(spark, d), 7).drop("by_type", "by_status")
+
+
+# AGG-10, AGG-11, AGG-12
+@query(f"WITH {REFS} SELECT relationship, count(*) AS n, count(*) - count(target) AS unresolved, count(*) FILTER (confidence >= 0.5) AS confident FROM refs GROUP BY 1")
+def agg_reference_summary(spark, d):
+    return T.references(spark, d).groupBy("relationship").agg(F.count("*").alias("n"), F.count_if(F.col("target").isNull()).alias("unresolved"), F.count_if(F.col("confidence") >= 0.5).alias("confident"))
+
+
+# AGG-02, AGG-03, AGG-14
+@query(f"WITH {SECTIONS} SELECT act_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (verification_status = '{v}') AS {v.lower()}" for v in schemas.VERIFICATION) + " FROM sections GROUP BY 1")
+def agg_status_counts(spark, d):
+    return catalog.tallies(T.sections(spark, d), "act_id", "verification_status", schemas.VERIFICATION)
+
+
+# AGG-13
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def agg_saved_by_type(spark, d):
+    return T.history(spark, d).groupBy(F.col("item_type").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+# AGG-04
+@query("SELECT max(ts) AS last_at, count(*) AS n FROM events")
+def agg_latest_embedding(spark, d):
+    return T.history(spark, d).agg(F.max("viewed_at").alias("last_at"), F.count("*").alias("n"))
+
+
+# AGG-26
+@query("""WITH t AS (SELECT 'raw' AS parser, page_id AS id, html AS text FROM pages UNION ALL SELECT 'text', page_id, regexp_replace(html, '<[^>]*>', '', 'g') FROM pages), g AS (SELECT page_id AS id, unnest(['<p>', 'the', 'article']) AS span FROM pages)
+SELECT parser, id, max(length(text))::INTEGER AS chars, sum(contains(text, span)::INT)::BIGINT AS found, round(avg(contains(text, span)::INT), 4) AS recall FROM t JOIN g USING (id) GROUP BY 1, 2""")
+def agg_parser_comparison(spark, d):
+    p = T.read(spark, d, "pages").select(F.col("page_id").alias("id"), "html")
+    texts = p.select(F.lit("raw").alias("parser"), "id", F.col("html").alias("text")).unionAll(p.select(F.lit("text"), "id", F.regexp_replace("html", "<[^>]*>", "")))
+    return evaluation.parser_comparison(texts, p.select("id", F.explode(F.array(*map(F.lit, ("<p>", "the", "article")))).alias("span")))
+
+
+# --- graph -------------------------------------------------------------------------------------
+
+
+def _edges(spark, d):
+    return graph.edges(T.references(spark, d))
+
+
+# AGG-19, DOC-14
+@query(f"WITH {EDGES} SELECT * FROM edges")
+def graph_edges(spark, d):
+    return _edges(spark, d)
+
+
+# AGG-20, AGG-21
+@query(f"""WITH {EDGES}, b AS (SELECT source AS act, target AS other, n FROM edges UNION ALL SELECT target, source, n FROM edges)
+SELECT act, count(DISTINCT other) AS neighbours, sum(n)::BIGINT AS citations FROM b GROUP BY 1""")
+def graph_neighbors(spark, d):
+    return graph.neighbours(_edges(spark, d))
+
+
+# WIN-08
+@query(f"""WITH {EDGES} SELECT source, target, label, n, pending, row_number() OVER w - 1 - (count(*) OVER (PARTITION BY least(source, target), greatest(source, target)) - 1) / 2.0::DOUBLE AS "offset"
+FROM edges WINDOW w AS (PARTITION BY least(source, target), greatest(source, target) ORDER BY source, target, label)""")
+def graph_pair_offsets(spark, d):
+    return graph.pair_offsets(_edges(spark, d))
+
+
+# AGG-22, SRT-11
+@query(f"""WITH {EDGES}, near AS (SELECT CASE WHEN source = 3 THEN target ELSE source END AS counterpart, label, n, pending FROM edges WHERE source = 3 OR target = 3)
+SELECT counterpart, sum(n)::BIGINT AS total, bool_or(pending) AS pending FROM near GROUP BY 1""")
+def graph_linked_acts(spark, d):
+    return graph.linked_acts(_edges(spark, d), 3).drop("by_type")
+
+
+# AGG-23, AGG-24, PRJ-02
+@query(f"""WITH {REFS}, rows AS (SELECT 3 AS focus, source, target, relationship, verification_status, source <> 3 AS incoming FROM refs WHERE source = 3 OR target = 3),
+fam AS (SELECT *, CASE WHEN incoming THEN 'incoming' WHEN target = 3 OR target = source THEN 'internal' WHEN target IS NULL THEN 'unresolved' WHEN relationship IN ('AMENDS', 'REPEALS') THEN 'amends' ELSE 'refers' END AS family FROM rows)
+SELECT family, CASE family WHEN 'incoming' THEN source WHEN 'unresolved' THEN NULL ELSE target END AS counterpart, count(*) AS n, bool_or(verification_status <> 'VERIFIED') AS pending, string_agg(DISTINCT relationship, ',' ORDER BY relationship) AS types FROM fam GROUP BY 1, 2""")
+def graph_dossier(spark, d):
+    none = F.lit(None).cast("string")
+    r = T.references(spark, d).where("source = 3 OR target = 3").select(
+        F.lit(3).cast("bigint").alias("focus"), F.col("source").alias("source_act_id"), F.col("target").alias("target_act_id"), F.col("relationship").alias("relationship_type"), "verification_status",
+        F.when(F.col("source") == 3, "outgoing").otherwise("incoming").alias("direction"), none.alias("target_act_title_raw"), none.alias("raw_reference_text"), none.alias("target_act_number"), F.lit(None).cast("int").alias("target_act_year"),
+    )
+    return graph.dossier(r).drop("focus", "label")
+
+
+# SRT-16
+@query(f"""WITH {EDGES}, g AS (SELECT target AS counterpart, CASE WHEN label = 'REFERS_TO' THEN 'refers' ELSE 'amends' END AS family, sum(n)::BIGINT AS n FROM edges GROUP BY 1, 2)
+SELECT counterpart, family, n FROM g QUALIFY row_number() OVER (PARTITION BY counterpart ORDER BY n DESC, family DESC) = 1""")
+def graph_busiest_group(spark, d):
+    g = _edges(spark, d).groupBy(F.col("target").alias("counterpart"), graph.family_of_type(F.col("label")).alias("family")).agg(F.sum("n").alias("n"))
+    return graph.busiest_group(g)
+
+
+# SET-06
+@query(f"WITH {ACTS}, {EDGES} SELECT i.id, title FROM (SELECT source AS id FROM edges UNION SELECT target FROM edges) i LEFT JOIN acts a ON a.id = i.id")
+def graph_nodes(spark, d):
+    return graph.nodes(_edges(spark, d), T.acts(spark, d))
+
+
+# SRT-14, DOC-15
+@query(f"WITH {EDGES}, s AS (SELECT * FROM edges WHERE source = 3 OR target = 3) SELECT id FROM (SELECT source AS id FROM s UNION SELECT target FROM s UNION SELECT 3) ORDER BY id <> 3, id LIMIT 8")
+def graph_visible_nodes(spark, d):
+    return graph.visible_nodes(graph.selected(_edges(spark, d), 3), 3).select(F.col("id").cast("bigint").alias("id"))
+
+
+# MTH-11, STR-28, DOC-16
+@query(f"""WITH {EDGES} SELECT source, target, label, round(least(8, 1.75::DOUBLE + 1.35::DOUBLE * log2(n)), 6) AS width, upper(label[1]) || replace(lower(label[2:]), '_', ' ') || ' · ' || n AS shown,
+CASE WHEN target = 3 AND source <> 3 THEN 'incoming|' || source ELSE CASE WHEN label = 'REFERS_TO' THEN 'refers|' ELSE 'amends|' END || target END AS key FROM edges""")
+def graph_edge_style(spark, d):
+    e = _edges(spark, d)
+    return e.select("source", "target", "label", F.round(M.stroke_width(F.col("n")), 6).alias("width"), F.concat_ws(" · ", X.type_label(F.col("label")), F.col("n")).alias("shown"), graph.dossier_key(3).alias("key"))
+
+
+# --- windows -----------------------------------------------------------------------------------
+
+
+# WIN-02
+@query(f"WITH {SECTIONS} SELECT act_id, sort_order, lead(sort_order, 1, 9999) OVER (PARTITION BY act_id ORDER BY sort_order) AS until FROM sections")
+def win_next_boundary(spark, d):
+    w = Window.partitionBy("act_id").orderBy("sort_order")
+    return T.sections(spark, d).select("act_id", "sort_order", F.lead("sort_order", 1, 9999).over(w).alias("until"))
+
+
+# WIN-03
+@query(f"WITH {SECTIONS} SELECT act_id, sort_order, heading FROM sections QUALIFY heading IS DISTINCT FROM lag(heading) OVER (PARTITION BY act_id ORDER BY sort_order)")
+def win_drop_repeated(spark, d):
+    w = Window.partitionBy("act_id").orderBy("sort_order")
+    return T.sections(spark, d).withColumn("last", F.lag("heading").over(w)).where(~F.col("heading").eqNullSafe(F.col("last"))).select("act_id", "sort_order", "heading")
+
+
+# WIN-09
+@query(f'WITH {SECTIONS} SELECT act_id, sort_order, lag(sort_order) OVER w AS previous, lead(sort_order) OVER w AS "next" FROM sections WINDOW w AS (PARTITION BY act_id ORDER BY sort_order)')
+def win_adjacent_sections(spark, d):
+    return catalog.adjacent(T.sections(spark, d)).select("act_id", "sort_order", "previous", "next")
+
+
+# WIN-07
+@query(f"WITH {SECTIONS} SELECT act_id, sort_order, coalesce(sum(length(text) + 2) OVER (PARTITION BY act_id ORDER BY sort_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sections")
+def win_running_offsets(spark, d):
+    s = T.sections(spark, d).select(F.col("act_id").alias("id"), F.col("sort_order").alias("page_number"), "text")
+    return documents.page_spans(s).select(F.col("id").alias("act_id"), F.col("page_number").alias("sort_order"), F.col("start").cast("bigint").alias("start"))
+
+
+# WIN-04, SRT-09
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS sort_order FROM lineitem")
+def win_sort_order(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return T.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.row_number().over(w) - 1).cast("bigint").alias("sort_order"))
+
+
+# WIN-10: the last line with text among the four before
+@query(f"""WITH {ACTS}, lines AS (SELECT id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS k FROM acts)
+SELECT id, k::BIGINT AS k, last_value(nullif(trim(line), '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS above FROM lines""")
+def win_marginal_heading(spark, d):
+    lines = T.acts(spark, d).select("id", F.posexplode(F.split("raw_text", "\n")).alias("k", "line"))
+    w = Window.partitionBy("id").orderBy("k").rowsBetween(-4, -1)
+    return lines.select("id", (F.col("k") + 1).cast("bigint").alias("k"), F.last(F.nullif(F.trim("line"), F.lit("")), ignorenulls=True).over(w).alias("above"))
+
+
+# WIN-12
+@query(f"WITH {SECTIONS} SELECT act_id, sort_order FROM sections QUALIFY row_number() OVER (PARTITION BY act_id ORDER BY sort_order) <= 3")
+def win_first_n_per_group(spark, d):
+    return state.first_per_group(T.sections(spark, d), "act_id", "sort_order", 3).select("act_id", "sort_order")
+
+
+# WIN-11, ARR-01
+@query("SELECT conv_id, list_distinct(list(role ORDER BY turn))::VARCHAR[] IS NOT NULL AS kept, count(DISTINCT role) AS roles FROM conversations GROUP BY 1")
+def win_keep_first_duplicate(spark, d):
+    c = T.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    first = F.array_distinct(F.transform("t", lambda x: x["role"]))
+    return c.select("conv_id", first.isNotNull().alias("kept"), F.size(first).cast("bigint").alias("roles"))
+
+
+# --- evaluation ----------------------------------------------------------------------------------
+
+
+def _gold(spark, d):
+    docs, labels = T.read(spark, d, "documents"), T.read(spark, d, "labels")
+    return labels.where("quality = 1").select("doc_id"), docs.where("n_chars > 1500").select("doc_id")
+
+
+# AGG-15, SET-03
+@query("""WITH g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), p AS (SELECT doc_id FROM documents WHERE n_chars > 1500),
+c AS (SELECT count(*) FILTER (g.doc_id IS NOT NULL AND p.doc_id IS NOT NULL) AS tp, count(*) FILTER (g.doc_id IS NULL) AS fp, count(*) FILTER (p.doc_id IS NULL) AS fn FROM g FULL OUTER JOIN p USING (doc_id))
+SELECT tp, fp, fn, round(tp::DOUBLE / (tp + fp), 4) AS "precision", round(tp::DOUBLE / (tp + fn), 4) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 4) AS f1 FROM c""")
+def eval_set_metrics(spark, d):
+    return evaluation.set_metrics(*_gold(spark, d), keys=["doc_id"])
+
+
+# AGG-16
+@query("SELECT round(count(p.doc_id)::DOUBLE / count(*), 4) AS accuracy FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) g LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars > 1500) p USING (doc_id)")
+def eval_segmentation_accuracy(spark, d):
+    return evaluation.segmentation_accuracy(*_gold(spark, d), key="doc_id")
+
+
+# SET-04, SET-05
+@query("""SELECT 'missing' AS kind, doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 EXCEPT SELECT doc_id FROM documents WHERE n_chars > 1500 ORDER BY doc_id LIMIT 100)
+UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM documents WHERE n_chars > 1500 EXCEPT SELECT doc_id FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 100)""")
+def eval_set_diff_top100(spark, d):
+    missing, extra = evaluation.differences(*_gold(spark, d), key="doc_id")
+    return missing.select(F.lit("missing").alias("kind"), "doc_id").unionAll(extra.select(F.lit("extra"), "doc_id"))
+
+
+def _ranked(spark, d):
+    """Queries are customers, results their orders by price, graded by priority."""
+    o = T.read(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item"), "o_totalprice", "o_orderpriority")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("o_totalprice").desc(), "item"))
+    grade = F.when(F.col("o_orderpriority").startswith("1"), 2).when(F.col("o_orderpriority").startswith("2"), 1).otherwise(0)
+    queries_ = T.read(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
+    return o.select("query_id", "item", rank.alias("rank")), o.select("query_id", "item", grade.alias("grade")), queries_
+
+
+RANKED = """WITH o AS (SELECT o_custkey AS q, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 2 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 0 END AS grade FROM orders),
+i AS (SELECT q, count(*) AS rel, sum(CASE WHEN k <= 10 THEN (2.0::DOUBLE ** grade - 1) / log2(k + 1) END) AS idcg FROM (SELECT q, grade, row_number() OVER (PARTITION BY q ORDER BY grade DESC, item) AS k FROM o WHERE grade > 0) GROUP BY 1),
+s AS (SELECT q, count(*) AS n, count(*) FILTER (grade > 0 AND rank <= 5) AS h5, count(*) FILTER (grade > 0 AND rank <= 10) AS h10, min(rank) FILTER (grade > 0) AS first, sum(CASE WHEN rank <= 10 THEN (2.0::DOUBLE ** grade - 1) / log2(rank + 1) END) AS dcg FROM o GROUP BY 1),
+m AS (SELECT c_custkey AS query_id, round(coalesce(h5, 0) / 5.0::DOUBLE, 6) AS p5, round(CASE WHEN rel > 0 THEN coalesce(h5, 0)::DOUBLE / rel ELSE 1 END, 6) AS r5, round(CASE WHEN rel > 0 THEN coalesce(h10, 0)::DOUBLE / rel ELSE 1 END, 6) AS r10,
+  round(CASE WHEN rel > 0 THEN coalesce(1.0::DOUBLE / first, 0) ELSE 0 END, 6) AS mrr, round(CASE WHEN rel > 0 THEN coalesce(dcg / idcg, 0) WHEN n IS NULL THEN 1 ELSE 0 END, 6) AS ndcg10, n IS NULL AS zero_result, coalesce(n, 0) AS retrieved
+  FROM customer LEFT JOIN s ON s.q = c_custkey LEFT JOIN i ON i.q = c_custkey)"""
+
+
+# AGG-17, MAP-01
+@query(RANKED + " SELECT * FROM m")
+def eval_ranking_metrics(spark, d):
+    return evaluation.ranking_metrics(*_ranked(spark, d))
+
+
+# AGG-18
+@query(RANKED + """ SELECT count(*) AS queries, round(avg(p5), 6) AS p5, round(avg(r5), 6) AS r5, round(avg(r10), 6) AS r10, round(avg(mrr), 6) AS mrr, round(avg(ndcg10), 6) AS ndcg10, round(avg(zero_result::INT), 6) AS zero_rate,
+round(sum(retrieved // 2)::DOUBLE / sum(retrieved), 6) AS verified_rate, median((query_id * 37 % 1009)::DOUBLE) AS median_ms, quantile_disc((query_id * 37 % 1009)::DOUBLE, 0.95) AS p95_ms FROM m""")
+def eval_aggregate_p95(spark, d):
+    m = evaluation.ranking_metrics(*_ranked(spark, d))
+    return evaluation.aggregate_metrics(m.withColumns({"verified": F.floor(F.col("retrieved") / 2), "latency_ms": (F.col("query_id") * 37 % 1009).cast("double")}))
+
+
+# --- text ------------------------------------------------------------------------------------------
+
+
+# STR-01
+@query(f"SELECT doc_id, {FORM.format('text')} AS form FROM documents")
+def str_normalize(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.search_form(F.col("text")).alias("form"))
+
+
+# STR-03, STR-23
+@query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM documents")
+def str_squeeze_key(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.evaluation_key(F.col("text")).alias("key"))
+
+
+# STR-05, STR-13
+@query("SELECT p_partkey, upper(nullif(regexp_extract(p_brand, '(\\d+[A-Za-z]?)', 1), '')) AS number, try_cast(nullif(regexp_extract(p_partkey::VARCHAR, '(\\d{4})', 1), '') AS INTEGER) AS year FROM part")
+def str_act_number(spark, d):
+    return T.read(spark, d, "part").select("p_partkey", X.act_number(F.col("p_brand")).alias("number"), X.year(F.col("p_partkey").cast("string")).alias("year"))
+
+
+# STR-06, STR-04
+@query("""SELECT p_partkey, upper(regexp_extract(t, 'No\\. (\\d+) of', 1)) AS number, regexp_extract(t, 'of (\\d{4})', 1)::INTEGER AS year, p_name || ' Act' AS title, trim(regexp_replace(lower(p_name || ' Act'), '[^a-z0-9]+', ' ', 'g')) AS form
+FROM (SELECT *, p_name || ' Act, No. ' || p_size || ' of ' || (1900 + p_size) AS t FROM part)""")
+def str_citation_parse(spark, d):
+    p = T.read(spark, d, "part")
+    t = F.concat("p_name", F.lit(" Act, No. "), F.col("p_size"), F.lit(" of "), F.col("p_size") + 1900)
+    c = X.citation(t)
+    return p.select("p_partkey", c["number"].alias("number"), c["year"].alias("year"), F.concat(F.regexp_replace(c["title"], r",?\s*Act$", ""), F.lit(" Act")).alias("title"), X.act_title_form(t).alias("form"))
+
+
+# STR-08..STR-11
+@query("SELECT p_partkey, 'Chapter ' || p_size || 'A' AS chapter, p_size || 'B' AS section, 'First Schedule II' AS schedule, 'Part IV' AS part FROM part")
+def str_reference_forms(spark, d):
+    p, size = T.read(spark, d, "part"), F.col("p_size").cast("string")
+    return p.select(
+        "p_partkey", X.chapter(F.concat(F.lit("see chapter "), size, F.lit("a"))).alias("chapter"), X.section_number(F.concat(F.lit("section "), size, F.lit(" b"))).alias("section"),
+        X.target_path(F.lit("the FIRST schedule II,")).alias("schedule_"), X.target_path(F.lit("part iv")).alias("part"),
+    ).withColumn("schedule", F.replace("schedule_", F.lit("FIRST"), F.lit("First"))).drop("schedule_")
+
+
+# STR-12, STR-16
+@query(f"WITH {REFS} SELECT l_orderkey, l_linenumber, l_partkey, source, relationship AS named, CASE relationship WHEN 'AMENDS' THEN 'AMENDS' WHEN 'REPEALS' THEN 'REPEALS' ELSE 'REFERS_TO' END AS told FROM refs")
+def str_relationship(spark, d):
+    r, kind = T.references(spark, d), F.col("relationship")
+    said = F.when(kind == "AMENDS", "It is hereby amended").when(kind == "REPEALS", "It is repealed.").otherwise("See section 4")
+    return r.select("l_orderkey", "l_linenumber", "l_partkey", "source", X.relationship_word(F.replace(kind, F.lit("_"), F.lit("-"))).alias("named"), X.classify_relationship(said).alias("told"))
+
+
+# STR-22, SNK-04, SNK-06
+@query("SELECT c_custkey, CASE WHEN regexp_matches(v, '^[=+\\-@]') THEN '''' || v ELSE v END AS cell FROM (SELECT c_custkey, ['=', '+', '-', '@', '', 'x'][1 + c_custkey % 6] || c_name AS v FROM customer)")
+def str_csv_safe(spark, d):
+    mark = F.element_at(F.array(*map(F.lit, "=+-@")), (F.col("c_custkey") % 6 + 1).cast("int"))
+    v = F.concat(F.when(F.col("c_custkey") % 6 < 4, F.try_element_at(F.array(*map(F.lit, "=+-@")), (F.col("c_custkey") % 6 + 1).cast("int"))).when(F.col("c_custkey") % 6 == 4, "").otherwise("x"), F.col("c_name"))
+    del mark
+    return exports.csv_rows(T.read(spark, d, "customer").withColumn("cell", v), ["c_custkey", "cell"]).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "cell")
+
+
+# SNK-05
+@query("SELECT '| ' || c_custkey || ' | ' || replace(c_name || '|' || c_mktsegment, '|', '\\|') || ' |' AS line FROM customer")
+def sink_markdown_lines(spark, d):
+    c = T.read(spark, d, "customer").withColumn("name", F.concat("c_name", F.lit("|"), "c_mktsegment"))
+    return exports.markdown_lines(c, ["c_custkey", "name"])
+
+
+# SNK-01, SNK-02
+@query("""SELECT conv_id, turn, sha256('{"conv_id":' || conv_id || ',"role":"' || role || '","turn":' || turn || '}') AS sha256, true AS intact FROM conversations""")
+def sink_artifact_digest(spark, d):
+    a = exports.artifact(T.read(spark, d, "conversations"), ["turn", "role", "conv_id"])
+    return exports.artifact_view(a, "conv_id long, role string, turn long").select("conv_id", "turn", "sha256", "intact")
+
+
+# STR-25
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def str_source_hash(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.source_hash(F.col("text")).alias("digest"))
+
+
+# STR-26, STR-27
+@query("SELECT p_partkey, concat_ws(chr(10), nullif(trim(p_name), ''), nullif(trim(CASE WHEN p_size % 2 = 0 THEN ' ' ELSE p_brand END), ''), nullif(trim(p_type), '')) AS composed, array_to_string(string_split(p_type, ' ')[1:2], ' ') AS start FROM part")
+def str_embedding_text(spark, d):
+    brand = F.when(F.col("p_size") % 2 == 0, " ").otherwise(F.col("p_brand"))
+    return T.read(spark, d, "part").select("p_partkey", X.embedding_text(F.col("p_name"), brand, F.col("p_type")).alias("composed"), X.first_tokens(F.col("p_type"), 2).alias("start"))
+
+
+# STR-20
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages")
+def str_html_to_text(spark, d):
+    return T.read(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+
+
+# DAT-01
+@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
+def date_loose_parse(spark, d):
+    o = T.read(spark, d, "orders")
+    day = F.day("o_orderdate")
+    suffix = F.when(day.isin(1, 21, 31), "st").when(day.isin(2, 22), "nd").when(day.isin(3, 23), "rd").otherwise("th")
+    said = F.concat(day, suffix, F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", " MMMM yyyy")).otherwise(F.date_format("o_orderdate", " MMM yyyy")))
+    return o.select("o_orderkey", X.loose_date(said).alias("day"))
+
+
+# DAT-03
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def date_iso_utc(spark, d):
+    return T.read(spark, d, "events").select("event_id", exports.iso_utc(F.col("ts")).alias("at"))
+
+
+# PRJ-05
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN 'Act No. ' || p_size || ' of 1999' WHEN 2 THEN 'Act of 1999' ELSE replace(p_brand, '#', ' ') END AS shown FROM part""")
+def prj_display_title(spark, d):
+    k = F.col("p_size") % 4
+    title = F.when(k == 0, F.col("p_name")).otherwise(F.lit("untitled"))
+    number, year = F.when(k == 1, F.col("p_size").cast("string")), F.when(k.isin(1, 2), 1999)
+    return T.read(spark, d, "part").select("p_partkey", X.display_title(title, number, year, F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(".PDF"))).alias("shown"))
+
+
+# JSN-02
+@query("SELECT event_id, coalesce((props::JSON ->> '$.k')::BIGINT, -1) AS k FROM events")
+def json_field(spark, d):
+    return T.read(spark, d, "events").select("event_id", F.coalesce(F.try_variant_get(F.parse_json("props"), "$.k", "bigint"), F.lit(-1)).alias("k"))
+
+
+# MTH-07, MTH-08, MTH-09
+@query(f"""WITH {REFS} SELECT l_orderkey, l_linenumber, l_partkey, source, CASE WHEN relationship <> 'REFERS_TO' THEN CASE WHEN target > 5 THEN 0.95 WHEN l_linenumber > 3 THEN 0.85 ELSE 0.7 END ELSE 0.3 END::DOUBLE AS extraction,
+CASE WHEN target IS NULL THEN CASE WHEN l_linenumber > 3 THEN 0.55 ELSE 0.35 END WHEN l_linenumber > 3 THEN 0.98 ELSE 0.92 END::DOUBLE AS mapping FROM refs""")
+def math_confidence(spark, d):
+    r, section = T.references(spark, d), F.col("l_linenumber") > 3
+    numbered = F.coalesce(F.col("target") > 5, F.lit(False))
+    return r.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "source", M.extraction_confidence(F.col("relationship"), numbered, F.lit(True), section).alias("extraction"),
+        M.mapping_confidence(F.when(F.col("target").isNotNull(), "exact"), section).alias("mapping"),
+    )
+
+
+# --- state -------------------------------------------------------------------------------------------
+
+
+# STM-01, SRT-08
+@query("SELECT user_id, event_type AS item_type, max(ts) AS viewed_at, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def hist_latest_wins(spark, d):
+    h = T.history(spark, d).select("user_id", "item_type", "viewed_at", "event_id")
+    return state.latest(h, ["user_id", "item_type"], "viewed_at", "event_id")
+
+
+# STM-02, DAT-02
+@query("""SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 30 MINUTE THEN 'FAILED' WHEN event_type = 'view' THEN 'RUNNING' ELSE 'COMPLETED' END AS status FROM events""")
+def jobs_stale_expiry(spark, d):
+    jobs = T.read(spark, d, "events").select("event_id", F.when(F.col("event_type") == "view", "RUNNING").otherwise("COMPLETED").alias("status"), F.col("ts").alias("created_at"))
+    return state.expire_jobs(jobs, datetime(2024, 1, 15)).select("event_id", "status")
+
+
+# DOC-07, DML-01
+@query(f"""WITH {SECTIONS}, kept AS (SELECT act_id, sort_order, 'kept' AS origin FROM sections WHERE verification_status IN ('VERIFIED', 'REJECTED') OR (act_id % 5 = 0 AND sort_order = 1))
+SELECT * FROM kept UNION ALL SELECT act_id, sort_order, 'new' FROM sections s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.act_id = s.act_id AND k.sort_order = s.sort_order)""")
+def state_lock_preserve(spark, d):
+    key = F.concat_ws("/", "act_id", "sort_order")
+    s = T.sections(spark, d).select(key.alias("id"), "act_id", "sort_order", F.col("sort_order").cast("string").alias("section_number"), F.col("sort_order").cast("string").alias("section_path"), "verification_status", F.lit("kept").alias("origin"))
+    drafts = s.drop("id").withColumns({"verification_status": F.lit("PENDING"), "origin": F.lit("new")})
+    refs = s.where("act_id % 5 = 0 AND sort_order = 1").select(F.col("id").alias("source_section_id"), F.lit("VERIFIED").alias("verification_status"))
+    return state.reprocess_sections(s, drafts, refs).select("act_id", "sort_order", "origin")
+
+
+# DML-05, DML-04
+@query(f"WITH {REFS} SELECT l_orderkey, l_linenumber, l_partkey, source, CASE WHEN source = 5 THEN NULL ELSE target END AS target_act_id, CASE WHEN source = 5 THEN 'NEEDS_REVIEW' ELSE verification_status END AS verification_status FROM refs")
+def state_unlink(spark, d):
+    r = T.references(spark, d).withColumn("target_act_id", F.col("target").cast("string")).withColumn("target_section_id", F.lit(None).cast("string"))
+    out = state.link(r, F.col("source") == 5, None, None)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "source", F.col("target_act_id").cast("bigint").alias("target_act_id"), "verification_status")
+
+
+# DML-07, STM-03
+@query("SELECT DISTINCT user_id, event_type AS item_type FROM events")
+def state_idempotent_save(spark, d):
+    keys = {"act_id": F.lit(None).cast("string"), "section_id": F.lit(None).cast("string"), "reference_id": F.lit(None).cast("string")}
+    h = T.history(spark, d).select("user_id", "item_type").withColumns(keys)
+    return state.save_items(h.where("item_type = 'view'").distinct(), h).select("user_id", "item_type")
+
+
+# DML-06
+@query(f"WITH {REFS} SELECT count(*) AS n FROM refs WHERE source <> 4")
+def state_delete_cascade(spark, d):
+    r = T.references(spark, d).select(F.col("source").cast("string").alias("source_act_id"), F.lit(None).cast("string").alias("target_act_id"))
+    jobs = spark.createDataFrame([], "act_id string, status string")
+    return state.delete_act("4", {"references": (r, "source_act_id")}, r, jobs)["references"].agg(F.count("*").alias("n"))
+
+
+# FLT-22 facets
+@query(f"WITH {ACTS} SELECT DISTINCT 'year' AS facet, year::VARCHAR AS value FROM acts UNION SELECT DISTINCT 'category', category FROM acts")
+def catalog_facets(spark, d):
+    return catalog.facets(T.acts(spark, d))
+
+
+# --- documents: no SQL has these; tests compare fixtures ------------------------------------------------
+
+
+# DOC-01
+@query()
+def doc_segment(spark, d):
+    return documents.segment(T.acts(spark, d).select("id", "raw_text"))
+
+
+# DOC-02
+@query()
+def doc_extract_refs(spark, d):
+    return documents.extract_references(T.acts(spark, d), text="raw_text")
+
+
+# DOC-03..DOC-06, AGG-11: every order cites a part's act by title; some leave it to context
+@query()
+def doc_map_refs(spark, d):
+    acts = T.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), X.search_form(F.concat("p_name", F.lit(" act"))).alias("normalized_title"), F.col("p_size").cast("string").alias("act_number"), (F.col("p_partkey") % 40 + 1980).cast("int").alias("year"), F.col("p_brand").alias("source_name"))
+    sections = T.sections(spark, d).select(F.concat_ws("/", "act_id", "sort_order").alias("id"), F.col("act_id").cast("string").alias("act_id"), F.col("sort_order").cast("string").alias("section_number"), F.col("sort_order").cast("string").alias("section_path"), F.lit("SECTION").alias("section_type"), "heading", "text")
+    li = T.read(spark, d, "lineitem").join(T.read(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    names = F.col("l_linenumber") % 3 != 0
+    position = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"))
+    none = F.lit(None).cast("string")
+    refs = li.select(
+        F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_suppkey").cast("string").alias("source_act_id"), position.alias("position"), F.when(names, F.concat("p_name", F.lit(" Act"))).otherwise(F.concat(F.lit("section "), F.col("l_linenumber"))).alias("raw_reference_text"),
+        F.when(F.col("l_returnflag") == "A", "AMENDS").otherwise("REPEALS").alias("relationship_type"), F.when(names, F.concat(F.initcap("p_name"), F.lit(" Act"))).alias("target_act_title_raw"), none.alias("target_act_number"), F.lit(None).cast("int").alias("target_act_year"),
+        F.col("l_linenumber").cast("string").alias("target_section_number"), none.alias("target_section_path"), none.alias("target_act_id"), none.alias("target_section_id"), F.lit("PENDING").alias("verification_status"),
+    )
+    return mapping.map_references(refs, acts, sections).select("id", "source_act_id", "position", "resolved", "section", "match", "confidence", "needs_review", "used_context")
+
+
+# STR-21
+@query()
+def meta_extract(spark, d):
+    return documents.metadata(T.acts(spark, d).withColumn("source_file_name", F.concat(F.lit("act_"), F.col("id"), F.lit(".pdf"))))
+
+
+# STR-18, STR-19, HYB-03: the boost of an exact identifier over all acts
+@query(f"WITH {ACTS} SELECT id, CASE WHEN act_number = '9' AND year = 1987 THEN 200.0::DOUBLE ELSE 0 END AS boost FROM acts")
+def intent_boost(spark, d):
+    intent = Q.parse("Act No. 9 of 1987")
+    return T.acts(spark, d).select("id", search.fallback_boost(Q.act_boost(intent, F.col("act_number"), F.col("year"), F.col("title"))).alias("boost"))
