@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as X
+from sextant.schemas import RELATIONSHIPS, VERIFICATION
 
 
 def edges(references: DataFrame, source: str = "source", target: str = "target", label: str = "relationship") -> DataFrame:
@@ -61,16 +62,13 @@ def summary(references: DataFrame, focus: object) -> DataFrame:
     """One row: totals by direction and mapping, and counts by type and status."""
     source, target = F.col("source") == focus, F.coalesce(F.col("target") == focus, F.lit(False))
     own = references.where(source | target)
-    totals = own.agg(
+    counted = lambda column, domain: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, domain)), F.array(*(F.count_if(F.col(column) == v) for v in domain))), lambda _, n: n > 0)
+    return own.agg(
         F.count("*").alias("total"), F.count_if(F.col("source") == focus).alias("outgoing"), F.count_if(F.col("source") != focus).alias("incoming"),
         F.count_if(F.col("target").isNotNull()).alias("mapped"), F.count_if(F.col("target").isNull()).alias("unresolved"),
+        counted("relationship", RELATIONSHIPS).alias("by_type"), counted("verification_status", VERIFICATION).alias("by_status"),
     )
 
-    def tally(column: str, name: str) -> DataFrame:
-        return own.groupBy(column).agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("key"), "n"))).alias(name))
-
-    return totals.crossJoin(tally("relationship", "by_type")).crossJoin(tally("verification_status", "by_status"))  # three single rows
-
 
 def relationship_rows(references: DataFrame, acts: DataFrame, sections: DataFrame, focus: Column) -> DataFrame:
     """References with both ends' labels; an unmapped target shows what was cited. Four left joins, to-one."""

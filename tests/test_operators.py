@@ -188,6 +188,7 @@ def test_graph(spark):
     assert (row.counterpart, row.total, row.pending, [tuple(x) for x in row.by_type]) == (2, 3, True, [("AMENDS", 2), ("REPEALS", 1)])
     s = graph.summary(refs, 1).first()
     assert (s.total, s.outgoing, s.incoming, s.mapped, s.unresolved) == (5, 4, 1, 4, 1)
+    assert s.by_type == {"AMENDS": 3, "REPEALS": 1, "ADDS": 1} and s.by_status == {"VERIFIED": 3, "PENDING": 1, "REJECTED": 1}
     assert graph.edges(refs.limit(0)).count() == 0
 
 
