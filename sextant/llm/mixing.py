@@ -55,6 +55,7 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = 3.0, steps: int
     """
     start = F.when(F.col("target") >= most * F.col("source_size"), F.log(F.lit(most))).otherwise(F.lit(0.0))
     state = targets.select("source", F.col("target"), start.alias("l"), (F.col("target") >= most * F.col("source_size")).alias("tight"))
+    files = max(1, targets.count() // 100_000)
     for _ in range(steps):
         at = cells.alias("c").join(state.alias("s"), F.expr("c.source <=> s.source"))
         tokens = F.sum(F.col("size") * F.col("n") * F.least(F.lit(float(most)), F.exp("l")))
@@ -66,7 +67,8 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = 3.0, steps: int
         free = ~F.col("tight") & (F.col("slope") > 0) & (F.col("target") > 0)
         moved = F.least(moved, F.log(F.lit(float(most))))
         error = F.when(free, F.abs(F.col("tokens") - F.col("target")) / F.col("target")).otherwise(0.0)
-        last, state = state, settle(taken.select("source", "target", F.when(free, moved).otherwise(F.col("l")).alias("l"), "tight", error.alias("error")), "multipliers")
+        # one row for each source: a file or few, not one for each shuffle partition
+        last, state = state, settle(taken.coalesce(files).select("source", "target", F.when(free, moved).otherwise(F.col("l")).alias("l"), "tight", error.alias("error")), "multipliers")
         if hasattr(last, "_sextant_path"):
             drop(last)
         if (state.agg(F.max("error")).first()[0] or 0.0) < tolerance:
