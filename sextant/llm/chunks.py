@@ -1,8 +1,8 @@
 """Document fingerprints by content-defined chunking.
 
-A gear hash over the last 32 bytes, h = 2 h + G[byte] modulo 2^32, ends a chunk where its top
-bits are zero: 9 bits before the normal size of 128 bytes and 5 beyond it (normalised
-chunking), never before 32 bytes and always at 1024. Boundaries so depend on the text nearby,
+A gear hash over the last 16 bytes, h = 2 h + G[byte], ends a chunk where its top bits are
+zero: 8 bits before the normal size of 64 bytes and 4 beyond it (normalised chunking), never
+before 16 bytes and always at 512. Boundaries so depend on the text nearby,
 not on what precedes it, and an insertion changes the chunks around it only. A fingerprint is
 the set of chunk digests with their lengths in bytes; containment is the share of one set's
 length whose digests the other has.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import by_bucket, group_count, order_buckets
 
-LEAST, NORMAL, MOST = 32, 128, 1024
-STRICT, LOOSE = 9, 5
+LEAST, NORMAL, MOST = 16, 64, 512
+STRICT, LOOSE = 8, 4
 GEAR = np.random.default_rng(1_031).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 Chunks = dict[int, int]
@@ -32,7 +32,7 @@ Chunks = dict[int, int]
 def _ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose hash has zero top bits: by the strict and by the loose rule."""
     h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8):
         step = h.copy()
         step[k:] += h[:-k] << np.uint32(k)
         h = step
@@ -43,7 +43,7 @@ def _ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def chunk_sets(texts: list[bytes]) -> list[Chunks]:
     """For each text its chunks' digests (48 bits) and lengths.
 
-    The texts are hashed in one buffer: no boundary can lie in a text's first 32 bytes, so the
+    The texts are hashed in one buffer: no boundary can lie in a text's first 15 bytes, so the
     window never reaches into the text before.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
