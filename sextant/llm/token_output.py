@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,9 @@ def pack(ids: np.ndarray) -> bytes:
         assert rest < BLOCK
     least = grid.min(axis=1)
     gap = grid - least[:, None]
-    bits = np.zeros(gap.shape, np.uint8)
-    for k in range(32):
-        more = gap >> np.uint32(k)
-        if not more.any():
-            break
-        bits += more > 0
-    width = np.sort(bits, axis=1)[:, -(-BLOCK * PERCENT // 100) - 1]
+    bits = np.frexp(gap)[1].astype(np.uint8)
+    place = -(-BLOCK * PERCENT // 100) - 1
+    width = np.partition(bits, place, axis=1)[:, place]
     odd = bits > width[:, None]
     n_odd = odd.sum(axis=1)
     size = width.astype(np.int64) * (BLOCK // 8) + 5 * n_odd
@@ -56,8 +53,8 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         if w:
             own = np.flatnonzero(width == w)
-            flat = np.packbits((gap[own][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1, axis=None, bitorder="little")
-            body[start[own][:, None] + np.arange(int(w) * BLOCK // 8)] = flat.reshape(len(own), -1)
+            wide = np.unpackbits(gap[own].astype("<u4").view(np.uint8).reshape(len(own), BLOCK, 4), axis=2, count=int(w), bitorder="little")
+            body[start[own][:, None] + np.arange(int(w) * BLOCK // 8)] = np.packbits(wide.reshape(len(own), -1), axis=1, bitorder="little")
     block, place = np.nonzero(odd)
     within = np.arange(len(block)) - np.repeat(np.cumsum(n_odd) - n_odd, n_odd)
     at = start[block] + width[block].astype(np.int64) * (BLOCK // 8)
@@ -86,10 +83,10 @@ def unpack(payload: bytes) -> np.ndarray:
             own = np.flatnonzero(width == w)
             packed = body[start[own][:, None] + np.arange(int(w) * BLOCK // 8)]
             bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
-            value = np.zeros((len(own), BLOCK), np.uint32)
-            for k in range(int(w)):
-                value |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-            grid[own] = value
+            whole = np.packbits(bits, axis=2, bitorder="little")
+            value = np.zeros((len(own), BLOCK, 4), np.uint8)
+            value[:, :, : whole.shape[2]] = whole
+            grid[own] = value.view("<u4")[:, :, 0]
     grid += least[:, None]
     many = n_odd.astype(np.int64)
     block = np.repeat(np.arange(blocks), many)
@@ -100,36 +97,47 @@ def unpack(payload: bytes) -> np.ndarray:
     return grid.reshape(-1)[:n]
 
 
+class _Kept(dict):
+    """Pieces and the bytes of their ids; a new piece is encoded when it is asked for."""
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__({"": b""})
+        self.tokenizer, self.most = tokenizer, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > 1 and piece[-1] in ".,|" and piece[-2] < "\u0130" and piece[-2].isalpha():  # letters that NFC and lower-casing leave letters
+            ids = self[piece[:-1]] + self[piece[-1]]
+        elif (low := piece.lower()) != piece and piece.isascii() and "<|" not in piece:  # a tokenizer that lower-cases
+            ids = self[low] if self.lowers else self._encode(piece)
+        else:
+            ids = self._encode(piece)
+        if len(self) < self.most and len(piece) < 64:
+            self[piece] = ids
+        return ids
+
+    def _encode(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    @cached_property
+    def lowers(self) -> bool:
+        return self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
+
+
 class Encoder:
-    """Ids of texts by a tokenizer of the tokenizers library, with the ids of frequent words kept.
+    """Ids of texts by a tokenizer of the tokenizers library, with the ids of frequent pieces kept.
 
     The tokenizer must never join or change characters across a space, line feed or the step from
     a letter to one of ``.,|`` (true of any whose pre-tokenizer splits there); pieces between
     these are then encoded on their own. At most ``keep`` pieces are kept.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.kept = Tokenizer.from_file(path), keep, {"": b""}
-
-    def _ids(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _new(self, piece: str) -> bytes:
-        if len(piece) > 1 and piece[-1] in ".,|" and piece[-2] < "\u0130" and piece[-2].isalpha():  # letters that NFC and lower-casing leave letters
-            core = piece[:-1]
-            ids = (self.kept.get(core) or self._new(core)) + (self.kept.get(piece[-1]) or self._new(piece[-1]))
-        else:
-            ids = self._ids(piece)
-        if len(self.kept) < self.keep and len(piece) < 64:
-            self.kept[piece] = ids
-        return ids
+        self.kept = _Kept(Tokenizer.from_file(path), keep)
 
     def __call__(self, text: str) -> np.ndarray:
-        kept, new = self.kept, self._new
-        pieces = text.replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join([kept[p] if p in kept else new(p) for p in pieces]), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, text.replace("\n", " ").split(" "))), dtype="<u4")
 
 
 def _encoder(path: str) -> Callable[[str], np.ndarray]:

@@ -394,3 +394,75 @@ def test_streaming_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))
     history.run_once(history.latest_views(stream, ["u", "k"]), "views", str(tmp_path / "ck"))
     assert {(r.u, r.views) for r in spark.table("views").collect()} == {(1, 4), (2, 1)}
+
+
+# --- whole plans ---
+
+
+def test_hybrid_search(spark, corpus):
+    from sextant.plans import hybrid
+
+    acts, sections, refs = corpus
+    vectors = spark.createDataFrame([("s1", [1.0, 0.0]), ("s3", [0.0, 1.0])], "id string, embedding array<double>")
+    s = sections.join(vectors, "id", "left")
+    mode, page = hybrid.search_page(acts, s, refs, "levy", "LAWYER", vector=[0.0, 1.0])
+    rows = page.collect()
+    assert mode == "hybrid" and rows[0].id == "s3"
+    mode, page = hybrid.search_page(acts, s, refs, "section 9", "GENERAL_USER", "semantic", vector=[0.0, 1.0])
+    assert mode == "semantic" and [r.id for r in page.collect()] == ["s1", "s3"]
+    mode, page = hybrid.search_page(acts, s, refs, "", "LAWYER", relationship="AMENDS")
+    assert mode == "keyword" and [r.id for r in page.collect()] == ["r1"]
+    mode, page = hybrid.search_page(acts, s, refs, "levy", "LAWYER", year=1978)
+    assert mode == "keyword" and page.count() == 0
+    with pytest.raises(ValueError):
+        hybrid.search_page(acts, s, refs, "x", requested="semantic")
+
+
+def test_ingest(spark):
+    from sextant.plans import ingest
+
+    texts = spark.createDataFrame([("a", "a.pdf", TEXT), ("b", "levy_act.pdf", "Levy Act, No. 25 of 2022\n1. First.\n3. Third."), ("n", "n.pdf", None)], "id string, source_file_name string, raw_text string")
+    out = ingest.ingest(texts)
+    refs = out.references.where("target_act_number = '25'").collect()
+    assert len(refs) == 1 and refs[0].target_act_id == "b" and refs[0].relationship_type == "AMENDS"
+    assert {r.id for r in out.acts.collect()} == {"a", "b", "n"}
+    assert out.sections.where("act_id = 'b' AND section_type = 'SECTION'").count() == 2
+
+
+def test_hash_embedding(spark):
+    from sextant.functions.embedding import hash_provider
+
+    rows = spark.createDataFrame([("A  b",), ("a b",), ("c",), (" ",), (None,)], "t string").select(hash_provider(40)(F.col("t")).alias("v")).collect()
+    assert rows[0].v == rows[1].v != rows[2].v and sum(x * x for x in rows[2].v) == pytest.approx(1) and set(rows[3].v) == set(rows[4].v) == {0.0}
+
+
+def test_model_payload(spark):
+    from sextant.functions.payload import references_of_payload
+
+    ok = '{"references":[{"raw_text":"section 5 of it","relationship":"amends","target_section_number":"5","confidence":3},{"raw_text":"Act No. 9","target_act_number":"9"}]}'
+    rows = [("a", "see section 5 here", ok), ("b", "x", '{"references":[{"raw_text":"abc","relationship":"LIKES"}]}'), ("c", "x", "not json"), ("d", "x", None), ("e", None, '{"references":[]}')]
+    got = references_of_payload(spark.createDataFrame(rows, "id string, text string, payload string")).collect()
+    assert [(r.id, r.relationship_type, r.target_section_number, r.confidence_score) for r in got] == [("a", "AMENDS", "5", 1.0)]
+
+
+def test_workspace(spark, corpus):
+    acts, sections, refs = corpus
+    items = spark.createDataFrame([(1, "ACT", "a1", None, None), (2, "SECTION", None, "s3", None), (3, "REFERENCE", None, None, "r1"), (4, "ACT", "gone", None, None)], "item int, item_type string, act_id string, section_id string, reference_id string")
+    got = {r.item: (r.of_act, r.title, r.status) for r in catalog.saved_items(items, acts, sections, refs).collect()}
+    assert got == {1: ("a1", "Judicature Act", "PROCESSED"), 2: ("a2", "Section 4 Tax liability", "VERIFIED"), 3: ("a2", "amends section 9", "VERIFIED"), 4: ("gone", "Saved item", None)}
+    seen = spark.createDataFrame([("a1", None), ("a2", "s3")], "act_id string, section_id string")
+    assert {r.href for r in catalog.history_links(seen, acts, sections).collect()} == {"/acts/a1", "/sections/s3"}
+    acts2 = spark.createDataFrame([("a", "k1"), ("b", None)], "id string, extraction_artifact_key string")
+    jobs = spark.createDataFrame([("a", 2, '{"artifact_key":"k2"}'), ("a", 1, '{"artifact_key":"k1"}'), ("a", 3, "{}")], "act_id string, created_at int, summary_json string")
+    assert {r.id: r["keys"] for r in exports.pointers(acts2, jobs).collect()} == {"a": ["k1", "k2"], "b": []}
+    rows = graph.relationship_rows(refs, acts, sections, F.lit("a2")).where("id = 'r1'").first()
+    assert (rows.source_act_title, rows.target_act_title, rows.target_section_label, rows.direction, rows.mapped) == ("Social Security Contribution Levy Act", "Judicature Act", "9", "outgoing", True)
+
+
+def test_gold_resolution(spark):
+    acts = spark.createDataFrame([("a", "d.pdf")], "id string, source_file_name string")
+    sections = spark.createDataFrame([("s1", "a", "4"), ("s2", "a", "5"), ("s3", "a", "5")], "id string, act_id string, section_path string")
+    gold = spark.createDataFrame([("q", "d.pdf", "4"), ("q", "d.pdf", "5"), ("q", "d.pdf", "6")], "query_id string, document_identifier string, expected_section_path string")
+    ok, bad = evaluation.resolve_gold(gold, sections, acts)
+    assert [r.section_id for r in ok.collect()] == ["s1"]
+    assert {(r.expected_section_path, r.sections) for r in bad.collect()} == {("5", 2), ("6", 0)}
