@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm import decontaminate, language_id, mixing, simhash, token_output
+from sextant.llm import decontaminate, language_id, mixing, set_join, token_output
 from sextant.llm.common import WORD, settle, shared_dir, table
 from sextant.llm.queries import tokenizer_path
 
@@ -23,11 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the least doc_id stays; of rows with one doc_id the first by text."""
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    stay = docs.join(first, docs.doc_id == first._first, "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """Of documents that pairs with a Jaccard similarity of 0.8 or more over 5-word shingles connect, the one with the least doc_id stays."""
+    found = set_join.with_components(docs.where("doc_id IS NOT NULL"), size=5, least=0.8)
+    rank = F.row_number().over(Window.partitionBy("component").orderBy("doc_id", "text"))
+    stay = found.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
     return stay.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -73,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: No SQL has the language classifier, the fingerprints' bit counts or the tokenizer; tests/llm compares with brute force.
+#: No SQL has the language classifier, connected components or the tokenizer; tests/llm compares with brute force.
 ORACLE_SQL = None

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sextant.llm import chunks, common, components, decontaminate, html_text, language_id, lm_score, mixing, queries, simhash, substring_dedup, token_output, url_filter
+from sextant.llm import chunks, common, components, decontaminate, html_text, language_id, lm_score, mixing, queries, set_join, simhash, substring_dedup, token_output, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -438,6 +438,52 @@ def test_chunks_resist_shifts():
     assert all(n <= chunks.MOST for n in a.values()) and chunks.chunk_sets([b"", text])[1] == a
 
 
+# --- exact set join (pipeline) ---
+
+
+def brute_alike(texts, size=5, least=0.8):
+    """Components over distinct positions of ``texts``, by all pairs."""
+    cut = lambda t: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in map(cut, texts)]
+    root = list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(k) for k in range(len(texts))]
+
+
+def test_pipeline_finds_all_pairs_by_similarity(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(58)
+    texts = [None, "", " ", "one two", "ONE two", "two one"]
+    for k in range(12):
+        base = [rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(rng.choice([6, 20, 60, 250]))]
+        common = ["every", "page", "has", "this", "line", "of", "words"] if k % 2 else []
+        for _ in range(rng.randrange(1, 14)):
+            if rng.random() < 0.3:
+                base = base.copy()  # a chain: the next copies start from this one
+            new = base.copy() if rng.random() < 0.5 else base
+            for _ in range(rng.randrange(1 + len(base) // 40 + 1)):
+                new[rng.randrange(len(new))] = str(rng.randrange(10**6))
+            texts.append(" ".join(common + new))
+    want = brute_alike(texts)
+    docs = docs_of(spark, texts, lang="en", source="s", n_chars=1)
+    got = {r.doc_id: r.component for r in set_join.with_components(docs).collect()}
+    assert len(set(zip((got[k] for k in range(len(texts))), want, strict=True))) == len(set(want)) == len(set(got.values())) < len(texts)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert kept == sorted(set(want))
+    assert set_join.with_components(docs.limit(0)).count() == 0
+
+
 # --- queries and pipeline ---
 
 
