@@ -23,11 +23,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that pairs with a Jaccard similarity of 0.8 or more over 5-word shingles connect, the one with the least doc_id stays."""
-    found = set_join.with_components(docs.where("doc_id IS NOT NULL"), size=5, least=0.8)
-    rank = F.row_number().over(Window.partitionBy("component").orderBy("doc_id", "text"))
-    stay = found.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
-    return stay.unionByName(docs.where("doc_id IS NULL"))
+    """Of documents that pairs with a Jaccard similarity of 0.8 or more over 5-word shingles connect, the one with the least doc_id (null last), then text, stays.
+
+    Rows are judged by their own texts: doc_id may be null or repeat.
+    """
+    found = set_join.with_components(docs, size=5, least=0.8)
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "text"))
+    return found.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -484,6 +484,14 @@ def test_pipeline_finds_all_pairs_by_similarity(spark):
     assert set_join.with_components(docs.limit(0)).count() == 0
 
 
+def test_pipeline_judges_rows_by_their_texts(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(None, "copied text of a row without id"), (None, "copied text of a row without id"), (7, "one text under an id"), (7, "quite another text, same id"), (8, "quite another text, same id"), (9, "copied text of a row without id")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert kept == [rows[2], rows[3], rows[5]]
+
+
 # --- queries and pipeline ---
 
 
