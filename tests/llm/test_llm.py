@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sextant.llm import chunks, common, components, decontaminate, html_text, language_id, lm_score, mixing, queries, set_join, simhash, substring_dedup, token_output, url_filter
+from sextant.llm import chunks, common, components, decontaminate, html_text, language_id, lm_model, lm_score, mixing, queries, set_join, simhash, substring_dedup, token_output, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -290,7 +290,7 @@ def test_scores(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     rows = [tuple(r) for r in docs] + [(900, None), (901, ""), (902, "É neverseenword"), (902, "twice")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("g", F.lit("clash"))
-    got = lm_score.score_documents(df, common.in_fold(F.col("doc_id"), 7, 2), queries.tokenizer_path("piece_bpe_32k.model"), group_bytes=20_000, steps=60).toPandas()
+    got = lm_score.score_documents(df, common.in_fold(F.col("doc_id"), 7, 2), queries.tokenizer_path("piece_bpe_32k.model"), group_bytes=20_000).toPandas()
     assert len(got) == len(rows)
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
     cut = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]
@@ -299,18 +299,25 @@ def test_scores(spark):
     want = sorted((d, held(d), len(cut(t)), sum(count[w] > 0 for w in cut(t)), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in cut(t)), 4)) for d, t in rows)
     assert sorted((int(r.doc_id), bool(r.held_out), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got.itertuples()) == want
     assert (got.score < 0).all() and np.isfinite(got.score).all()
-    assert lm_score.score_documents(df.limit(0), F.lit(False), queries.tokenizer_path("piece_bpe_32k.model"), steps=5).count() == 0
-    alone = lm_score.score_documents(df.where("doc_id >= 900"), F.lit(True), queries.tokenizer_path("piece_bpe_32k.model"), steps=5).toPandas()
+    assert lm_score.score_documents(df.limit(0), F.lit(False), queries.tokenizer_path("piece_bpe_32k.model")).count() == 0
+    alone = lm_score.score_documents(df.where("doc_id >= 900"), F.lit(True), queries.tokenizer_path("piece_bpe_32k.model")).toPandas()
     assert (alone.n_known == 0).all() and (alone.train_tokens == 0).all() and (alone.score < 0).all()
 
 
-def test_model_is_a_distribution():
+def small_model(size=40, learn=True):
     rng = np.random.default_rng(0)
-    size = 40
     counts, initial = rng.integers(0, 50, size + 1), np.append(rng.random(size) < 0.4, True)
-    pairs = np.array([(a, b, 3) for a in range(0, size, 3) for b in range(0, size, 2)])
-    m = lm_score.Model(counts, initial, pairs, [rng.integers(0, size, 200) for _ in range(5)], steps=20)
-    for context in ([], [3], [3, 9, 12], list(rng.integers(0, size, 70))):
+    model = lm_model.Model(counts, initial, rng.random((size + 1, 5)).astype(np.float32))
+    if learn:
+        trainer = lm_model.Trainer(model)
+        trainer.learn(rng.integers(0, size, 3000), rng, 0.1)
+        lm_model.apply(model, [(k, lm_model.add([p])) for k, p in trainer.changes(model)])
+    return model
+
+
+def test_model_is_a_distribution():
+    m, size = small_model(), 40
+    for context in ([], [3], [3, 9, 12], list(np.random.default_rng(3).integers(0, size, 70))):
         total = 0.0
         for nxt in range(size + 1):
             ids = np.array([*context, nxt])
@@ -319,16 +326,60 @@ def test_model_is_a_distribution():
         assert total == pytest.approx(1.0, abs=1e-3)
 
 
+@pytest.mark.parametrize("initial", [True, False])
+def test_pieces_of_one_kind(initial):
+    m = lm_model.Model(np.arange(8), np.full(8, initial), np.zeros((8, 3), np.float32))
+    assert sum(10 ** m.log10(np.array([k]), [1])[0] for k in range(8)) == pytest.approx(1.0, abs=1e-4)
+
+
 def test_every_piece_is_scored_once():
-    rng = np.random.default_rng(1)
-    m = lm_score.Model(np.ones(31, np.int64), np.ones(31, bool), np.zeros((0, 3), np.int64), [], steps=0)
+    rng, m = np.random.default_rng(1), small_model(30)
     sizes = [1, 2, 31, 32, 33, 56, 57, 200]
     ids = rng.integers(0, 30, sum(sizes))
     together = m.log10(ids, sizes, batch=3)
     at = np.cumsum([0, *sizes])
     apart = [m.log10(ids[a:b], [b - a])[0] for a, b in zip(at[:-1], at[1:], strict=True)]
     assert together == pytest.approx(apart, rel=1e-5)
-    assert together == pytest.approx([-n * math.log10(31) for n in sizes], rel=0.3)
+    # by hand: one window at a time, one position at a time
+    w, d, want = m.weights, lm_model.WIDTH, []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        doc, read, total = ids[a:b], np.concatenate(([m.end], ids[a : b - 1])), 0.0
+        for k in range(len(doc)):
+            turn = 0 if k < 32 else -(-(k - 31) // 24)
+            x = w["pieces"][read[24 * turn : k + 1]] + w["places"][: k + 1 - 24 * turn]
+            att = np.exp(x @ w["key"] @ (x[-1] @ w["query"]) / math.sqrt(d))
+            h = x[-1] + att @ (x @ w["value"]) / att.sum()
+            h = h + np.maximum(h @ w["wide"] + w["lift"], 0) @ w["narrow"]
+            _, _, node, sign = m.tree.ways(doc[k : k + 1])
+            total -= np.log1p(np.exp(-sign * (w["nodes"][node, :-1] @ h + w["nodes"][node, -1]))).sum()
+        want.append(total / math.log(10))
+    assert together == pytest.approx(want, rel=1e-4)
+
+
+def test_training_lowers_the_loss(monkeypatch):
+    """Rounds of training, averaged over two equal trainers, lower the loss."""
+    monkeypatch.setattr(lm_model, "BATCH", 4)
+    m, rng = small_model(learn=False), np.random.default_rng(5)
+    ids = rng.integers(0, 8, 400)
+    before = m.log10(ids, [len(ids)])[0]
+    for turn in range(20):
+        trainer = lm_model.Trainer(m)
+        trainer.learn(ids, np.random.default_rng(turn), turn / 20)
+        lm_model.apply(m, [(k, lm_model.add([p, p])) for k, p in trainer.changes(m)])
+    assert m.log10(ids, [len(ids)])[0] > before + 40
+
+
+def test_scores_of_null_and_repeated_rows(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (1, None), (1, ""), (2, "x" * 100_000), (2, "w " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("g", F.lit(1)).withColumn("held_out", F.lit("x"))
+    got = lm_score.score_documents(df, F.lit(False), queries.tokenizer_path("piece_bpe_32k.model")).toPandas()
+    assert sorted(got.n_tokens) == [1, 1, 2, 4, 4, 50_001] and np.isfinite(got.score).all()
+    assert got[got.doc_id.isna()].score.nunique() == 1
+
+
+def test_held_out_scores_beat_the_base(spark):
+    got = queries.op8_lm_score(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum()
 
 
 # --- 9 SimHash ---
