@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import by_bucket, group_count, order_buckets
+from sextant.llm.common import by_bucket, order_buckets
 
 LEAST, NORMAL, MOST = 16, 64, 512
 STRICT, LOOSE = 8, 4
@@ -95,29 +95,26 @@ def fingerprint_neighbours(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Dat
     The next document is the one before in doc_id (the order is descending; the last's next is
     the first; a single document's is itself). Equal doc_ids follow one another in order of their
     texts, a null doc_id counts as least, a null text as empty; other columns are not read. Texts
-    are shuffled once, to ranges of doc_id; of each range the first row goes to the range before
-    it too, so every row finds its next one in its own task.
+    are shuffled once, to ranges of doc_id; the first text of each range goes to
+    the range before it too, so every row finds its next one in its own task.
     """
-    rows = docs.select("doc_id", "text")
-    count = group_count(rows, F.octet_length("text"), bucket_bytes)
     least = -(2**63)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(least))
-    heads = order_buckets(rows.select(key.alias("key")), "key", count).groupBy("bucket").agg(F.max("key").alias("key")).orderBy("bucket").collect()
-    receivers = {}  # the greatest key of a range is wanted by the next range above it that has rows
-    for k, head in enumerate(heads):
-        receivers.setdefault(head["key"], []).append(heads[(k + 1) % len(heads)]["bucket"])
-    dealt = order_buckets(rows.withColumn("key", key), "key", count).withColumn("carry", F.lit(False))
-    if receivers:
-        wanted = docs.sparkSession.createDataFrame([(k, b) for k, bs in receivers.items() for b in bs], "key long, bucket int")
-        carried = rows.withColumn("key", key).join(F.broadcast(wanted), "key").withColumn("carry", F.lit(True))  # one row for each range
-        dealt = dealt.unionByName(carried)
+    turned = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)))  # ascending where doc_id descends
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), turned.alias("key"))
+    dealt, count = order_buckets(rows, "key", "text", bucket_bytes)
+    heads = dealt.groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").collect()  # one short row for each range
+    first = [(h["bucket"], h["key"], heads[k - 1]["bucket"]) for k, h in enumerate(heads)]
+    wanted = docs.sparkSession.createDataFrame(first, "bucket int, key long, receiver int")
+    carried = dealt.join(F.broadcast(wanted), ["bucket", "key"]).groupBy("receiver").agg(F.min("text").alias("text"))
+    carried = carried.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("key"), F.col("receiver").alias("bucket"), F.lit(True).alias("carry"))
+    dealt = dealt.withColumn("carry", F.lit(False)).unionByName(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last row so far, whose next one is to come
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                held += zip(part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()], part.column("carry").to_pylist(), strict=True)
+                held += zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("carry").to_pylist(), strict=True)
                 if len(held) > 1:
                     yield compare(held)
                     held = held[-1:]
@@ -138,5 +135,4 @@ def fingerprint_neighbours(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Dat
         ]
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
-    order = (F.col("carry"), F.col("key").desc(), F.col("text"))
-    return by_bucket(dealt, count, *order).mapInArrow(run, SCHEMA)
+    return by_bucket(dealt, count, F.col("carry"), F.col("key"), F.col("text")).mapInArrow(run, SCHEMA)

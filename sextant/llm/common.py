@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (local mode)."""
+    """The folder that driver and executors share; where none is set, a temporary one in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         holder = spark.sparkContext
         root = getattr(holder, "_sextant_shared", None)
         if not root:
@@ -61,22 +64,41 @@ def group_count(df: DataFrame, size: Column, target: int) -> int:
     return max(int(total // target) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def order_buckets(df: DataFrame, key: str, count: int, name: str = "bucket") -> DataFrame:
-    """Add ``name``: the number of a range of ``key`` (longs; null counts as least), ranges holding about as many rows each.
+#: Ranges at most, rows looked at for each to find its bounds (in all, ``LEAST_PROBES`` at least), and code points of a text that bounds tell apart.
+RANGES, PROBES, PREFIX = 32_768, 64, 32
+LEAST_PROBES = 50_000
 
-    The split points are quantiles of the whole key column, so unlike those of
-    ``repartitionByRange`` they are known on the driver and the same in every job.
+
+def order_buckets(df: DataFrame, key: str, text: str, target: int, name: str = "bucket") -> tuple[DataFrame, int]:
+    """``df`` with ``name``, the number of a range in the order of (``key``, ``text``), and how many ranges there are.
+
+    key holds longs (null counts as least), text strings. Ranges hold about ``target`` bytes of
+    text, more beyond ``RANGES`` of them. As in Spark's range partitioning only their bounds come from a random
+    sample, so it decides how even they are, never what they hold; here the bounds are known
+    on the driver and the same in every job. A key with very many rows is split by the start of its texts.
     """
-    probes = [i / count for i in range(1, count)]
-    splits = sorted(set(df.agg(F.percentile_approx(key, F.array(*map(F.lit, probes)), max(10_000, 20 * count))).first()[0] or [])) if probes else []
-    edges = np.asarray(splits, dtype=np.int64)
+    rows, total = df.agg(F.count("*"), F.sum(F.octet_length(text).cast("double"))).first()
+    count = min(max(int((total or 0) // target) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), RANGES)
+    least = np.iinfo(np.int64).min
+    place = [F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("key"), F.coalesce(F.substring(text, 1, PREFIX), F.lit("")).alias("prefix")]
+    drawn = df.select(*place, (F.coalesce(F.octet_length(text), F.lit(0)) + 16).alias("size"))
+    drawn = (drawn.sample(min(1.0, max(PROBES * count, LEAST_PROBES) / rows), 1) if rows else drawn).toPandas().sort_values(["key", "prefix"])
+    filled = drawn["size"].cumsum().to_numpy()
+    at = np.unique(np.searchsorted(filled, filled[-1] / count * np.arange(1, count))) if len(filled) else np.zeros(0, int)
+    at = at[at < len(filled)]
+    keys, prefixes = drawn["key"].to_numpy(np.int64)[at], drawn["prefix"].tolist()
+    prefixes = [prefixes[k] for k in at.tolist()]
 
     @F.pandas_udf("int")
-    def bucket(keys: pd.Series) -> pd.Series:
-        least = np.iinfo(np.int64).min
-        return pd.Series(np.searchsorted(edges, keys.astype("Int64").fillna(least).to_numpy(dtype=np.int64), side="right").astype(np.int32))
+    def bucket(own: pd.Series, start: pd.Series) -> pd.Series:
+        """How many bounds are not above (key, start of text)."""
+        own = own.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        for k in np.flatnonzero(low < high).tolist():
+            high[k] = bisect_right(prefixes, start[k], low[k], high[k])
+        return pd.Series(high.astype(np.int32))
 
-    return df.withColumn(name, bucket(key))
+    return df.withColumn(name, bucket(*place)), count
 
 
 def by_bucket(df: DataFrame, count: int, *order: Column, name: str = "bucket") -> DataFrame:
@@ -84,6 +106,13 @@ def by_bucket(df: DataFrame, count: int, *order: Column, name: str = "bucket") -
     return df.repartitionById(count, F.col(name)).sortWithinPartitions(name, *order)
 
 
+def runs_at(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``flat`` holds runs of ``sizes``, one after another; those numbered ``at``, in that order."""
+    own = sizes[at]
+    first = np.cumsum(own) - own
+    return flat[np.repeat((np.cumsum(sizes) - sizes)[at] - first, own) + np.arange(int(own.sum()))]
+
+
 #: Tables that are joined by broadcast have this many rows at most; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 

@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import by_bucket, group_count, order_buckets
+from sextant.llm.common import bounded, by_bucket, order_buckets, runs_at
 
 BLOCK, SEGMENT, PERCENT, MAGIC = 256, 1 << 16, 95, b"PFR1"
 _HEAD = struct.Struct("<4sII")
@@ -98,7 +100,7 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 class _Kept(dict):
-    """Pieces and the bytes of their ids; a new piece is encoded when it is asked for."""
+    """Pieces and the bytes of their ids; a new piece is encoded when it is asked for. Pieces made up of others are not kept."""
 
     def __init__(self, tokenizer, most: int):
         super().__init__({"": b""})
@@ -106,17 +108,30 @@ class _Kept(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > 1 and piece[-1] in ".,|" and piece[-2] < "\u0130" and piece[-2].isalpha():  # letters that NFC and lower-casing leave letters
-            ids = self[piece[:-1]] + self[piece[-1]]
-        elif (low := piece.lower()) != piece and piece.isascii() and "<|" not in piece:  # a tokenizer that lower-cases
-            ids = self[low] if self.lowers else self._encode(piece)
+            return self[piece[:-1]] + self[piece[-1]]
+        if self.lowers and piece.isascii() and (low := piece.lower()) != piece and "<|" not in piece:
+            return self[low]
+        if self.letters and piece.isalpha() and max(piece) < "\u0130":  # one piece to the pre-tokenizer, so its model alone gives the ids
+            ids = [token.id for token in self.tokenizer.model.tokenize(piece.translate(self.letters))]
         else:
-            ids = self._encode(piece)
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = array("I", ids).tobytes()
         if len(self) < self.most and len(piece) < 64:
             self[piece] = ids
         return ids
 
-    def _encode(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    @cached_property
+    def letters(self) -> dict[int, str]:
+        """What the tokenizer makes of the letters below U+0130 before its model sees them; empty unless runs of them stay whole."""
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normal is None or cut is None or any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return {}
+        every = [c for c in map(chr, range(0x130)) if c.isalpha()]
+        parts = [[p for p, _ in cut.pre_tokenize_str(normal.normalize_str(c))] for c in every]
+        whole = [p for p, _ in cut.pre_tokenize_str(normal.normalize_str("".join(every + every[::-1])))]
+        if any(len(p) != 1 for p in parts) or whole != ["".join(p[0] for p in parts + parts[::-1])]:
+            return {}
+        return {ord(c): p[0] for c, p in zip(every, parts, strict=True)}
 
     @cached_property
     def lowers(self) -> bool:
@@ -131,16 +146,35 @@ class Encoder:
     these are then encoded on their own. At most ``keep`` pieces are kept.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 350_000):
         from tokenizers import Tokenizer
 
         self.kept = _Kept(Tokenizer.from_file(path), keep)
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.kept.__getitem__, text.replace("\n", " ").split(" "))), dtype="<u4")
+        return self.batch(pa.array([text], pa.large_string()))[0]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (large_string, null: empty), and how many each has. Each distinct piece is looked up once."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        blobs = [self.kept[piece] for piece in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        at, edge = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
+        total = np.concatenate(([0], np.cumsum(sizes[at])))
+        return runs_at(np.frombuffer(b"".join(blobs), "<u4"), sizes, at), np.diff(total[edge - edge[0]])
+
 
+def _chunks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``batch`` with about ``most`` bytes of text together, one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield batch.slice(a, b - a)
 
-def _encoder(path: str) -> Callable[[str], np.ndarray]:
+
+def _encoder(path: str) -> Encoder:
     """One for each Python worker, whose tasks follow one another."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
@@ -160,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, bucket
     read. Texts are shuffled once, to buckets of about ``bucket_bytes``; no id passes the driver.
     """
     rows = docs.select("doc_id", "text")
-    count = group_count(rows, F.octet_length("text"), bucket_bytes)
+    dealt, count = order_buckets(rows, "doc_id", "text", bucket_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, names = _encoder(tokenizer), ["bucket", "segment", "n_tokens", "doc_ids", "doc_starts", "payload"]
@@ -176,22 +210,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, bucket
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for bucket, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "doc_id", "text")), strict=True):
-                    if bucket != state["bucket"]:
-                        if held:
-                            yield close()
-                        state.update(bucket=bucket, segment=0)
-                    held.append((doc_id, np.concatenate((ids_of(text), end)) if text else end))
-                    state["length"] += len(held[-1][1])
-                    if state["length"] >= SEGMENT:
+        for part in (p for batch in batches for p in _chunks(batch, 3 << 20)):
+            ids, sizes = ids_of.batch(part.column("text").cast(pa.large_string()))
+            stops = np.cumsum(sizes)
+            for bucket, doc_id, a, b in zip(part.column("bucket").to_pylist(), part.column("doc_id").to_pylist(), (stops - sizes).tolist(), stops.tolist(), strict=True):
+                if bucket != state["bucket"]:
+                    if held:
                         yield close()
+                    state.update(bucket=bucket, segment=0)
+                held.append((doc_id, np.append(ids[a:b], end)))
+                state["length"] += b - a + 1
+                if state["length"] >= SEGMENT:
+                    yield close()
         if held:
             yield close()
 
-    ordered = by_bucket(order_buckets(rows, "doc_id", count), count, F.col("doc_id").asc_nulls_first(), F.col("text"))
+    ordered = by_bucket(dealt, count, F.col("doc_id").asc_nulls_first(), F.col("text"))
     ordered.mapInArrow(encode, FILE_SCHEMA).write.parquet(path)
 
 
@@ -204,19 +238,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     in_all = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = buckets.select("bucket", F.coalesce(F.sum("n").over(in_all), F.lit(0)).alias("before"))
     places = sums.select("bucket", "segment", F.coalesce(F.sum("n").over(in_bucket), F.lit(0)).alias("local")).join(before, "bucket")
-    places = places.select("bucket", "segment", (F.col("local") + F.col("before")).alias("first"))
+    places = bounded(places.select("bucket", "segment", (F.col("local") + F.col("before")).alias("first")))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, segment, _, doc_ids, starts, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = unpack(payload).astype("<u4", copy=False)
-                ends = [*starts[1:], len(ids)]
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
-                n = len(doc_ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array([b - a for a, b in zip(starts, ends, strict=True)], pa.int64()), pa.array(crcs, pa.int64())],
-                    ["bucket", "segment", "doc_id", "local", "n_tokens", "ids_crc32"],
-                )
-
-    read = files.mapInArrow(decode, "bucket int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return read.join(places, ["bucket", "segment"]).select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+            for first, doc_ids, starts, payload in zip(*(batch.column(c) for c in ("first", "doc_ids", "doc_starts", "payload")), strict=True):
+                ids = unpack(payload.as_py()).astype("<u4", copy=False)
+                begin = starts.values.to_numpy()
+                ends = np.append(begin[1:], len(ids))
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(begin + first.as_py()), pa.array(ends - begin), pa.array(crcs, pa.int64())], names)
+
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    placed = files.join(places, ["bucket", "segment"]).select("first", "doc_ids", "doc_starts", "payload")
+    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")

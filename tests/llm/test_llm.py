@@ -123,6 +123,41 @@ def test_token_files(spark, tmp_path):
     assert token_output.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_letters_skip_the_pre_tokenizer():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(queries.tokenizer_path()), token_output.Encoder(queries.tokenizer_path())
+    assert len(e.kept.letters) > 150
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        piece = "".join(rng.choice([*map(chr, e.kept.letters)], int(rng.integers(1, 20))))
+        assert e(piece).tolist() == t.encode(piece, add_special_tokens=False).ids
+
+
+def test_order_buckets_split_hot_keys(spark):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abé"), 40)) for _ in range(600)] + [None, ""]
+    rows = [(None if k % 3 else int(rng.integers(-5, 5)), t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, count = common.order_buckets(df, "doc_id", "text", 1000)
+    got = [(-math.inf if r.doc_id is None else r.doc_id, r.text or "", r.bucket) for r in dealt.collect()]
+    assert [b for _, _, b in sorted(got)] == sorted(b for _, _, b in got)
+    assert count > 20 and max(Counter(b for _, _, b in got).values()) < 100
+    same = common.order_buckets(df.select(F.lit(None).cast("long").alias("doc_id"), "text"), "doc_id", "text", 1000)[0]
+    assert max(Counter(r.bucket for r in same.collect()).values()) < 100
+    assert common.order_buckets(df.limit(0), "doc_id", "text", 1000)[0].count() == 0
+
+
+def test_token_files_in_order_of_repeated_ids(spark, tmp_path):
+    rows = [(None, f"t{k:03d} " * 30) for k in range(200)] + [(5, "z"), (5, "a"), (5, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token_output.write_tokens(df, str(tmp_path / "t"), queries.tokenizer_path(), end_id=1, bucket_bytes=500)
+    e = token_output.Encoder(queries.tokenizer_path())
+    want = [zlib.crc32(np.append(e(t), np.uint32(1)).astype("<u4").tobytes()) for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[1]))]
+    got = token_output.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r.ids_crc32 for r in got] == want
+
+
 # --- 3 URL filters ---
 
 
