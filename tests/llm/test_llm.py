@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -286,6 +287,54 @@ def test_html_survives_anything():
         html_text.extract("".join(rng.choice(["<", ">", "</", "p", "div", " class=", '"', "'", "a", "&amp;", "&#x", "<!--", "<script", "/>", "\x00", "é"]) for _ in range(40)), "html/body")
 
 
+STORY = "<article><h1>Title here</h1><p>The story is told in full.</p></article>"
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f"<div class='layout has-sidebar'>{STORY}</div>", "Title here The story is told in full."),
+    (f"<form id=aspnetForm>{STORY}</form>", "Title here The story is told in full."),
+    ("<div class='story no-comments'><p>The story is told in full.</div>", "The story is told in full."),
+    (f"<main class='main menu-open'>{STORY}</main>", "Title here The story is told in full."),
+    (f"<div class='share-page'>{STORY}</div>", "Title here The story is told in full."),
+    (f"<html><head><title>x</title><body>{STORY}", "Title here The story is told in full."),
+    ("<head><meta charset=utf-8><title>x</title><p>No body tag at all.", "No body tag at all."),
+    ("<div class=sidebar><p>Nothing but a sidebar.</p></div>", "Nothing but a sidebar."),
+    ("<article><header><h1>Title</h1></header><p>Text of it.</p><footer>by</footer></article>", "Title Text of it."),
+    (f"<header><h1>Site</h1></header><div id=page class='with-menu'><div class=menu><a href=x>Home</a></div>{STORY}<div class=ad>Buy</div></div>", "Title here The story is told in full."),
+    (f"<body><div class=page>{STORY}<section class='comments'><article><p>{'I say it is so. ' * 9}</p></article></section></div>", "Title here The story is told in full."),
+    (f"<body>{STORY}<form><input><label>Your mail</label></form><aside class=related><article><h1>Other</h1></article></aside>", "Title here The story is told in full."),
+    ("<div class=w-1/2><p>Half.</p></div>", "Half."),
+])
+def test_wrappers_stay_and_parts_go(html, want):
+    assert html_text.extract(html, None) == want
+    best = html_text.container_scores(html)
+    assert html_text.extract(html, max(best, key=best.get)) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<div>" * 50_000 + "</p>" * 50_000 + "x", "<li><b>" * 50_000 + "x", "<p>" * 100_000 + "x", "<head>" * 50_000 + "x", "<ul><li>" * 50_000 + "</ol>" * 50_000 + "x"])
+def test_long_pages_take_linear_time(page):
+    began = time.process_time()
+    assert html_text.extract(page, "html/body/div") in ("deep", "x")
+    assert time.process_time() - began < 6
+
+
+def test_templates_by_hand(spark):
+    """Hosts with different layouts; the text of every page is known beforehand."""
+    rng, rows, want = random.Random(3), [], {}
+    shells = [
+        "<html><head><title>t</title></head><body><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><div id=main class='main has-sidebar'><div class=post{k}>{body}</div><div class=sidebar><p>{side}</p></div></div><footer>f</footer></body></html>",
+        "<body class=single><form id=f><table><tr><td class=left><ul><li><a href=/a>Menu</a></ul><td class=story>{body}</table></form><div class=cookie-notice>{side}</div>",
+        "<body><div class='layout-wrap'><aside>{side}</aside><article class=entry>{body}<div class='share social'>Share</div></article><div id=comments><p>{side} {side}</p></div></div>",
+    ]
+    for k in range(60):
+        paragraphs = [" ".join(rng.choice(["salt", "river", "stone", "&eacute;t&eacute;", "owl"]) for _ in range(rng.randint(8, 40))) for _ in range(rng.randint(2, 6))]
+        shell = shells[k % 3].replace("{k}", str(k)).replace("{body}", "".join(f"<p>{x}</p>" for x in paragraphs)).replace("{side}", "aside words here")
+        rows.append((k, f"http://host{k % 3}.net/{k}", shell))
+        want[k] = " ".join(paragraphs).replace("&eacute;", "é")
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_every_page_of_the_table(spark):
     from html import unescape
 
