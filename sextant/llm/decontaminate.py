@@ -2,13 +2,17 @@
 
 A window is ``width`` consecutive words of an item (an item of fewer words is one window). It
 occurs in a document only if all its shingles do, so one of them, its prefix, is enough to
-find it: the rarest in the documents. Occurrences of benchmark shingles are joined to the
-prefixes, positions bound where the window would start and end, and the words there are
-compared exactly.
+find it. First the benchmark's shingles are counted in all documents, in one aggregated pass;
+that orders them by rarity, and every window keeps its rarest one only. Then the documents'
+shingles are joined to these prefixes alone, positions bound where the window would start and
+end, and the words there are compared exactly. Texts are not shuffled as long as the prefixes
+fit a broadcast.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +27,16 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(text), GAP), ""), F.array().cast("array<string>"))
 
 
-def _shingles(words: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words, by start."""
-    last = F.size(words) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size))))
+def _shingled(rows: DataFrame, size: int, *keep: str) -> DataFrame:
+    """``keep``, pos and token: a hash for each run of ``size`` words of the column words, by start."""
+    count = F.greatest(F.size("words") - (size - 1), F.lit(0))
+    runs = F.arrays_zip(*(F.slice("words", k + 1, count) for k in range(size)))
+    exploded = rows.select(*keep, F.posexplode(runs).alias("pos", "run"))
+    return exploded.select(*keep, "pos", F.xxhash64(*(F.col("run")[str(k)] for k in range(size))).alias("token"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def windows_of(items: DataFrame, width: int = 10) -> DataFrame:
@@ -51,42 +60,36 @@ def contaminated_by(docs: DataFrame, items: DataFrame, width: int = 10, shingle:
     """
     width, shingle = int(width), min(int(shingle), int(width))
     own = settle(windows_of(items, width), "windows")
-    windows = own.select("window", "length").distinct()
-    parts = F.split("window", " ")
-    sizes = sorted(r[0] for r in windows.select(F.least("length", F.lit(shingle))).distinct().collect())  # at most ``shingle`` of them
-    offsets = [
-        windows.where(F.least("length", F.lit(shingle)) == q).select("window", "length", F.posexplode(_shingles(parts, q)).alias("offset", "token")) for q in sizes
-    ]
-    pieces = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    if not offsets:
-        found = None
-    else:
-        needed = offsets[0]
-        for more in offsets[1:]:
-            needed = needed.unionByName(more)
-        needed = settle(needed, "tokens")
-        at = None
-        for q in sizes:
-            one = pieces.select("doc_id", F.size("words").alias("n"), F.posexplode(_shingles(F.col("words"), q)).alias("pos", "token"))
-            at = one if at is None else at.unionByName(one)
-        seen = settle(at.join(bounded(needed.select("token").distinct()), "token"), "occurrences")
-        counts = seen.groupBy("token").agg(F.count("*").alias("n"))
-        rarity = needed.join(counts, "token", "left").groupBy("window", "length").agg(
-            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("prefix")
-        )
-        prefixes = rarity.where("prefix.n > 0").select("window", "length", "prefix.token", "prefix.offset")
+    windows = own.select("window", "length").distinct().withColumn("words", F.split("window", " "))
+    span = F.least("length", F.lit(shingle))
+    sizes = sorted(r[0] for r in windows.select(span).distinct().collect())  # at most ``shingle`` of them
+    key = ["doc_id", "text_hash"]
+    pieces = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
+    hits = docs.sparkSession.createDataFrame([], docs.select("doc_id", F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("window")).schema)
+    if sizes:
+        needed = settle(_union([_shingled(windows.where(span == q), q, "window", "length").withColumnRenamed("pos", "offset") for q in sizes]), "tokens")
+        tokens = settle(needed.select("token").distinct(), "distinct-tokens")
+        counts = _union([_shingled(pieces, q) for q in sizes]).join(bounded(tokens), "token").groupBy("token").agg(F.count("*").alias("n"))
+        rarest = needed.join(counts, "token").groupBy("window", "length").agg(F.count("*").alias("found"), F.min(F.struct("n", "token", "offset")).alias("prefix"))
+        whole = F.col("found") == F.col("length") - span + 1  # a window with a shingle that no document has is in none
+        prefixes = settle(rarest.where(whole).select("window", "length", "prefix.token", "prefix.offset"), "prefixes")
         start = F.col("pos") - F.col("offset")
-        placed = seen.join(bounded(settle(prefixes, "prefixes")), "token").where((start >= 0) & (start + F.col("length") <= F.col("n")))
-        found = placed.groupBy("doc_id").agg(F.collect_set(F.struct(start.alias("start"), "length", "window")).alias("places"))
-
-    texts = docs.select("doc_id", "text")
-    if found is None:
-        joined = texts.withColumn("places", F.lit(None).cast("array<struct<start:int,length:int,window:string>>"))
-    else:
-        joined = texts.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left").select("d.doc_id", "d.text", "f.places")
-    split = joined.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"), F.coalesce("places", F.array()).alias("places"))
-    words = F.col("words")
-    sure = F.array_sort(F.filter("places", lambda p: F.array_join(F.slice(words, p["start"] + 1, p["length"]), " ") == p["window"]))
+        fits = (start >= 0) & (start + F.col("length") <= F.col("n"))
+        same = F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ") == F.col("window")
+        small = bounded(prefixes)
+        found = []
+        for q in sizes:
+            # beyond the bound, words are joined again to what positions allow, so that they are shuffled once
+            kept = ["words"] if small is not prefixes else []
+            placed = _shingled(pieces.withColumn("n", F.size("words")), q, *key, "n", *kept).join(small.where(span == q), "token").where(fits)
+            placed = placed.select(*key, start.alias("start"), "length", "window", *kept)
+            if not kept:
+                texts = pieces.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "words").dropDuplicates(["d", "h"])
+                placed = placed.distinct().join(texts, F.expr("doc_id <=> d AND text_hash = h"))
+            found.append(placed.where(same).select(*key, "start", "length", "window"))
+        hits = settle(_union(found).distinct(), "hits")
+
+    # words covered, of places in order; starts and lengths of one text only
     zero = F.struct(F.lit(0).alias("stop"), F.lit(0).alias("n"))
 
     def cover(so_far: Column, p: Column) -> Column:
@@ -94,15 +97,17 @@ def contaminated_by(docs: DataFrame, items: DataFrame, width: int = 10, shingle:
         fresh = F.greatest(stop - F.greatest(p["start"], so_far["stop"]), F.lit(0))
         return F.struct(F.greatest(stop, so_far["stop"]).alias("stop"), (so_far["n"] + fresh).alias("n"))
 
-    judged = split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), sure.alias("sure")).select(
-        "doc_id", "text_hash", "n_words", F.aggregate("sure", zero, cover)["n"].cast("long").alias("n_hit"), F.array_distinct(F.col("sure.window")).alias("windows")
+    places = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("places"))
+    covered = places.select(*key, F.aggregate("places", zero, cover)["n"].cast("long").alias("n_hit"))
+    named = hits.select(*key, "window").distinct().join(own.select("window", "item_id"), "window").select(*key, F.col("item_id").cast("string").alias("item"))
+    lists = named.groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    judged = covered.alias("c").join(lists.alias("l"), F.expr("c.doc_id <=> l.doc_id AND c.text_hash = l.text_hash")).select(
+        F.col("c.doc_id").alias("d"), F.col("c.text_hash").alias("h"), "n_hit", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("listed")
     )
-    judged = settle(judged, "judged")
-    named = judged.where("n_hit > 0").select("doc_id", "text_hash", F.explode("windows").alias("window")).distinct()
-    named = named.join(own.select("window", "item_id"), "window").select("doc_id", "text_hash", F.col("item_id").cast("string").alias("item")).distinct()
-    lists = named.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = judged.alias("j").join(lists.alias("l"), F.expr("j.doc_id <=> l.doc_id AND j.text_hash = l.text_hash"), "left")
-    listed = F.coalesce("l.items", F.array().cast("array<string>"))
+    rows = pieces.select(*key, F.size("words").cast("long").alias("n_words"))
+    out = rows.join(bounded(settle(judged, "judged")), F.expr("doc_id <=> d AND text_hash = h"), "left")
+    none = F.lit(0).cast("long")
     return out.select(
-        "j.doc_id", "j.n_words", "j.n_hit", F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (F.col("j.n_hit") > 0).alias("contaminated"), "j.text_hash"
-    )
+        "doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"),
+        F.sha2(F.coalesce("listed", F.lit("")).cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"), "text_hash",
+    )

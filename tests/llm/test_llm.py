@@ -253,6 +253,19 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_by(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_decontamination_of_null_and_repeated_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+    items = [(f"i{k}", text(n)) for k, n in enumerate([30, 12, 10, 9, 4, 1, 0])] + [("i7", None), ("i0", text(14))]
+    rows = [(None if k % 2 else k % 5, text(rng.randint(0, 300))) for k in range(60)] + [(None, None), (None, "z " + items[0][1])] * 3 + [(7, "q " * 200_000 + items[1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit("clash")).withColumn("n", F.lit(1))
+    got = decontaminate.contaminated_by(df, spark.createDataFrame(items, "item_id string, text string").withColumn("window", F.lit(0))).toPandas()
+    want = sorted(brute_contaminated(rows, items), key=str)
+    assert sorted(((None if np.isnan(r.doc_id) else int(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.itertuples()), key=str) == want
+
+
 def test_decontamination_is_native(spark):
     got = decontaminate.contaminated_by(docs_of(spark, ["a b"]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))
     plan = got._jdf.queryExecution().toString()
