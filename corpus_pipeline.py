@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.llm import decontaminate, language_id, mixing, set_join, token_output
-from sextant.llm.common import WORD, settle, shared_dir, table
+from sextant.llm.common import WORD, bounded, settle, shared_dir, table
 from sextant.llm.queries import tokenizer_path
 
 
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a word inside any occurrence of a benchmark window go."""
     found = decontaminate.contaminated_by(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    hit = found.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    hit = bounded(settle(found.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "contaminated"))
     return docs.join(hit, docs.doc_id.eqNullSafe(hit._doc) & (F.xxhash64(docs.text) == hit._hash), "left_anti")
 
 
