@@ -146,7 +146,7 @@ class Encoder:
     these are then encoded on their own. At most ``keep`` pieces are kept.
     """
 
-    def __init__(self, path: str, keep: int = 350_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.kept = _Kept(Tokenizer.from_file(path), keep)
@@ -156,9 +156,12 @@ class Encoder:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (large_string, null: empty), and how many each has. Each distinct piece is looked up once."""
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if self.kept.lowers and not pc.any(pc.match_substring(texts, "<|")).as_py():  # no text may turn into a special token
+            texts = pc.ascii_lower(texts)
+        split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
-        blobs = [self.kept[piece] for piece in coded.dictionary.to_pylist()]
+        blobs = [self.kept[piece] for piece in coded.dictionary.to_numpy(zero_copy_only=False)]
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         at, edge = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
         total = np.concatenate(([0], np.cumsum(sizes[at])))
