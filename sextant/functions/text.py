@@ -58,9 +58,10 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def search_form(text: Column, compose: bool = False) -> Column:
-    """Lower case; all but a-z and 0-9 become single spaces; null becomes empty. ``compose``: NFKC first (Python)."""
-    t = nfkc(text) if compose else text
+def search_form(text: Column, compose: bool = True) -> Column:
+    """Lower case; all but a-z and 0-9 become single spaces; null becomes empty. ``compose``: NFKC first (only texts beyond ASCII go to Python)."""
+    plain = F.length(text) == F.octet_length(text)
+    t = F.coalesce(F.when(plain, text), nfkc(F.when(~plain, text))) if compose else text
     return F.coalesce(F.trim(F.regexp_replace(F.lower(t), r"[^a-z0-9]+", " ")), F.lit(""))
 
 

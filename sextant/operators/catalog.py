@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def tallies(df: DataFrame, key: str, column: str, domain: Sequence[str], total: str = "total") -> DataFrame:
@@ -108,21 +111,24 @@ def adjacent(sections: DataFrame, act: str = "act_id", order: str = "sort_order"
     return sections.withColumns({"previous": F.lag(order).over(w), "next": F.lead(order).over(w)})
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _messages(values: pd.Series) -> pd.Series:
+    def walk(value: object, inside: bool) -> Iterator[str]:
+        if isinstance(value, dict):
+            for key, part in sorted(value.items()):
+                yield from walk(part, inside or key in ("warnings", "errors"))
+        elif isinstance(value, list):
+            for part in value:
+                yield from walk(part, inside)
+        elif inside and isinstance(value, str):
+            yield value
+
+    return values.map(lambda v: list(dict.fromkeys(walk(json.loads(v), False))) if v else [])
+
+
 def warning_messages(jobs: DataFrame, column: str = "summary_json", limit: int = 10) -> DataFrame:
-    """Distinct strings under any ``warnings`` or ``errors`` key at any depth, in order, the first ``limit``."""
-    spark, name = jobs.sparkSession, "_sextant_jobs"
-    jobs.select("id", F.parse_json(column).alias("v")).createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, path, k, inside, v) AS (
-          SELECT id, array(0L), CAST(NULL AS STRING), false, v FROM {name}
-          UNION ALL
-          SELECT w.id, concat(w.path, array(CAST(e.pos AS BIGINT))), coalesce(e.key, w.k), w.inside OR coalesce(e.key IN ('warnings', 'errors'), false), e.value
-          FROM walk w, LATERAL variant_explode(w.v) e
-        )
-        SELECT id, message FROM (
-          SELECT id, message, row_number() OVER (PARTITION BY id ORDER BY path) AS n FROM (
-            SELECT id, CAST(v AS STRING) AS message, min(path) AS path FROM walk WHERE inside AND schema_of_variant(v) = 'STRING' GROUP BY id, CAST(v AS STRING)))
-        WHERE n <= {int(limit)}""")
+    """Distinct strings under any ``warnings`` or ``errors`` key at any depth, in the order of keys and places, the first ``limit``."""
+    return jobs.select("id", F.explode(F.slice(_messages(column), 1, limit)).alias("message"))
 
 
 def display(column: str) -> Column:

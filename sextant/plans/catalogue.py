@@ -579,11 +579,10 @@ def win_first_n_per_group(spark, d):
 
 
 # WIN-11, ARR-01
-@query("SELECT conv_id, list_distinct(list(role ORDER BY turn))::VARCHAR[] IS NOT NULL AS kept, count(DISTINCT role) AS roles FROM conversations GROUP BY 1")
+@query("""SELECT conv_id, string_agg(role, ',' ORDER BY first) AS kept FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1""")
 def win_keep_first_duplicate(spark, d):
     c = T.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    first = F.array_distinct(F.transform("t", lambda x: x["role"]))
-    return c.select("conv_id", first.isNotNull().alias("kept"), F.size(first).cast("bigint").alias("roles"))
+    return c.select("conv_id", F.array_join(F.array_distinct(F.transform("t", lambda x: x["role"])), ",").alias("kept"))
 
 
 # --- evaluation ----------------------------------------------------------------------------------
@@ -770,7 +769,7 @@ def json_field(spark, d):
     return T.read(spark, d, "events").select("event_id", F.coalesce(F.try_variant_get(F.parse_json("props"), "$.k", "bigint"), F.lit(-1)).alias("k"))
 
 
-# MTH-07, MTH-08, MTH-09
+# MTH-07, MTH-08
 @query(f"""WITH {REFS} SELECT l_orderkey, l_linenumber, l_partkey, source, CASE WHEN relationship <> 'REFERS_TO' THEN CASE WHEN target > 5 THEN 0.95 WHEN l_linenumber > 3 THEN 0.85 ELSE 0.7 END ELSE 0.3 END::DOUBLE AS extraction,
 CASE WHEN target IS NULL THEN CASE WHEN l_linenumber > 3 THEN 0.55 ELSE 0.35 END WHEN l_linenumber > 3 THEN 0.98 ELSE 0.92 END::DOUBLE AS mapping FROM refs""")
 def math_confidence(spark, d):
@@ -799,7 +798,7 @@ def jobs_stale_expiry(spark, d):
     return state.expire_jobs(jobs, datetime(2024, 1, 15)).select("event_id", "status")
 
 
-# DOC-07, DML-01
+# DOC-07
 @query(f"""WITH {SECTIONS}, kept AS (SELECT act_id, sort_order, 'kept' AS origin FROM sections WHERE verification_status IN ('VERIFIED', 'REJECTED') OR (act_id % 5 = 0 AND sort_order = 1))
 SELECT * FROM kept UNION ALL SELECT act_id, sort_order, 'new' FROM sections s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.act_id = s.act_id AND k.sort_order = s.sort_order)""")
 def state_lock_preserve(spark, d):
@@ -840,6 +839,133 @@ def catalog_facets(spark, d):
     return catalog.facets(T.acts(spark, d))
 
 
+# --- operators over rows of the star schema -----------------------------------------------------------------
+
+
+# MTH-09
+@query("""SELECT p_partkey, least(round((p_size % 10) / 10.0::DOUBLE + CASE WHEN p_size % 2 = 0 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 0.04::DOUBLE ELSE 0 END, 2), 0.98::DOUBLE) AS confidence FROM part""")
+def math_metadata_confidence(spark, d):
+    size = F.col("p_size")
+    return T.read(spark, d, "part").select("p_partkey", M.metadata_confidence((size % 10) / F.lit(10.0), size % 2 == 0, size % 3 == 0).alias("confidence"))
+
+
+# DOC-03
+@query("""WITH a AS (SELECT o_orderkey AS k, (o_custkey % 10) / 10.0::DOUBLE AS c FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, (o_custkey % 7) / 10.0::DOUBLE AS c FROM orders WHERE o_orderkey % 2 = 0)
+SELECT coalesce(a.k, b.k) AS reference_key, round(CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN least(a.c + 0.1::DOUBLE, 0.98::DOUBLE) ELSE coalesce(a.c, b.c) END, 4) AS confidence_score,
+CASE WHEN b.k IS NOT NULL THEN 'LLM' ELSE 'REGEX' END AS extraction_method, CASE WHEN a.k IS NULL THEN 'NEEDS_REVIEW' ELSE 'PENDING' END AS verification_status
+FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NOT NULL OR b.c >= 0.5""")
+def doc_merge_extractions(spark, d):
+    o = T.read(spark, d, "orders")
+
+    def found(rows, modulus, method):
+        return rows.select(F.col("o_orderkey").alias("reference_key"), ((F.col("o_custkey") % modulus) / F.lit(10.0)).alias("confidence_score"), F.lit(method).alias("extraction_method"), F.lit("PENDING").alias("verification_status"))
+
+    return documents.merge_extractions(found(o.where("o_orderkey % 3 <> 0"), 10, "REGEX"), found(o.where("o_orderkey % 2 = 0"), 7, "LLM"))
+
+
+# MTH-12
+@query("""SELECT ps, concat_ws(',', CASE WHEN chars < 40 * pages THEN 'text_density' END, CASE WHEN sections < least(5, greatest(1, pages // 20)) THEN 'sections' END,
+CASE WHEN sections < 0.8 * base THEN 'fewer_sections' END, CASE WHEN spans < 0.8 * 6 THEN 'fewer_citations' END) AS errors
+FROM (SELECT p_partkey AS ps, p_partkey % 3000 AS chars, p_size AS pages, p_partkey % 7 AS sections, p_partkey % 5 AS base, p_partkey % 11 AS spans FROM part)""")
+def doc_quality_gate(spark, d):
+    k = F.col("p_partkey")
+    return T.read(spark, d, "part").select(k.alias("ps"), F.array_join(documents.quality_errors(k % 3000, F.col("p_size"), k % 7, k % 5, k % 11, F.lit(6)), ",").alias("errors"))
+
+
+# SRC-09, SRC-10: a document's extractions in order of preference; the first without errors, else the baseline
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+c AS (SELECT l_orderkey AS id, l_linenumber AS preference, q > 30 AS bad, l_linenumber = max(l_linenumber) OVER (PARTITION BY l_orderkey) AS base FROM l)
+SELECT id, preference FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY bad, CASE WHEN bad THEN NOT base END NULLS FIRST, preference) = 1""")
+def doc_better_source(spark, d):
+    li = T.read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    last = F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
+    c = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("preference"), F.when(F.col("l_quantity") > 30, F.array(F.lit("sections"))).otherwise(F.array().cast("array<string>")).alias("errors"), (F.col("l_linenumber") == last).alias("is_baseline"))
+    return documents.better_source(c).select("id", "preference")
+
+
+# JSN-01
+@query("""WITH m AS (SELECT event_id AS id, unnest(CASE WHEN event_type = 'view' THEN ['seen', event_type] ELSE ['late ' || user_id, 'seen'] END) AS message FROM events) SELECT DISTINCT id, message FROM m""")
+def json_warnings(spark, d):
+    e = T.read(spark, d, "events")
+    nested = F.to_json(F.struct(F.array(F.lit("seen"), F.col("event_type"), F.col("event_type")).alias("warnings"), F.lit("no").alias("note")))
+    deep = F.to_json(F.struct(F.struct(F.array(F.struct(F.concat(F.lit("late "), F.col("user_id")).alias("errors"))).alias("pages")).alias("parse"), F.lit("seen").alias("warnings")))
+    return catalog.warning_messages(e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", nested).otherwise(deep).alias("summary_json")))
+
+
+# DOC-12, AGG-02, AGG-03, AGG-14
+@query(f"""WITH {SECTIONS}, e AS (SELECT *, CASE sort_order % 4 WHEN 0 THEN 'READY' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'FAILED' ELSE 'READY' END AS st FROM sections)
+SELECT count(*) AS total, count(*) FILTER (st = 'PENDING') AS pending, count(*) FILTER (st = 'READY') AS ready, count(*) FILTER (st = 'FAILED') AS failed, 0::BIGINT AS stale, count(*) FILTER (st = 'READY' AND act_id % 3 = 0) AS mismatched, 'pending,failed,identity_mismatch' AS reasons, false AS is_ready FROM e""")
+def catalog_embedding_readiness(spark, d):
+    turn = F.col("sort_order") % 4
+    s = T.sections(spark, d).withColumns({
+        "embedding_status": F.when(turn == 1, "PENDING").when(turn == 2, "FAILED").otherwise("READY"), "embedding": F.array(F.lit(1.0)), "embedding_provider": F.lit("p"),
+        "embedding_model": F.when(F.col("act_id") % 3 != 0, "m"), "embedding_dimension": F.lit(1), "embedding_source_hash": F.lit("h"),
+    })
+    return catalog.embedding_status(s, "p", "m", 1).withColumn("reasons", F.array_join("reasons", ","))
+
+
+# DOC-09, DOC-11: which sections need an embedding
+@query(f"""WITH {SECTIONS} SELECT act_id, sort_order FROM sections WHERE NOT (sort_order % 2 = 0 AND act_id % 3 <> 0)""")
+def state_needs_embedding(spark, d):
+    s = T.sections(spark, d).withColumns({
+        "embedding_status": F.when(F.col("sort_order") % 2 == 0, "READY").otherwise("STALE"), "embedding_provider": F.lit("p"), "embedding_model": F.when(F.col("act_id") % 3 != 0, "m"),
+        "embedding_dimension": F.lit(1), "embedding_source_hash": F.lit("h"),
+    })
+    return s.where(state.needs_embedding("p", "m", 1, F.lit("h"))).select("act_id", "sort_order")
+
+
+# DOC-08
+@query(f"""WITH {REFS} SELECT l_orderkey, l_linenumber, l_partkey, source, CASE WHEN relationship = 'AMENDS' AND target IS NULL THEN least(confidence, 0.5) ELSE confidence END::DOUBLE AS confidence_score,
+CASE WHEN relationship = 'AMENDS' AND target IS NULL THEN 'NEEDS_REVIEW' ELSE verification_status END AS verification_status FROM refs""")
+def state_cap_unmapped(spark, d):
+    r = T.references(spark, d).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "source", F.col("confidence").cast("double").alias("confidence_score"), "verification_status", F.when(F.col("relationship") == "AMENDS", "LLM").otherwise("REGEX").alias("extraction_method"),
+        F.col("target").cast("string").alias("target_act_id"), F.lit(None).cast("string").alias("target_section_id"),
+    )
+    return state.cap_unmapped(r).select("l_orderkey", "l_linenumber", "l_partkey", "source", "confidence_score", "verification_status")
+
+
+# DML-01
+@query(f"WITH {SECTIONS} SELECT act_id, sort_order, CASE WHEN verification_status = 'PENDING' AND act_id % 2 = 0 THEN 'REJECTED' ELSE verification_status END AS verification_status FROM sections")
+def state_decide(spark, d):
+    s = T.sections(spark, d)
+    return state.decide(s, (F.col("verification_status") == "PENDING") & (F.col("act_id") % 2 == 0), "REJECTED").select("act_id", "sort_order", "verification_status")
+
+
+# DML-10
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'RUNNING' ELSE 'QUEUED' END AS status, CASE WHEN event_type = 'view' THEN 40 ELSE 0 END::INTEGER AS progress_percent, CASE WHEN event_type = 'view' THEN 'parse' ELSE '' END AS current_step FROM events""")
+def state_advance_job(spark, d):
+    none = F.lit(None).cast("timestamp_ntz")
+    jobs = T.read(spark, d, "events").select("event_id", "event_type", F.lit("QUEUED").alias("status"), F.lit("").alias("current_step"), F.lit(0).alias("progress_percent"), none.alias("started_at"), none.alias("completed_at"))
+    return state.advance_job(jobs, F.col("event_type") == "view", "parse", 40, datetime(2024, 1, 15)).select("event_id", "status", "progress_percent", "current_step")
+
+
+# DML-03: references whose target section belongs to another act
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <> 1 AND NOT EXISTS (SELECT 1 FROM conversations WHERE conv_id = l_suppkey AND turn = l_linenumber)")
+def state_invalid_targets(spark, d):
+    s = T.sections(spark, d).select(F.concat_ws("/", "act_id", "sort_order").alias("id"), F.col("act_id").cast("string").alias("act_id"))
+    r = T.read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_suppkey").cast("string").alias("target_act_id"),
+        F.when(F.col("l_linenumber") != 1, F.concat_ws("/", "l_suppkey", "l_linenumber")).alias("target_section_id"),
+    )
+    return state.invalid_targets(r, s).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+# FLT-04, FLT-29
+@query(f"WITH {REFS} SELECT l_orderkey, l_linenumber, l_partkey, source FROM refs WHERE verification_status = 'VERIFIED'")
+def flt_lawyer_listing(spark, d):
+    return T.references(spark, d).where(V.listed_references("LAWYER", F.col("verification_status"))).select("l_orderkey", "l_linenumber", "l_partkey", "source")
+
+
+# STR-29, STR-30
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Act No. ' || p_size || ' of 1999' WHEN 1 THEN 'Chapter ' || p_size ELSE 'Unmatched target' END AS shown, p_size % 3 = 2 AS internal FROM part""")
+def str_unresolved_label(spark, d):
+    k, size = F.col("p_size") % 3, F.col("p_size").cast("string")
+    raw = F.when(k == 1, F.concat(F.lit("chapter "), size)).otherwise(F.concat(F.lit("section "), size))
+    number, year, title = F.when(k == 0, size), F.when(k == 0, 1999), F.lit(None).cast("string")
+    return T.read(spark, d, "part").select("p_partkey", graph.unresolved_label(title, raw, number, year).alias("shown"), graph.is_internal_citation(number, year, title, raw).alias("internal"))
+
+
 # --- documents: no SQL has these; tests compare fixtures ------------------------------------------------
 
 
@@ -855,7 +981,7 @@ def doc_extract_refs(spark, d):
     return documents.extract_references(T.acts(spark, d), text="raw_text")
 
 
-# DOC-03..DOC-06, AGG-11: every order cites a part's act by title; some leave it to context
+# DOC-04..DOC-06, AGG-11: every order cites a part's act by title; some leave it to context
 @query()
 def doc_map_refs(spark, d):
     acts = T.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), X.search_form(F.concat("p_name", F.lit(" act"))).alias("normalized_title"), F.col("p_size").cast("string").alias("act_number"), (F.col("p_partkey") % 40 + 1980).cast("int").alias("year"), F.col("p_brand").alias("source_name"))
