@@ -1,4 +1,9 @@
-"""Near-duplicates by an exact set-similarity join on word shingles.
+"""Near-duplicates on word shingles: covering tables over SimHash fingerprints first, then an exact set-similarity join.
+
+Fingerprints are taken of the sets of distinct shingles. ``simhash.near_links`` connects those that
+differ in a few bits, however many copies a text has; each such link is checked by its whole sets.
+A similarity of 0.8 alone moves some ten bits of 64, so that no usable radius finds all pairs. What is not
+yet connected is therefore joined exactly.
 
 The distinct shingles of a text are sorted by one order of all shingles. Two sets of a Jaccard
 similarity of ``least`` or more share a shingle among the first |x| - ceil(least |x|) + 1 of
@@ -6,8 +11,9 @@ either, whatever the order is, so that every such pair meets at one of these. Sh
 common in a sample come last in the order: this spares pairs, and no pair depends on it. Pairs
 that share enough of these are compared by their whole sets.
 
-Of the sets that meet at a shingle first each is compared with the least one. Only sets that are not yet
-connected are then compared pair by pair, so that many near copies of one text do not make all their pairs.
+Shingles whose sets are all connected go. Of the sets that meet at another one, first each is compared with the
+least. Only sets that are not yet connected are then compared pair by pair, so that many near copies of one text
+do not make all their pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import drop, settle
 from sextant.llm.components import connected_components
+from sextant.llm.simhash import majority, near_links
 
 #: The order is learned from one row of this many; at most ``COMMON`` shingles seen ``OFTEN`` times there come last.
 SHARE, OFTEN, COMMON = 8, 4, 1_000_000
@@ -101,11 +108,20 @@ def _alike(pairs: DataFrame, marked: DataFrame, size: int, least: float) -> Data
     return found
 
 
-def with_components(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+def _near(marked: DataFrame, radius: int) -> DataFrame:
+    """(a, b): keys whose fingerprints connect by links of ``radius`` or fewer differing bits."""
+    prints = settle(marked.groupBy("key").agg(F.first("fp").alias("fp")), "prints")
+    nodes = settle(prints.groupBy("fp").agg(F.min("key").alias("rep")), "nodes")
+    equal = prints.join(nodes, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    return near_links(nodes, radius).unionByName(equal)
+
+
+def with_components(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """``docs`` with ``component``: equal for rows that similar pairs connect, each pair of a Jaccard similarity of ``least`` or more.
 
     Sets are the shingles of ``text``; other columns pass through. Rows of equal sets count once,
-    whatever their number; texts without words have equal sets.
+    whatever their number; texts without words have equal sets. ``radius``, the bits in which fingerprints may differ
+    in the first pass, decides how much is left to the second, never the result.
     """
     spark, names = docs.sparkSession, docs.columns
     order = spark.sparkContext.broadcast(_common(docs, size))
@@ -113,43 +129,48 @@ def with_components(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataF
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times = order.value
         for batch in batches:
-            keys, sizes, fronts = [], [], []
+            keys, sizes, fronts, prints = [], [], [], []
             for t in batch.column("text"):
                 own = shingles(t.as_py().encode() if t.is_valid else None, size)
                 keys.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 sizes.append(len(own))
+                prints.append(majority(own))
                 seen = np.zeros(len(own), np.int64)
                 if len(common) and len(own):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     seen = np.where(common[at] == own, times[at], 0)
                 front = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0
                 fronts.append(own[np.argsort(seen, kind="stable")[:front]].tobytes())
-            more = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fronts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "key", "n", "front"])
+            more = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fronts, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "key", "n", "front", "fp"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = settle(docs.mapInArrow(mark, f"{kinds}, key long, n int, front binary"), "marked")
+    marked = settle(docs.mapInArrow(mark, f"{kinds}, key long, n int, front binary, fp long"), "marked")
+    near = _alike(_near(marked, radius), marked, size, least)
+    joined = settle(connected_components(near), "near")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fronts = batch.column("front").to_pylist()
             sizes = np.fromiter((len(x) // 8 for x in fronts), np.int64, len(fronts))
-            key, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("key", "n"))
+            key, n, c = (np.repeat(batch.column(name).to_numpy(), sizes) for name in ("key", "n", "c"))
             token = np.frombuffer(b"".join(fronts), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array(n)], ["token", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array(n), pa.array(c)], ["token", "key", "n", "c"])
 
     nodes = marked.groupBy("key").agg(F.first("n").alias("n"), F.first("front").alias("front"))
-    rows = nodes.mapInArrow(spread, "token long, key long, n int")
+    nodes = nodes.join(joined, nodes.key == joined.node, "left").select("key", "n", "front", F.coalesce("component", "key").alias("c"))
+    rows = nodes.mapInArrow(spread, "token long, key long, n int, c long")
     own = Window.partitionBy("token")
-    met = rows.withColumns({"many": F.count("*").over(own), "least": F.min(F.struct("key", "n")).over(own)})
-    met = settle(met.where("many > 1").select("token", "key", "n", F.col("least.key").alias("to"), F.col("least.n").alias("to_n")), "met")
+    met = rows.withColumns({"low": F.min("c").over(own), "high": F.max("c").over(own), "to": F.min(F.struct("key", "n", "c")).over(own)})
+    met = settle(met.where("low <> high").select("token", "key", "n", "c", "to"), "met")
 
-    star = met.where(F.col("to") != F.col("key")).select(F.col("to").alias("a"), F.col("key").alias("b"), F.col("to_n").alias("m"), "n")
-    links = _alike(_hopeful(star, least), marked, size, least)
+    star = met.where("to.c <> c").select(F.col("to.key").alias("a"), F.col("key").alias("b"), F.col("to.n").alias("m"), "n")
+    links = near.unionByName(_alike(_hopeful(star, least), marked, size, least))
     found = settle(connected_components(links), "starred")
 
-    placed = met.join(found, met.key == found.node, "left").select("token", "key", "n", F.coalesce("component", "key").alias("c"))
-    main = placed.groupBy("token").agg(F.mode("c").alias("main"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    placed = met.drop("c").join(found, met.key == found.node, "left").select("token", "key", "n", F.coalesce("component", "key").alias("c"))
+    shares = placed.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token")
+    main = shares.agg(F.max_by("c", F.struct("many", "c")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     mixed = settle(placed.join(main.select("token", "main"), "token"), "mixed")
     # each shingle once for each pair of sets of two components, at least one of them not the shingle's main one
     x, y = mixed.where("c <> main").alias("x"), mixed.alias("y")

@@ -35,6 +35,15 @@ def masks(radius: int = 4, bits: int = 64) -> np.ndarray:
     return np.array(out, np.uint64).view(np.int64)
 
 
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The number whose bits are 1 where over half of ``hashes`` (unsigned, 64 bits) have a 1; zero of none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     """Of one text (UTF-8): A-Z lower-cased; shingles of words, repeats included, hashed by XXH64 with seed 42."""
     words = (text or b"").lower().split()
@@ -48,11 +57,7 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 4) -> DataFrame:
