@@ -17,17 +17,24 @@ from sextant.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no letter in the text) go; the classifier learns from the labels that the others have."""
-    judge = language_id.classifier(spark, language_id.fit(docs, F.lit(True)))
+    """Documents in no language (no letter in the text) go; the classifier learns from the labels of the table.
+
+    Where no row has a label there is nothing to judge by, and all documents with a letter stay.
+    """
+    model = language_id.fit(docs, F.lit(True))
+    if not model.languages:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    judge = language_id.classifier(spark, model)
     return docs.where(judge(F.col("text"))["lang_pred"] != language_id.UNKNOWN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that pairs with a Jaccard similarity of 0.8 or more over 5-word shingles connect, the one with the least doc_id (null last), then text, stays.
 
+    Covering tables over SimHash fingerprints of 5-word shingles connect most of them, an exact join the rest.
     Rows are judged by their own texts: doc_id may be null or repeat.
     """
-    found = set_join.with_components(docs, size=5, least=0.8)
+    found = set_join.with_components(docs, size=5, least=0.8, radius=4)
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "text"))
     return found.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
 
