@@ -640,6 +640,29 @@ def test_pipeline_judges_rows_by_their_texts(spark):
     assert kept == [rows[2], rows[3], rows[5]]
 
 
+@pytest.mark.parametrize("radius", [1, 4, 6])
+def test_radius_never_decides_the_components(spark, radius):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    base = [list(rng.choice(words, 60)) for _ in range(6)]
+    texts = []
+    for k in range(90):
+        own = list(base[k % 6])
+        for at in rng.integers(0, 60, k % 4):
+            own[at] = f"x{k}"
+        texts.append(" ".join(own))
+    docs, want = docs_of(spark, [*texts, None, "", "one"], lang="en", source="s", n_chars=1), brute_alike([*texts, None, "", "one"])
+    got = {r.doc_id: r.component for r in set_join.with_components(docs, radius=radius).collect()}
+    assert len(set(zip((got[k] for k in range(len(want))), want, strict=True))) == len(set(want)) == len(set(got.values()))
+
+
+def test_pipeline_keeps_documents_where_no_language_is_known(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "some words", None, "s", 1), (2, "\u00e9t\u00e9 12", None, "s", 1), (3, "12 !?", None, "s", 1), (4, None, "en", "s", 1), (5, "", None, "s", 1)]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2]
+
+
 # --- queries and pipeline ---
 
 
