@@ -81,11 +81,11 @@ def clean(text: Column, compose: bool = True) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
 
 
-def act_title_form(title: Column) -> Column:
+def act_title_form(title: Column, compose: bool = True) -> Column:
     """A title without citation number, chapter and trailing punctuation, in search form."""
     t = F.regexp_replace(squeeze(title), r"(?i),?\s+No\.?\s*\d+[A-Z]?\s+of\s+\d{4}\b", "")
     t = F.regexp_replace(t, r"(?i)\(Chapter\s+\d+[A-Z]?\)", "")
-    return search_form(F.regexp_replace(t, r"[,:;]+$", ""))
+    return search_form(F.regexp_replace(t, r"[,:;]+$", ""), compose)
 
 
 def act_number(value: Column) -> Column:

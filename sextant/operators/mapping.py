@@ -11,73 +11,98 @@ from pyspark.sql import functions as F
 
 from sextant.functions import scoring as M
 from sextant.functions import text as X
+from sextant.operators import fuzzy
+from sextant.sources.storage import settle
 
 OPERATIVE = ("AMENDS", "REPEALS", "INSERTS", "SUBSTITUTES", "ADDS")
 LEAST_SCORE, LEAST_MARGIN = 0.5, 0.15
 
 
-def is_principal(title: Column) -> Column:
-    return X.act_title_form(title) == "principal enactment"
+#: What a reference says of its target in words.
+SAID = ("target_act_title_raw", "raw_reference_text")
 
 
-def structured(references: DataFrame) -> DataFrame:
-    """Number and year filled from the title or else the raw text, where the reference has neither."""
-    title, raw = X.citation(F.col("target_act_title_raw")), X.citation(F.col("raw_reference_text"))
-    number = F.coalesce("target_act_number", title["number"], raw["number"])
-    return references.withColumns({"target_act_number": X.act_number(number), "target_act_year": F.coalesce("target_act_year", title["year"], raw["year"])})
+def read_texts(references: DataFrame) -> DataFrame:
+    """Each distinct pair of cited title and raw text once, with what it names: said_number, said_year, said_chapter,
+    title_form, and wanted, the title forms to look for in order.
+
+    Names found by pattern are ASCII; only whole titles are composed.
+    """
+    title, raw = F.col(SAID[0]), F.col(SAID[1])
+    name = lambda c: X.act_title_form(X.cited_name(c), compose=False)
+    texts = references.select(*SAID).distinct().withColumns({"title_form": X.act_title_form(title), "of_title": X.citation(title), "of_raw": X.citation(raw)})
+    wanted = F.array_distinct(F.filter(F.array(name(title), name(raw), F.col("title_form")), lambda f: f != ""))
+    said = {"said_number": F.coalesce("of_title.number", "of_raw.number"), "said_year": F.coalesce("of_title.year", "of_raw.year"), "said_chapter": X.chapter(title), "wanted": wanted}
+    return texts.withColumns(said).drop("of_title", "of_raw")
+
+
+#: Length of the pieces of titles that containment is joined on.
+GRAM = 4
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda k: F.substr(text, k, F.lit(GRAM))))
+
+
+def containing_titles(wanted: DataFrame, titles: DataFrame) -> DataFrame:
+    """(wanted, title, ...) of every title that contains a wanted text of 4 characters or more, both frames having each text once.
+
+    A title that contains a text has all of its pieces of 4 characters, so each text is joined on the one
+    that fewest titles have, not on a common word, and not at all if one of its pieces is in no title.
+    """
+    postings = titles.where(F.length("title") >= GRAM).select(*titles.columns, F.explode(_grams(F.col("title"))).alias("gram"))
+    rarity = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    pieces = wanted.where(F.length("wanted") >= GRAM).select("wanted", F.explode(_grams(F.col("wanted"))).alias("gram")).join(rarity, "gram", "left")
+    rarest = pieces.groupBy("wanted").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all")).where("all").drop("all")
+    return rarest.join(postings, "gram").where((F.length("title") >= F.length("wanted")) & F.col("title").contains(F.col("wanted"))).drop("gram")
 
 
-def title_candidates(references: DataFrame) -> DataFrame:
-    """(id, position, wanted): the distinct title forms to look for, in order."""
-    forms = F.array(X.act_title_form(X.cited_name(F.col("target_act_title_raw"))), X.act_title_form(X.cited_name(F.col("raw_reference_text"))), X.act_title_form(F.col("target_act_title_raw")))
-    return references.select("id", F.posexplode(F.array_distinct(F.filter(forms, lambda f: f != ""))).alias("position", "wanted"))
+def resolve_titles(wanted: DataFrame, acts: DataFrame) -> DataFrame:
+    """(wanted, act, kind) of each distinct wanted title that is found: exact, the least act of the title; else partial, the act
+    whose title contains it, is similar enough and clearly the best. Found but unclear, act is null. Distinct titles are settled."""
+    titles = settle(acts.where("normalized_title <> ''").groupBy(F.col("normalized_title").alias("title")).agg(F.min("id").alias("act"), F.count("*").alias("holders")), "titles")
+    both = wanted.join(titles, F.col("wanted") == F.col("title"), "left")
+    exact = both.where("act IS NOT NULL").select("wanted", "act", F.lit("exact").alias("kind"))
+    near = containing_titles(both.where("act IS NULL").select("wanted"), titles)
+    best = fuzzy.best_match(near.withColumn("text", F.col("wanted")), ["wanted"], "text", "title", "act", LEAST_SCORE, LEAST_MARGIN, copies="holders")
+    return settle(exact.unionByName(best.select("wanted", F.when(F.col("sure"), F.col("act")).alias("act"), F.lit("partial").alias("kind"))), "resolved")
 
 
-def partial_titles(candidates: DataFrame, acts: DataFrame) -> DataFrame:
-    """(id, position, act): the act whose title contains the wanted one, if it is similar enough and clearly the best.
+def chapter_places(acts: DataFrame) -> DataFrame:
+    """(place, act): every chapter named in an act's title, source or address, the least act of each.
 
-    Distinct wanted titles are compared, not references: each against the titles that share its first
-    word (a title that contains it does), then by containment and similarity.
+    A chapter is found inside longer text, so "chapter 212a" also stands for chapters 21 and 2.
     """
-    wanted = candidates.where(F.length("wanted") >= 4).select("wanted").distinct().withColumn("word", F.element_at(F.split("wanted", " "), 1))
-    # containment is by characters: the wanted text's first word may be the end of a title's word
-    words = acts.select(F.col("id").alias("act"), "normalized_title", F.explode(F.array_distinct(F.split("normalized_title", " "))).alias("whole"))
-    ends = words.withColumn("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("whole")), lambda k: F.substr("whole", k)))).drop("whole").distinct()
-    near = wanted.join(ends, "word").where(F.col("normalized_title").contains(F.col("wanted"))).select("wanted", "act", "normalized_title").distinct()
-    one_word = wanted.where(~F.col("wanted").contains(" ")).select("wanted")
-    pieces = words.withColumn("wanted", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("whole")), lambda k: F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length("whole") - k + 1)), lambda n: F.substr("whole", k, n))))))
-    near = near.unionByName(one_word.join(pieces.select("wanted", "act", "normalized_title").distinct(), "wanted")).distinct()
-    scored = near.withColumn("ratio", X.fuzzy_ratio(F.col("wanted"), F.col("normalized_title")))
-    order = Window.partitionBy("wanted").orderBy(F.col("ratio").desc(), "act")
-    best = scored.withColumns({"rank": F.row_number().over(order), "second": F.lead("ratio").over(order)}).where("rank = 1")
-    sure = (F.col("ratio") >= LEAST_SCORE) & (F.col("second").isNull() | (F.col("ratio") - F.col("second") >= LEAST_MARGIN))
-    # a candidate that is found but not sure ends the search: its act stays null
-    found = best.where(F.col("ratio") >= LEAST_SCORE).select("wanted", F.when(sure, F.col("act")).alias("act"))
-    return candidates.join(found, "wanted").select("id", "position", "act")
+    sources = [c for c in ("normalized_title", "source_name", "source_url") if c in acts.columns]
+    found = F.flatten(F.array(*(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"chapter (\d+[a-z]?)"), F.lit(1)) for c in sources)))
+    numbers = acts.select(F.col("id").alias("act"), F.explode(F.array_distinct(found)).alias("number"))
+    starts = numbers.select("act", F.explode(F.transform(F.sequence(F.lit(1), F.length("number")), lambda k: F.substr("number", F.lit(1), k))).alias("start"))
+    return starts.groupBy(F.concat(F.lit("chapter "), "start").alias("place")).agg(F.min("act").alias("by_chapter"))
 
 
 def own_target(references: DataFrame, acts: DataFrame) -> DataFrame:
-    """Add ``own`` and ``match``: the act that a reference names itself.
+    """Add ``own`` and ``match``, the act that a reference names itself, and title_form; number and year are filled from what it says.
 
     By number and year if it has both (and nothing else then); else by titles in order, exact before
-    partial for each; else by chapter in an act's title or source. Of equal acts the least id.
+    partial for each; else by chapter in an act's title or source. Of equal acts the least id. Each distinct
+    text is read, and each distinct title resolved, once; references are joined to what was found.
     """
+    texts = settle(read_texts(references), "said")
+    found, titled = resolve_titles(texts.select(F.explode("wanted").alias("wanted")).distinct(), acts), texts
+    for k in range(3):
+        one = found.select(F.col("wanted").alias("_wanted"), F.struct("act", "kind").alias(f"_{k}"))
+        titled = titled.join(one, F.get("wanted", F.lit(k)) == F.col("_wanted"), "left").drop("_wanted")
+    titled = titled.withColumn("titled", F.coalesce("_0", "_1", "_2")).drop("wanted", "_0", "_1", "_2")
+    out = references.join(titled.withColumnsRenamed({c: f"_{c}" for c in SAID}), F.col(SAID[0]).eqNullSafe(F.col(f"_{SAID[0]}")) & F.col(SAID[1]).eqNullSafe(F.col(f"_{SAID[1]}")), "left").drop(*(f"_{c}" for c in SAID))
+    out = out.withColumns({"target_act_number": X.act_number(F.coalesce("target_act_number", "said_number")), "target_act_year": F.coalesce("target_act_year", "said_year")})
     numbered = acts.groupBy("act_number", "year").agg(F.min("id").alias("by_number"))
-    out = references.join(numbered, (F.col("target_act_number") == F.col("act_number")) & (F.col("target_act_year") == F.col("year")), "left").drop("act_number", "year")
+    out = out.join(numbered, (F.col("target_act_number") == F.col("act_number")) & (F.col("target_act_year") == F.col("year")), "left").drop("act_number", "year")
+    chapter = F.lower(F.coalesce("said_chapter", X.chapter(F.col("target_section_path"))))
+    out = out.withColumn("_chapter", chapter).join(chapter_places(acts), F.col("_chapter") == F.col("place"), "left").drop("_chapter", "place")
     cites = F.col("target_act_number").isNotNull() & F.col("target_act_year").isNotNull()
-    candidates = title_candidates(out.where(~cites))
-    titled = acts.groupBy("normalized_title").agg(F.min("id").alias("act"))
-    exact = candidates.join(titled, F.col("wanted") == F.col("normalized_title")).select("id", "position", F.lit(0).alias("kind"), "act")
-    partial = partial_titles(candidates, acts).select("id", "position", F.lit(1).alias("kind"), "act")
-    first = exact.unionByName(partial).groupBy("id").agg(F.min_by(F.struct("act", "kind"), F.struct("position", "kind")).alias("titled"))
-    out = out.join(first, "id", "left")
-    chapter = F.coalesce(X.chapter(F.col("target_act_title_raw")), X.chapter(F.col("target_section_path")))
-    places = acts.select(F.col("id").alias("act"), F.explode(F.array_distinct(F.filter(F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"(?i)(chapter \d+[a-z]?)"), F.lit(1)) for c in ("normalized_title", "source_name")))), lambda c: c != ""))).alias("place"))
-    chapters = places.groupBy(F.lower("place").alias("place")).agg(F.min("act").alias("by_chapter"))
-    out = out.withColumn("_chapter", F.lower(chapter)).join(chapters, F.col("_chapter") == F.col("place"), "left").drop("_chapter", "place")
     own = F.when(cites, F.col("by_number")).when(F.col("titled").isNotNull(), F.col("titled.act")).otherwise(F.col("by_chapter"))
-    match = F.when(own.isNull(), F.lit(None)).when(cites, "exact").when(F.col("titled").isNotNull(), F.when(F.col("titled.kind") == 0, "exact").otherwise("partial")).otherwise("partial")
-    return out.withColumns({"own": own, "match": match}).drop("by_number", "titled", "by_chapter")
+    match = F.when(own.isNull(), F.lit(None)).when(cites, "exact").when(F.col("titled").isNotNull(), F.col("titled.kind")).otherwise("partial")
+    return out.withColumns({"own": own, "match": match}).drop("by_number", "titled", "by_chapter", "said_number", "said_year", "said_chapter")
 
 
 def resolve_context(rows: DataFrame, act: str, *order: str, own: str = "own", principal: str = "principal", bare: str = "bare", locked: str | None = None) -> DataFrame:
@@ -117,8 +142,8 @@ def map_references(references: DataFrame, acts: DataFrame, sections: DataFrame)
     ``position`` that orders an act's references as in its text.
     """
     locked = F.col("verification_status").isin("VERIFIED", "REJECTED")
-    rows = own_target(structured(references), acts)
-    rows = rows.withColumns({"locked": locked, "own": F.when(locked, F.col("target_act_id")).otherwise(F.col("own")), "principal": F.coalesce(is_principal(F.col("target_act_title_raw")), F.lit(False))})
+    rows = own_target(references, acts)
+    rows = rows.withColumns({"locked": locked, "own": F.when(locked, F.col("target_act_id")).otherwise(F.col("own")), "principal": F.col("title_form") == "principal enactment"})
     named = F.coalesce("target_act_id", "target_act_number", "target_act_title_raw").isNotNull()
     bare = ~named & F.coalesce("target_section_number", "target_section_path").isNotNull() & F.col("relationship_type").isin(*OPERATIVE)
     rows = resolve_context(rows.withColumn("bare", bare), "source_act_id", "position", locked="locked")
@@ -126,7 +151,7 @@ def map_references(references: DataFrame, acts: DataFrame, sections: DataFrame)
     rows = map_sections(rows.withColumns({"used_context": used, "match": F.when(used, "inferred").otherwise(F.col("match"))}), sections)
     target = F.coalesce("target_act_title_raw", "target_act_number", "target_section_number", "target_section_path").isNotNull()
     confidence = M.mapping_confidence(F.when(F.col("resolved").isNotNull(), F.col("match")), F.when(F.col("resolved").isNotNull(), F.col("section").isNotNull()).otherwise(target))
-    return rows.withColumns({"confidence": confidence, "needs_review": F.col("resolved").isNull() | (confidence < 0.85)}).drop("principal", "bare", "own")
+    return rows.withColumns({"confidence": confidence, "needs_review": F.col("resolved").isNull() | (confidence < 0.85)}).drop("principal", "bare", "own", "title_form")
 
 
 def mapping_summary(mapped: DataFrame) -> DataFrame:

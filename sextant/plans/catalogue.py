@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sextant import schemas
 from sextant.functions import scoring as M
 from sextant.functions import text as X
-from sextant.operators import catalog, documents, evaluation, exports, graph, mapping, search, state
+from sextant.operators import catalog, documents, evaluation, exports, fuzzy, graph, mapping, search, state
 from sextant.operators import intent as Q
 from sextant.operators import visibility as V
 from sextant.sources import bindings as T
@@ -305,7 +305,7 @@ def join_title_candidates(spark, d):
     return o.select("o_orderkey", F.posexplode(forms).alias("pos", "category")).join(titled, "category").groupBy("o_orderkey").agg(F.min_by("act", "pos").alias("act"))
 
 
-# JOI-11, JOI-12: containment of a word list, as an equi-join on words
+# JOI-11: containment of a word list, as an equi-join on words
 @query("""WITH nouns AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part) SELECT p_partkey, w FROM part, nouns WHERE list_contains(string_split(p_name, ' '), w)""")
 def join_contains_words(spark, d):
     p = T.read(spark, d, "part")
@@ -371,10 +371,39 @@ def asof_principal_context(spark, d):
 r AS (SELECT *, row_number() OVER w AS k, lead(s) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY s DESC, p_partkey))
 SELECT p_brand, p_partkey, s, s >= 0.1 AND (nxt IS NULL OR s - nxt >= 0.01) AS sure FROM r WHERE k = 1""")
 def fuzzy_margin_topcandidate(spark, d):
-    s = F.round(1.0 - F.levenshtein("p_name", "p_type").cast("double") / F.greatest(F.length("p_name"), F.length("p_type")), 6)
-    w = Window.partitionBy("p_brand").orderBy(F.col("s").desc(), "p_partkey")
-    r = T.read(spark, d, "part").withColumn("s", s).withColumns({"k": F.row_number().over(w), "nxt": F.lead("s").over(w)}).where("k = 1")
-    return r.select("p_brand", "p_partkey", "s", ((F.col("s") >= 0.1) & (F.col("nxt").isNull() | (F.col("s") - F.col("nxt") >= 0.01))).alias("sure"))
+    sixth = {k: tuple(lambda a, b, f=f: F.round(f(a, b), 6) for f in v) if k == "bounds" else lambda a, b, f=v: F.round(f(a, b), 6) for k, v in fuzzy.EDITS.items()}
+    best = fuzzy.best_match(T.read(spark, d, "part"), ["p_brand"], "p_name", "p_type", "p_partkey", least=0.0, margin=0.01, **sixth)
+    return best.select("p_brand", "p_partkey", F.col("score").alias("s"), (F.col("sure") & (F.col("score") >= 0.1)).alias("sure"))
+
+
+TITLES = f"titles AS (SELECT title, min(id) AS act, count(*) AS holders FROM (SELECT id, {FORM.format('title')} AS title FROM acts) WHERE title <> '' GROUP BY 1), wanted AS (SELECT DISTINCT trim(substr(title, 5, 24)) AS wanted FROM titles WHERE length(title) > 4)"
+
+
+# JOI-10, JOI-11, WIN-06, STR-24: parts of titles, each resolved once; held in a title, the ratio is twice the shorter length over both
+@query(f"""WITH {ACTS}, {TITLES}, exact AS (SELECT wanted, act FROM wanted JOIN titles ON wanted = title),
+near AS (SELECT wanted, act, holders, 2.0::DOUBLE * length(wanted) / (length(wanted) + length(title)) AS r FROM wanted JOIN titles ON contains(title, wanted) WHERE length(wanted) >= 4 AND wanted NOT IN (SELECT wanted FROM exact)),
+best AS (SELECT *, row_number() OVER w AS k, lead(r) OVER w AS nxt FROM near WINDOW w AS (PARTITION BY wanted ORDER BY r DESC, act))
+SELECT wanted, act, 'exact' AS kind FROM exact UNION ALL SELECT wanted, CASE WHEN holders = 1 AND (nxt IS NULL OR r - nxt >= 0.15) THEN act END, 'partial' FROM best WHERE k = 1 AND r >= 0.5""")
+def map_titles(spark, d):
+    acts = T.acts(spark, d).select("id", X.search_form(F.col("title")).alias("normalized_title"))
+    wanted = acts.where(F.length("normalized_title") > 4).select(F.trim(F.substring("normalized_title", 5, 24)).alias("wanted")).distinct()
+    return mapping.resolve_titles(wanted, acts)
+
+
+# JOI-12
+@query("""WITH a AS (SELECT p_partkey AS id, 'Vol. ' || p_partkey || ', Chapter ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE '' END || ' rev.' AS source_name, 'http://acts/chapter ' || (p_size * 7) AS source_url FROM part),
+w AS (SELECT c_custkey, 'chapter ' || (c_custkey % 400) || CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE '' END AS place FROM customer)
+SELECT c_custkey, min(id) AS act FROM w LEFT JOIN a ON contains(lower(source_name), place) OR contains(lower(source_url), place) GROUP BY 1""")
+def map_chapters(spark, d):
+    suffix = F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("")
+    acts = T.read(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.lit("t").alias("normalized_title"), F.concat(F.lit("Vol. "), "p_partkey", F.lit(", Chapter "), "p_size", suffix, F.lit(" rev.")).alias("source_name"),
+        F.concat(F.lit("http://acts/chapter "), F.col("p_size") * 7).alias("source_url"), F.lit(None).cast("string").alias("act_number"), F.lit(None).cast("int").alias("year"),
+    )
+    none = F.lit(None).cast("string")
+    cited = F.concat(F.lit("Chapter "), F.col("c_custkey") % 400, F.when(F.col("c_custkey") % 3 == 0, "a").otherwise(""))
+    refs = T.read(spark, d, "customer").select("c_custkey", cited.alias("target_act_title_raw"), none.alias("raw_reference_text"), none.alias("target_section_path"), none.alias("target_act_number"), F.lit(None).cast("int").alias("target_act_year"))
+    return mapping.own_target(refs, acts).select("c_custkey", F.col("own").alias("act"))
 
 
 # --- aggregations ------------------------------------------------------------------------------
