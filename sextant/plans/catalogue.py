@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from sextant import schemas
 from sextant.functions import scoring as M
+from sextant.functions import stems
 from sextant.functions import text as X
-from sextant.operators import catalog, documents, evaluation, exports, fuzzy, graph, mapping, search, state
+from sextant.operators import catalog, cells, documents, evaluation, exports, fulltext, fuzzy, graph, mapping, search, state
 from sextant.operators import intent as Q
 from sextant.operators import visibility as V
 from sextant.sources import bindings as T
+from sextant.sources import storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -134,6 +136,25 @@ def search_fulltext_all_terms(spark, d):
     return T.acts(spark, d).where(V.all_terms(F.col("raw_text"), "the and With")).select("id")
 
 
+STEMMED = f"""WITH {ACTS}, said AS (SELECT id, unnest(regexp_split_to_array(lower(concat_ws(' ', title, category, raw_text)), '[^a-z0-9]+')) AS token FROM acts),
+words AS (SELECT id, token FROM said WHERE token <> '' AND token NOT IN ({', '.join(f"'{w}'" for w in stems.STOP_WORDS)})), dictionary AS (SELECT DISTINCT token FROM words),
+stemmed AS ({stems.stems_sql('dictionary')}), lexemes AS (SELECT id, lexeme FROM words JOIN stemmed USING (token))"""
+
+
+# FLT-17: "ering" and "ered" have one stem
+@query(STEMMED + " SELECT id, count(*) AS n FROM lexemes WHERE lexeme IN ('ere', 'ane', 'thing') GROUP BY 1 HAVING count(DISTINCT lexeme) = 3")
+def search_stemmed(spark, d):
+    path = storage.fresh_path(spark, "fulltext")
+    fulltext.write_index(T.acts(spark, d), "id", ["title", "category", "raw_text"], path)
+    return fulltext.search_index(spark, path, "The ering and aned of things")
+
+
+# FLT-17: the whole index, as rows for each lexeme
+@query(STEMMED + " SELECT lexeme, count(DISTINCT id) AS n_rows, count(*) AS n FROM lexemes GROUP BY 1")
+def search_lexemes(spark, d):
+    return fulltext.postings(T.acts(spark, d), "id", ["title", "category", "raw_text"]).groupBy("lexeme").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n"))
+
+
 # --- search ----------------------------------------------------------------------------------
 
 KEYWORD = f"""WITH {ACTS}, scored AS (SELECT 'ACT' AS result_type, id::VARCHAR AS id, title, {FORM.format('title')} AS form, raw_text, category, year, processing_status FROM acts
@@ -209,6 +230,25 @@ def knn_filtered(spark, d):
     return search.nearest(T.vectors(spark, d).where("act_id = 3"), _probe(spark, d), 10).select("section_id", "distance")
 
 
+# SRT-04, FLT-14: the ten nearest of every vector whose id 20 divides, over cell lists; approximate, so no SQL (tests measure the recall)
+@query()
+def knn_cells(spark, d):
+    path = storage.fresh_path(spark, "cells")
+    v = T.vectors(spark, d)
+    cells.write_cells(v, path)
+    queries = v.where("section_id % 20 = 0").select(F.col("section_id").alias("query"), F.col("embedding").alias("vector"))
+    return cells.join_cells(spark, path, queries, 10)
+
+
+# FLT-14: a filter over cell lists; with every cell probed the search is exact
+@query(KNN + " SELECT section_id, distance FROM near WHERE act_id = 3 ORDER BY distance, section_id LIMIT 10")
+def knn_cells_filtered(spark, d):
+    path = storage.fresh_path(spark, "cells")
+    v = T.vectors(spark, d)
+    cells.write_cells(v, path, cells=16)
+    return cells.search_cells(spark, path, _probe(spark, d), 10, probes=16, where=F.col("act_id") == 3).select("section_id", "distance")
+
+
 # MTH-03 over all rows
 @query(KNN + " SELECT section_id, round(greatest(1 - distance, 0) * 100, 2) AS score FROM near")
 def knn_score_clamp(spark, d):
