@@ -208,11 +208,23 @@ def metadata(df: DataFrame, key: str = "id", text: str = "raw_text", file_name:
 
 
 def section_pages(sections: DataFrame, spans: DataFrame, act: str = "id") -> DataFrame:
-    """page_start and page_end of sections (source_start, source_end) by overlap with their document's page spans (page_number, start, end)."""
-    lists = spans.where("start < end").groupBy(act).agg(F.collect_list(F.struct("start", "end", "page_number")).alias("_spans"))
-    over = F.filter("_spans", lambda s: (s["start"] < F.col("source_end")) & (s["end"] > F.col("source_start")))
-    pages = F.transform(over, lambda s: s["page_number"])
-    return sections.join(lists, act, "left").withColumns({"page_start": F.array_min(pages), "page_end": F.array_max(pages)}).drop("_spans")
+    """page_start and page_end of sections (source_start, source_end): the first and last page of their document (page_number, start, end) that they overlap.
+
+    Pages must not overlap one another and be numbered in order, as ``page_spans`` makes them; empty pages
+    overlap nothing, and a section that none overlaps has null. One shuffle by document, then two sweeps over its pages and
+    sections together, linear in both: forwards the last page that starts before a section ends, backwards the first that ends after it starts.
+    """
+    page = F.struct(F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("b"), F.col("page_number").alias("n"))
+    pages = spans.where("start < end").select(F.col(act).alias("_doc"), page.alias("_page"))
+    rows = sections.select(F.col(act).alias("_doc"), F.col("source_start").cast("long").alias("_a"), F.col("source_end").cast("long").alias("_b"), F.struct(*sections.columns).alias("_row"))
+    events = rows.unionByName(pages, allowMissingColumns=True)
+    by_doc, is_page = Window.partitionBy("_doc"), F.col("_page").isNotNull()
+    forwards = by_doc.orderBy(F.coalesce("_page.a", "_b"), is_page).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    backwards = by_doc.orderBy(F.coalesce("_page.b", "_a").desc(), is_page).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = events.withColumns({"_last": F.last("_page", ignorenulls=True).over(forwards), "_first": F.last("_page", ignorenulls=True).over(backwards)}).where("_row IS NOT NULL")
+    over = (F.col("_first.a") < F.col("_b")) & (F.col("_last.b") > F.col("_a"))
+    pages_of = (F.when(over, F.col(f"{side}.n")).alias(name) for name, side in (("page_start", "_first"), ("page_end", "_last")))
+    return swept.select(*(F.col("_row").getField(c).alias(c) for c in sections.columns), *pages_of)
 
 
 def page_spans(pages: DataFrame, act: str = "id", separator: int = 2) -> DataFrame:
@@ -222,6 +234,21 @@ def page_spans(pages: DataFrame, act: str = "id", separator: int = 2) -> DataFra
     return pages.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
 
+def rebased_spans(spans: DataFrame, act: str = "id") -> DataFrame:
+    """Spans in the text without the white space around it: moved by what is cut in front, clipped to what is left.
+
+    ``spans`` as from ``page_spans``. What lies in front is found from the pages: all of the blank ones before the first
+    other, their separators, and that page's own leading space; likewise behind.
+    """
+    spaces = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+    blank = F.col("text").rlike(r"(?U)^\s*$")
+    by_doc = Window.partitionBy(act)
+    first = F.min(F.when(~blank, F.col("start") + spaces(r"(?U)^\s+"))).over(by_doc)
+    last = F.max(F.when(~blank, F.col("end") - spaces(r"(?U)\s+$"))).over(by_doc)
+    clipped = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.coalesce("_to", F.lit(0))) - F.coalesce("_from", F.lit(0)))
+    return spans.withColumns({"_from": first, "_to": last}).withColumns({"start": clipped("start"), "end": clipped("end")}).drop("_from", "_to")
+
+
 def merge_extractions(regex: DataFrame, model: DataFrame, key: str = "reference_key") -> DataFrame:
     """References found by patterns and by a model: agreement raises confidence by 0.1 (0.98 at most); the model alone needs 0.5."""
     a, b = regex.alias("a"), model.alias("b")
