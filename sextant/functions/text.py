@@ -65,6 +65,12 @@ def search_form(text: Column, compose: bool = True) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(F.lower(t), r"[^a-z0-9]+", " ")), F.lit(""))
 
 
+def strip(text: Column, left: bool = True, right: bool = True) -> Column:
+    """Without the Unicode white space at its ends."""
+    text = F.regexp_replace(text, r"(?U)^\s+", "") if left else text
+    return F.regexp_replace(text, r"(?U)\s+\z", "") if right else text
+
+
 def squeeze(text: Column) -> Column:
     """Unicode white space collapsed and trimmed; null becomes empty."""
     return F.coalesce(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(""))

@@ -15,7 +15,7 @@ from sextant import schemas
 from sextant.functions import scoring as M
 from sextant.functions import stems
 from sextant.functions import text as X
-from sextant.operators import catalog, cells, documents, evaluation, exports, fulltext, fuzzy, graph, mapping, search, state
+from sextant.operators import catalog, cells, citations, documents, evaluation, exports, fulltext, fuzzy, graph, mapping, search, segments, state
 from sextant.operators import intent as Q
 from sextant.operators import visibility as V
 from sextant.sources import bindings as T
@@ -1035,19 +1035,52 @@ def str_unresolved_label(spark, d):
     return T.read(spark, d, "part").select("p_partkey", graph.unresolved_label(title, raw, number, year).alias("shown"), graph.is_internal_citation(number, year, title, raw).alias("internal"))
 
 
-# --- documents: no SQL has these; tests compare fixtures ------------------------------------------------
+# --- documents: synthetic statutes, so that SQL can say what is in them -----------------------------------
 
 
-# DOC-01
-@query()
+# DOC-01, WIN-02, WIN-03, WIN-04, WIN-10, SRT-09
+@query("""WITH p AS (SELECT *, p_partkey AS id, p_size % 4 + 1 AS n FROM part), s AS (
+  SELECT id, 0 AS k, 'PREAMBLE' AS section_number, 'PREAMBLE' AS section_type, 'Preamble' AS heading, 'Be it enacted as follows:' AS text FROM p
+  UNION ALL SELECT id, 1, 'PART I', 'PART', 'PART I' || chr(10) || 'GENERAL', 'PART I' || chr(10) || 'GENERAL' FROM p WHERE id % 2 = 0
+  UNION ALL SELECT id, 2, '1', 'SECTION', 'Short title', 'Short title' || chr(10) || '1. This Act may be cited as the ' || p_name || ' Act.' FROM p
+  UNION ALL SELECT id, 3, '2', 'SECTION', 'Powers', '2. Powers; and more.' || chr(10) || chr(10) || '  Text of ' || p_brand || '.' FROM p WHERE n >= 2
+  UNION ALL SELECT id, 4, '3', 'SECTION', 'Amendment of section ' || p_size || ' of the principal enactment', 'Amendment of section ' || p_size || ' of the principal enactment' || chr(10) || '3. Section ' || p_size || ' of the '
+    || list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') || ' Act, No. 7 of ' || (id % 40 + 1980) || ' is hereby amended.' FROM p WHERE n >= 3
+  UNION ALL SELECT id, 5, 'PART II', 'PART', 'PART II', 'PART II' FROM p WHERE id % 3 = 0
+  UNION ALL SELECT id, 6, '4', 'SECTION', 'Powers of ' || p_brand, '4.' || chr(10) || 'Powers of ' || p_brand || chr(10) || 'as in section 5.' FROM p WHERE n >= 4
+  UNION ALL SELECT id, 7, 'FIRST SCHEDULE', 'SCHEDULE', 'FIRST SCHEDULE', 'FIRST SCHEDULE' || chr(10) || '1. Form of ' || p_type FROM p WHERE id % 5 = 0)
+SELECT id, section_number, section_type, heading, text, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INTEGER AS sort_order, true AS found FROM s""")
 def doc_segment(spark, d):
-    return documents.segment(T.acts(spark, d).select("id", "raw_text"))
+    acts = T.statutes(spark, d)
+    s = segments.segment(acts).join(acts.select("id", "raw_text"), "id")
+    held = F.substr("raw_text", F.col("source_start") + 1, F.col("source_end") - F.col("source_start"))
+    return s.select("id", "section_number", "section_type", "heading", "text", "sort_order", held.contains(F.col("text")).alias("found"))
 
 
-# DOC-02
+# DOC-01 over prose: a text without a numbered section is one row
 @query()
+def doc_segment_prose(spark, d):
+    return segments.segment(T.acts(spark, d).select("id", "raw_text"))
+
+
+CITING = "'Section ' || p_size || ' of the Levies (Region ' || p_partkey || ') Act, No. ' || (p_size + 1) || ' of 1999 is hereby amended. See section 12 here. The powers under section ' || (p_size + 2) || ';' || CASE WHEN p_partkey % 2 = 0 THEN ' the Second Schedule is for the levies.' ELSE '' END"
+
+
+# DOC-02, STR-15, STR-16, STR-17
+@query(f"""WITH p AS (SELECT *, p_partkey AS id, {CITING} AS t FROM part), r AS (
+  SELECT id, 0 AS k, 'Section ' || p_size || ' of the Levies (Region ' || id || ') Act, No. ' || (p_size + 1) || ' of 1999 is hereby amended' AS raw_reference_text, 'AMENDS' AS relationship_type,
+    'Levies (Region ' || id || ') Act' AS target_act_title_raw, (p_size + 1)::VARCHAR AS target_act_number, p_size::VARCHAR AS target_section_number, p_size::VARCHAR AS target_section_path, 0.95::DOUBLE AS confidence_score, 'PENDING' AS verification_status, t FROM p
+  UNION ALL SELECT id, 1, 'Section ' || p_size || ' of the Levies (Region ' || id || ') Act, No. ' || (p_size + 1) || ' of 1999', 'AMENDS', 'Levies (Region ' || id || ') Act', (p_size + 1)::VARCHAR, NULL, NULL, 0.95, 'PENDING', t FROM p
+  UNION ALL SELECT id, 2, 'section ' || (p_size + 2), 'CROSS_REFERENCE', NULL, NULL, (p_size + 2)::VARCHAR, (p_size + 2)::VARCHAR, 0.7, 'PENDING', t FROM p
+  UNION ALL SELECT id, 3, 'Second Schedule', 'UNKNOWN', NULL, NULL, NULL, 'Second Schedule', 0.3, 'NEEDS_REVIEW', t FROM p WHERE id % 2 = 0)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INTEGER AS position, raw_reference_text, relationship_type, target_act_title_raw, target_act_number, target_section_number, target_section_path, confidence_score, verification_status,
+  trim(substr(t, greatest(1, strpos(t, raw_reference_text) - 160), least(160, strpos(t, raw_reference_text) - 1) + length(raw_reference_text) + CASE WHEN k = 3 THEN 161 ELSE 160 END)) AS context_snippet FROM r""")
 def doc_extract_refs(spark, d):
-    return documents.extract_references(T.acts(spark, d), text="raw_text")
+    size = lambda n: (F.col("p_size") + n).cast("string")
+    text = F.concat(F.lit("Section "), "p_size", F.lit(" of the Levies (Region "), "p_partkey", F.lit(") Act, No. "), size(1), F.lit(" of 1999 is hereby amended. See section 12 here. The powers under section "), size(2), F.lit(";"),
+                    F.when(F.col("p_partkey") % 2 == 0, " the Second Schedule is for the levies.").otherwise(""))
+    found = citations.extract_references(T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text")))
+    return found.drop("target_act_year", "extraction_method")
 
 
 # DOC-04..DOC-06, AGG-11: every order cites a part's act by title; some leave it to context
@@ -1068,9 +1101,10 @@ def doc_map_refs(spark, d):
 
 
 # STR-21
-@query()
+@query("""SELECT p_partkey AS id, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') || ' Act' AS title, p_name || ' act' AS normalized_title, p_size::VARCHAR AS act_number,
+(p_partkey % 40 + 1980)::INTEGER AS year, NULL::DATE AS publication_date FROM part""")
 def meta_extract(spark, d):
-    return documents.metadata(T.acts(spark, d).withColumn("source_file_name", F.concat(F.lit("act_"), F.col("id"), F.lit(".pdf"))))
+    return documents.metadata(T.statutes(spark, d)).drop("certification_date", "confidence")
 
 
 # STR-18, STR-19, HYB-03: the boost of an exact identifier over all acts

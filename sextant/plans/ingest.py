@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as X
-from sextant.operators import documents, mapping, state
+from sextant.operators import citations, documents, mapping, segments, state
 
 
 @dataclass(frozen=True)
@@ -26,9 +26,9 @@ def ingest(texts: DataFrame, acts: DataFrame | None = None) -> Ingested:
     cleaned = texts.withColumn("raw_text", X.clean(F.coalesce("raw_text", F.lit(""))))
     found = documents.metadata(cleaned).join(texts.select("id", "source_file_name"), "id").withColumn("source_name", F.lit(None).cast("string"))
     ident = lambda *c: F.substring(F.sha2(F.concat_ws("\x1f", *c).cast("binary"), 256), 1, 32)
-    parts = documents.segment(cleaned).withColumnRenamed("id", "act_id")
+    parts = segments.segment(cleaned).drop("position").withColumnRenamed("id", "act_id")
     sections = parts.withColumns({"id": ident("act_id", F.col("sort_order").cast("string"), "section_number"), "verification_status": F.lit("PENDING")})
-    refs = documents.extract_references(sections.select("id", "text")).withColumnsRenamed({"id": "source_section_id", "position": "_k"})
+    refs = citations.extract_references(sections.select("id", "text")).withColumnsRenamed({"id": "source_section_id", "position": "_k"})
     refs = refs.join(sections.select(F.col("id").alias("source_section_id"), F.col("act_id").alias("source_act_id"), "sort_order"), "source_section_id")
     order = Window.partitionBy("source_act_id").orderBy("sort_order", "_k")
     none = F.lit(None).cast("string")

@@ -29,9 +29,3 @@ REFERENCES = _of(
     target_act_year=I, confidence_score=D, verified_at=TS, created_at=TS,
 )
 GOLD = _of("query_id query query_type document_identifier expected_section_path relevance_grade annotator adjudication_status notes")
-SECTION_DRAFT = T.StructType(
-    [T.StructField(n, k) for n, k in (("section_number", S), ("section_path", S), ("heading", S), ("section_type", S), ("text", S), ("normalized_text", S), ("sort_order", I), ("source_start", I), ("source_end", I))]
-)
-REFERENCE_DRAFT = T.StructType(
-    [T.StructField(n, k) for n, k in (("raw_reference_text", S), ("context_snippet", S), ("relationship_type", S), ("target_act_title_raw", S), ("target_act_number", S), ("target_act_year", I), ("target_section_number", S), ("target_section_path", S), ("confidence_score", D), ("extraction_method", S), ("verification_status", S))]
-)

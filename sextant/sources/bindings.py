@@ -43,3 +43,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("bigint").alias("item_id"), F.col("ts").alias("viewed_at"), F.col("event_type").alias("item_type"))
+
+
+def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statute texts, one for each part: cover, title, preamble, parts, one to four sections with and without marginal headings, a schedule."""
+    p = read(spark, sf_dir, "part")
+    k, n = F.col("p_partkey"), F.col("p_size") % 4 + 1
+    only = lambda condition, *parts: F.when(condition, F.concat(*(F.lit(x) if isinstance(x, str) and x[:1] != "$" else F.col(x[1:]) if isinstance(x, str) else x for x in parts))).otherwise("")
+    year = F.col("p_partkey") % 40 + 1980
+    text = F.concat(
+        F.lit("PARLIAMENT OF THE DEMOCRATIC SOCIALIST REPUBLIC\n"), F.upper("p_name"), F.lit(" ACT, No. "), "p_size", F.lit(" of "), year, F.lit("\n[Certified on 3rd March, "), year, F.lit("]\n"),
+        F.lit("Be it enacted as follows: \n\n"), only(k % 2 == 0, "PART I\nGENERAL\n\n"), F.lit("Short title\n1. This Act may be cited as the "), "p_name", F.lit(" Act.\n"),
+        only(n >= 2, "2. Powers; and more.\n\n  Text of ", "$p_brand", ".\n\n"),
+        only(n >= 3, "Amendment of section ", F.col("p_size"), " of the principal enactment\n3. Section ", F.col("p_size"), " of the ", F.initcap("p_name"), " Act, No. 7 of ", year, " is hereby amended.\n"),
+        only(k % 3 == 0, "PART II\n"), only(n >= 4, "4.\nPowers of ", "$p_brand", "\nas in section 5.\n"), only(k % 5 == 0, "\nFIRST SCHEDULE\n1. Form of ", "$p_type", "\n"),
+    )
+    return p.select(k.alias("id"), text.alias("raw_text"), F.concat(F.lit("act_"), k, F.lit(".pdf")).alias("source_file_name"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sextant import schemas
 from sextant.functions import scoring as M
 from sextant.functions import text as X
-from sextant.operators import catalog, documents, evaluation, exports, graph, mapping, search, state
+from sextant.operators import catalog, citations, documents, evaluation, exports, graph, mapping, search, segments, state
 from sextant.operators import intent as Q
 from sextant.sources import files
 from sextant.streaming import history
@@ -284,7 +284,7 @@ FIRST SCHEDULE
 
 def test_segments(spark):
     df = spark.createDataFrame([("d", TEXT), ("e", "No numbers here."), ("n", None), ("z", "")], "id string, raw_text string")
-    rows = documents.segment(df).orderBy("id", "sort_order").collect()
+    rows = segments.segment(df).orderBy("id", "sort_order").collect()
     assert [(r.section_number, r.section_type) for r in rows if r.id == "d"] == [("PREAMBLE", "PREAMBLE"), ("1", "SECTION"), ("2", "SECTION"), ("PART II", "PART"), ("3", "SECTION"), ("FIRST SCHEDULE", "SCHEDULE")]
     first = next(r for r in rows if r.section_number == "1")
     assert first.text.startswith("Short title") and TEXT[first.source_start : first.source_end].strip() == first.text
@@ -293,7 +293,7 @@ def test_segments(spark):
 
 def test_extracted_references(spark):
     df = spark.createDataFrame([("d", "Section 9 of the Judicature Act, No. 2 of 1978 is hereby amended. See section 12 here. The item 4 under section 5."), ("n", None)], "id string, text string")
-    rows = documents.extract_references(df).collect()
+    rows = citations.extract_references(df).collect()
     first = rows[0]
     assert (first.relationship_type, first.target_act_number, first.target_act_year, first.target_section_number, first.confidence_score) == ("AMENDS", "2", 1978, "9", 0.95)
     assert first.target_act_title_raw == "Judicature Act" and all("section 12" not in r.raw_reference_text for r in rows)
