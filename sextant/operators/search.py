@@ -26,19 +26,19 @@ def _like(column: str, text: str) -> Column:
 def act_hits(acts: DataFrame, query: str, role: str, filters: Column | None = None, act_number: str | None = None) -> DataFrame:
     """Visible acts that match, with ``score``; ``acts`` needs normalized_title and the other act columns."""
     intent, plain = Q.parse(query), Q.plain(query)
-    rows = acts.where(V.acts(role, F.col("processing_status")) & (F.lit(True) if filters is None else filters))
+    rows = acts.where(V.acts(role, F.col("processing_status")) & (F.lit(True) if filters is None else filters)).withColumn("_low", F.lower("raw_text"))
     score = F.lit(0.3)
     title = F.col("normalized_title")
     if query:
-        exact = [(F.col("act_number") == intent.act_number) & (F.col("year") == intent.act_year)] if intent.names_act else []
-        exact += [title == intent.act_title] if intent.act_title else []
+        stored = {"number": F.col("act_number"), "year": F.col("year"), "title": title}
+        exact = [Q.matches({kind: intent[kind]}, **stored) for kind in ("act_number", "act_title") if kind in intent]
         names = ("act_number", "category", "source_name", "source_file_name")
-        rows = rows.where(_any(_like("normalized_title", plain), F.col("year").cast("string").ilike(f"%{query}%"), *(_like(c, query) for c in names if c in acts.columns), _like("raw_text", query), *exact))
+        rows = rows.where(_any(_like("normalized_title", plain), F.col("year").cast("string").ilike(f"%{query}%"), *(_like(c, query) for c in names if c in acts.columns), F.col("_low").like(f"%{query.lower()}%"), *exact))
         score = score + F.when(title == plain, 9.0).when(title.contains(plain), 5.5).otherwise(0.0)
         score = score + F.when((F.lit(bool(act_number)) & (F.col("act_number") == (act_number or ""))) | (F.col("act_number") == query), 4.5).otherwise(0.0)
         score = score + F.when(F.col("year").cast("string") == query, 2.0).otherwise(0.0)
         score = score + F.when(X.search_form(F.col("category")).contains(plain), 1.5).otherwise(0.0)
-        score = score + F.when(F.lower("raw_text").contains(query.lower()), 0.8).otherwise(0.0)
+        score = score + F.when(F.col("_low").contains(query.lower()), 0.8).otherwise(0.0)
     seen = F.when(F.col("processing_status") == "VERIFIED", 0.3)
     score = score + (seen if role == "ADMIN" else seen.when(F.col("processing_status") == "PROCESSED", 0.15)).otherwise(0.0)
     score = score + Q.act_boost(intent, F.col("act_number"), F.col("year"), F.col("title"))
@@ -55,7 +55,7 @@ def section_hits(sections: DataFrame, acts: DataFrame, query: str, role: str, fi
         rows = rows.where(V.verification(verification, F.col("verification_status")))
     score = F.lit(0.25)
     if query:
-        wanted = _any(F.col("section_number") == query, _like("section_path", query), _like("heading", query), _like("normalized_title", plain), _like("normalized_text", plain), Q._section_matches(intent, F.col("section_number"), F.col("section_path")))
+        wanted = _any(F.col("section_number") == query, _like("section_path", query), _like("heading", query), _like("normalized_title", plain), _like("normalized_text", plain), Q.matches(intent, section=F.col("section_number"), path=F.col("section_path")))
         rows = rows.where(wanted)
         heading = X.search_form(F.col("heading"))
         score = score + F.when(_any(F.col("section_number") == query, F.col("section_path") == query), 5.5).otherwise(0.0)
@@ -68,7 +68,7 @@ def section_hits(sections: DataFrame, acts: DataFrame, query: str, role: str, fi
 
 def reference_hits(references: DataFrame, acts: DataFrame, query: str, role: str, filters: Column | None = None, relationship: str | None = None, verification: str | None = None, mapped: str | None = None) -> DataFrame:
     """Visible references (of visible source acts) that match, with ``score``."""
-    kind = Q.parse(query).relationship
+    kind = Q.parse(query).get("relationship")
     a = acts.select(F.col("id").alias("source_act_id"), "title", "act_number", "year", "category", "processing_status")
     is_mapped = V.mapped(F.col("target_act_id"), F.col("target_section_id"))
     rows = references.join(a, "source_act_id").where(V.acts(role, F.col("processing_status")) & V.references(role, F.col("verification_status"), is_mapped))
@@ -77,7 +77,7 @@ def reference_hits(references: DataFrame, acts: DataFrame, query: str, role: str
         rows = rows.where(F.col("relationship_type") == relationship)
     if role != "GENERAL_USER":
         rows = rows.where(V.verification(verification, F.col("verification_status")))
-    score = 0.2 + F.col("confidence_score")
+    score = 0.2 + F.coalesce("confidence_score", F.lit(0.0))
     score = score + F.when(F.col("relationship_type") == relationship, 2.5).otherwise(0.0) if relationship else score
     if query:
         names = ("raw_reference_text", "context_snippet", "target_act_title_raw", "target_act_number", "target_section_number", "target_section_path")

@@ -27,16 +27,20 @@ def one(spark, expr, **values):
 
 
 def test_intent_reads_identifiers():
-    i = Q.parse("Act No. 9 of 2023")
-    assert (i.act_number, i.act_year) == ("9", 2023)
-    i = Q.parse("section 34(2)(a)")
-    assert (i.section_number, i.section_path) == ("34", "34(2)(a)")
-    assert Q.parse("Judicature Act").act_title == "judicature act"
-    assert Q.parse("the Anti-Corruption Act, No. 9 of 2023").act_title == "anti corruption act"
-    assert Q.parse("amendments that repeal").relationship == "REPEALS"
-    for bad in ("Act No. of 2023", "section", "", "   "):
-        i = Q.parse(bad)
-        assert not i.names_act and not i.names_section and not i.act_title
+    assert Q.parse("Act No. 9 of 2023") == {"act_number": ("9", 2023)}
+    assert Q.parse("section 34(2)(a)") == {"section": "34(2)(a)"} and Q.parse("Sec. 7A") == {"section": "7A"}
+    assert Q.parse("Judicature Act") == {"act_title": "judicature act"}
+    assert Q.parse("the Anti-Corruption Act, No. 9 of 2023") == {"act_number": ("9", 2023), "act_title": "anti corruption act"}
+    assert Q.parse("amendments that repeal") == {"relationship": "REPEALS"}
+    for bad in ("Act No. of 2023", "section", "", "   ", None):
+        assert Q.parse(bad) == {}
+
+
+def test_named_rows_match_at_every_level(spark):
+    acts = spark.createDataFrame([(1, "9", 2023, "levy act", "3", "3"), (2, "9", 2023, "levy act", "4", "4(1)"), (3, None, None, None, "3", None)], "id int, act_number string, year int, normalized_title string, section_number string, section_path string")
+    hits = lambda q: {r["id"] for r in acts.where(Q.exact_section(Q.parse(q))).collect()}
+    assert hits("Act No. 9 of 2023") == {1, 2} and hits("section 3") == {1, 3} and hits("section 4(1) of Act No. 9 of 2023") == {2}
+    assert hits("levy act") == {1, 2} and hits("section 3 No. 8 of 2023") == set() and hits("repeal") == set()
 
 
 def test_guards():
