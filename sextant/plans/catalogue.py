@@ -15,9 +15,10 @@ from sextant import schemas
 from sextant.functions import scoring as M
 from sextant.functions import stems
 from sextant.functions import text as X
-from sextant.operators import catalog, cells, citations, documents, evaluation, exports, fulltext, fuzzy, graph, mapping, search, segments, state
+from sextant.operators import catalog, cells, citations, documents, evaluation, exports, fulltext, fuzzy, graph, mapping, merge, search, segments, state
 from sextant.operators import intent as Q
 from sextant.operators import visibility as V
+from sextant.plans import backfill
 from sextant.sources import bindings as T
 from sextant.sources import storage
 
@@ -1001,6 +1002,106 @@ def state_decide(spark, d):
     return state.decide(s, (F.col("verification_status") == "PENDING") & (F.col("act_id") % 2 == 0), "REJECTED").select("act_id", "sort_order", "verification_status")
 
 
+# What changes sections of T.sections: of several changes of a column the last wins
+SECTION_CHANGES = """changes AS (SELECT (o_custkey % 200) || '/' || (o_orderkey % 5) AS id, o_orderkey AS n, o_orderkey % 3 <> 1 AS sets_heading, o_orderkey % 3 <> 0 AS sets_text, ' head ' || o_orderkey || ' ' AS heading,
+  CASE WHEN o_orderkey % 7 = 0 THEN '  ' ELSE 'New-Text ' || o_orderkey END AS text FROM orders),
+judged AS (SELECT *, CASE WHEN sets_text AND trim(text) = '' THEN 'blank text' END AS reason FROM changes),
+snapshot AS (SELECT act_id || '/' || sort_order AS id, heading, text, verification_status FROM sections)"""
+
+
+def _section_changes(spark, d):
+    s = T.sections(spark, d).select(F.concat_ws("/", "act_id", "sort_order").alias("id"), "heading", "text", F.lit("old").alias("normalized_text"), "verification_status")
+    k = F.col("o_orderkey")
+    fields = F.array_compact(F.array(F.when(k % 3 != 1, "heading"), F.when(k % 3 != 0, "text")))
+    text = F.when(k % 7 == 0, "  ").otherwise(F.concat(F.lit("New-Text "), k))
+    changes = T.read(spark, d, "orders").select(F.concat_ws("/", F.col("o_custkey") % 200, k % 5).alias("id"), k.alias("n"), fields.alias("fields"), F.concat(F.lit(" head "), k, F.lit(" ")).alias("heading"), text.alias("text"), F.lit(None).cast("string").alias("verification_status"))
+    return s, changes
+
+
+# DML-02: sections, patched
+@query(f"""WITH {SECTIONS}, {SECTION_CHANGES}, last AS (SELECT id, arg_max(heading, n) FILTER (sets_heading) AS h, arg_max(text, n) FILTER (sets_text) AS t FROM judged WHERE reason IS NULL GROUP BY 1)
+SELECT id, coalesce(trim(h), heading) AS heading, coalesce(trim(t), text) AS text, coalesce('new text ' || split_part(trim(t), ' ', 2), 'old') AS normalized_text, verification_status FROM snapshot LEFT JOIN last USING (id)""")
+def dml_patch_sections(spark, d):
+    return merge.merge(*_section_changes(spark, d), "id", "n", merge.section_rules())
+
+
+# DML-02: what was refused, and why
+@query(f"WITH {SECTIONS}, {SECTION_CHANGES} SELECT id, n, coalesce(reason, 'not found') AS reason FROM judged WHERE reason IS NOT NULL OR id NOT IN (SELECT id FROM snapshot)")
+def dml_refused_patches(spark, d):
+    return merge.rejected(*_section_changes(spark, d), "id", "n", merge.section_rules())
+
+
+# DML-02: acts; the search form follows the title
+@query(f"""WITH {ACTS}, last AS (SELECT l_suppkey AS id, arg_max('Act ' || l_comment, l_rank) AS t FROM (SELECT l_suppkey, l_partkey || '-' || l_linenumber AS l_comment, l_orderkey * 10 + l_linenumber AS l_rank FROM lineitem WHERE l_quantity > 45) GROUP BY 1)
+SELECT id, coalesce(t, title) AS title, CASE WHEN t IS NULL THEN 'old' ELSE replace(lower(t), '-', ' ') END AS normalized_title, processing_status FROM acts LEFT JOIN last USING (id)""")
+def dml_patch_acts(spark, d):
+    acts = T.acts(spark, d).select("id", "title", F.lit("old").alias("normalized_title"), "processing_status")
+    li = T.read(spark, d, "lineitem").where("l_quantity > 45")
+    changes = li.select(F.col("l_suppkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"), F.array(F.lit("title")).alias("fields"), F.concat(F.lit("Act "), "l_partkey", F.lit("-"), "l_linenumber").alias("title"), F.lit(None).cast("string").alias("processing_status"))
+    return merge.merge(acts, changes, "id", "n", merge.act_rules())
+
+
+REF_TABLE = "refs AS (SELECT o_orderkey::VARCHAR AS id, 'section ' || o_custkey AS raw_reference_text, (o_custkey % 100)::VARCHAR AS target_act_id, 0.5::DOUBLE AS confidence_score, 'PENDING' AS verification_status FROM orders WHERE o_orderkey % 2 = 0)"
+
+
+def _reference_changes(spark, d, fields):
+    none = F.lit(None).cast("string")
+    o = T.read(spark, d, "orders").withColumns({"id": F.col("o_orderkey").cast("string"), "raw_reference_text": F.concat(F.lit("section "), "o_custkey"), "target_act_id": (F.col("o_custkey") % 100).cast("string"), "target_section_id": none, "relationship_type": F.lit("AMENDS"), "extraction_method": F.lit("REGEX")})
+    refs = o.where("o_orderkey % 2 = 0").select("id", "raw_reference_text", "relationship_type", "target_act_id", "target_section_id", F.lit(0.5).alias("confidence_score"), "extraction_method", F.lit("PENDING").alias("verification_status"))
+    li = T.read(spark, d, "lineitem")
+    changes = li.select(
+        F.col("l_orderkey").cast("string").alias("id"), (F.col("l_linenumber") * 100_000 + F.col("l_partkey")).alias("n"), F.array(*map(F.lit, fields)).alias("fields"), F.when(F.col("l_linenumber") == 7, " ").otherwise(F.concat(F.lit("item "), "l_partkey")).alias("raw_reference_text"),
+        (F.col("l_suppkey") % 120).cast("string").alias("target_act_id"), none.alias("target_section_id"), (F.col("l_tax") * 15).cast("double").alias("confidence_score"), F.when(F.col("l_returnflag") == "A", "VERIFIED").otherwise("NEEDS_REVIEW").alias("verification_status"),
+    )
+    return refs, changes
+
+
+# DML-03: references, patched by hand; targets must be acts that exist
+@query(f"""WITH {REF_TABLE}, changes AS (SELECT l_orderkey::VARCHAR AS id, l_linenumber * 100000 + l_partkey AS n, (l_suppkey % 120)::VARCHAR AS a, (l_tax * 15)::DOUBLE AS c, CASE l_returnflag WHEN 'A' THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS v FROM lineitem),
+fine AS (SELECT * FROM changes WHERE NOT c > 1 AND a::INTEGER < 90), last AS (SELECT id, max((n, a)).a AS a, max((n, c)).c AS c, max((n, v)).v AS v FROM (SELECT * FROM fine) GROUP BY 1)
+SELECT id, coalesce(a, target_act_id) AS target_act_id, coalesce(c, confidence_score) AS confidence_score, coalesce(v, verification_status) AS verification_status FROM refs LEFT JOIN last USING (id)""".replace("max((n, a)).a", "arg_max(a, (n, a))").replace("max((n, c)).c", "arg_max(c, (n, c))").replace("max((n, v)).v", "arg_max(v, (n, v))"))
+def dml_patch_references(spark, d):
+    refs, changes = _reference_changes(spark, d, ("target_act_id", "confidence_score", "verification_status"))
+    acts = spark.range(90).select(F.col("id").cast("string").alias("id"))
+    sections = T.sections(spark, d).select(F.concat_ws("/", "act_id", "sort_order").alias("id"), F.col("act_id").cast("string").alias("act_id"))
+    judged = merge.with_valid_targets(changes, refs, acts, sections)
+    return merge.merge(refs, judged, "id", "n", merge.reference_rules(False, "u1", targets=True)).select("id", "target_act_id", "confidence_score", "verification_status")
+
+
+# DML-03: references made by hand where there are none, with defaults for what they do not say
+@query(f"""WITH {REF_TABLE}, fresh AS (SELECT l_orderkey::VARCHAR AS id, 'item ' || arg_max(l_partkey, l_linenumber * 100000 + l_partkey) AS raw_reference_text FROM lineitem WHERE l_linenumber <> 7 AND l_orderkey::VARCHAR NOT IN (SELECT id FROM refs) GROUP BY 1)
+SELECT id, raw_reference_text, 'REGEX' AS extraction_method, 'PENDING' AS verification_status FROM refs UNION ALL SELECT id, raw_reference_text, 'MANUAL', 'NEEDS_REVIEW' FROM fresh""")
+def dml_create_references(spark, d):
+    refs, changes = _reference_changes(spark, d, ("raw_reference_text",))
+    return merge.merge(refs, changes, "id", "n", merge.reference_rules(True)).select("id", "raw_reference_text", "extraction_method", "verification_status")
+
+
+# DML-08: gold judgements, each identity once, the first one stays
+@query("""SELECT event_id AS id, user_id AS query_id, 0 AS relevance_grade FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, user_id, 2 FROM events WHERE event_id % 4 <> 0 AND event_id % 3 <> 0""")
+def dml_insert_gold(spark, d):
+    e = T.read(spark, d, "events")
+    gold = e.where("event_id % 4 = 0").select(F.col("event_id").alias("id"), F.col("user_id").alias("query_id"), F.lit(0).alias("relevance_grade"))
+    new = e.select(F.col("event_id").alias("id"), F.lit(1).alias("n"), F.array(F.lit("query_id"), F.lit("relevance_grade")).alias("fields"), F.col("user_id").alias("query_id"), F.when(F.col("event_id") % 3 == 0, 5).otherwise(2).alias("relevance_grade"))
+    return merge.merge(gold, new, "id", "n", merge.gold_rules())
+
+
+# DOC-09, DOC-11, SRT-12: a backfill in key batches, ended by a limit and resumed
+@query(f"""WITH {SECTIONS}, s AS (SELECT lpad(act_id::VARCHAR, 9, '0') || '/' || sort_order AS id, text, sort_order % 3 AS k FROM sections)
+SELECT id, CASE WHEN k = 2 THEN 'FAILED' ELSE 'READY' END AS embedding_status, CASE WHEN k = 0 THEN 1.0 WHEN k = 1 THEN length(text) END::DOUBLE AS first FROM s""")
+def backfill_resumed(spark, d):
+    k = F.col("sort_order") % 3
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    s = T.sections(spark, d).select(
+        F.concat(F.lpad(F.col("act_id").cast("string"), 9, "0"), F.lit("/"), "sort_order").alias("id"), "text", F.when(k == 0, F.array(F.lit(1.0))).cast("array<double>").alias("embedding"), F.when(k == 0, "READY").when(k == 1, "STALE").otherwise("FAILED").alias("embedding_status"),
+        F.lit("p").alias("embedding_provider"), F.lit("m").alias("embedding_model"), F.lit(1).alias("embedding_dimension"), F.when(k == 0, digest).otherwise("old").alias("embedding_source_hash"),
+    )
+    path, vector, target = storage.fresh_path(spark, "backfill"), F.array(F.length("text").cast("double")), backfill.Target("p", "m", 1)
+    batch = s.count() // 8 + 1
+    backfill.run(s, path, vector, target, digest, batch_rows=batch, limit=batch)
+    backfill.run(s, path, vector, target, digest, batch_rows=batch)
+    return backfill.merged(s, path).select("id", "embedding_status", F.get("embedding", F.lit(0)).alias("first"))
+
+
 # DML-10
 @query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'RUNNING' ELSE 'QUEUED' END AS status, CASE WHEN event_type = 'view' THEN 40 ELSE 0 END::INTEGER AS progress_percent, CASE WHEN event_type = 'view' THEN 'parse' ELSE '' END AS current_step FROM events""")
 def state_advance_job(spark, d):
