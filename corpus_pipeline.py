@@ -7,6 +7,8 @@ the next one's ``docs``. All but the last keep the columns of ``documents``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,24 @@ from sextant.llm.common import WORD, bounded, settle, shared_dir, table
 from sextant.llm.queries import tokenizer_path
 
 
+#: The columns that stages know.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def apart(stage: Stage) -> Stage:
+    """``stage`` on documents whose other columns bear names of no meaning meanwhile, so that none clashes with a name of its own."""
+
+    @wraps(stage)
+    def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        held = [c if c in KNOWN else f"other_column_{k}" for k, c in enumerate(names)]
+        return stage(spark, docs.toDF(*held), sf_dir).select(*held).toDF(*names)
+
+    return run_apart
+
+
+@apart
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language (no letter in the text) go; the classifier learns from the labels of the table.
 
@@ -28,6 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(judge(F.col("text"))["lang_pred"] != language_id.UNKNOWN)
 
 
+@apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that pairs with a Jaccard similarity of 0.8 or more over 5-word shingles connect, the one with the least doc_id (null last), then text, stays.
 
@@ -39,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
 
 
+@apart
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a word inside any occurrence of a benchmark window go."""
     found = decontaminate.contaminated_by(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
@@ -46,6 +68,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(hit, docs.doc_id.eqNullSafe(hit._doc) & (F.xxhash64(docs.text) == hit._hash), "left_anti")
 
 
+@apart
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix of sources takes it, from not at all to three times."""
     turn = Window.partitionBy("_doc", "_source", "_size").orderBy("_copies")
