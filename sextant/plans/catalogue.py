@@ -18,7 +18,7 @@ from sextant.functions import text as X
 from sextant.operators import catalog, cells, citations, documents, evaluation, exports, fulltext, fuzzy, graph, mapping, merge, search, segments, state
 from sextant.operators import intent as Q
 from sextant.operators import visibility as V
-from sextant.plans import backfill
+from sextant.plans import backfill, hybrid
 from sextant.sources import bindings as T
 from sextant.sources import storage
 
@@ -297,6 +297,82 @@ def rrf_weighted_page(spark, d):
     return search.fused_page(fused, 25).select("id", F.col("keyword_rank").cast("bigint").alias("keyword_rank"), F.col("semantic_rank").cast("bigint").alias("semantic_rank"), "score")
 
 
+# --- search over sections and references, and the fused page --------------------------------------------
+
+VISIBLE = "processing_status IN ('PROCESSED', 'VERIFIED')"
+
+
+def _acts_to_search(spark, d):
+    return T.acts(spark, d).withColumn("normalized_title", X.search_form(F.col("title")))
+
+
+# FLT-07, FLT-12, MTH-10
+@query(f"""WITH {ACTS}, {SECTIONS}, j AS (SELECT act_id || '/' || sort_order AS id, sort_order::VARCHAR AS num, heading, lower(heading) AS h, {FORM.format('text')} AS form, {FORM.format('title')} AS title_form, verification_status
+  FROM sections JOIN acts ON act_id = acts.id WHERE {VISIBLE} AND verification_status IN ('VERIFIED', 'PENDING', 'NEEDS_REVIEW'))
+SELECT 'SECTION' AS result_type, id, round(0.25::DOUBLE + CASE WHEN num = 'er' THEN 5.5::DOUBLE ELSE 0 END + CASE WHEN h = 'er' THEN 5.0::DOUBLE WHEN contains(h, 'er') THEN 3.6::DOUBLE ELSE 0 END + CASE WHEN contains(form, 'er') THEN 1.6::DOUBLE ELSE 0 END
+  + CASE WHEN contains(title_form, 'er') THEN 1.2::DOUBLE ELSE 0 END + CASE verification_status WHEN 'VERIFIED' THEN 0.4::DOUBLE ELSE 0 END, 6) AS score
+FROM j WHERE num = 'er' OR contains(h, 'er') OR contains(title_form, 'er') OR contains(form, 'er')""")
+def search_sections(spark, d):
+    number = F.col("sort_order").cast("string")
+    s = T.sections(spark, d).withColumns({"id": F.concat_ws("/", "act_id", "sort_order"), "section_number": number, "section_path": number, "normalized_text": X.search_form(F.col("text"))})
+    return search.section_hits(s, _acts_to_search(spark, d), "er", "LAWYER", verification="verified_pending").select("result_type", "id", "score")
+
+
+SEARCHED_REFS = """cited AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_suppkey AS source_act_id, CASE WHEN l_returnflag = 'A' THEN 'amends' ELSE 'see' END || ' section ' || l_linenumber AS raw, 'Levy ' || (l_partkey % 9) || ' Act' AS named,
+  CASE l_returnflag WHEN 'A' THEN 'AMENDS' WHEN 'N' THEN 'REFERS_TO' ELSE 'REPEALS' END AS kind, CASE l_linestatus WHEN 'F' THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS status, CASE WHEN l_linenumber <> 6 THEN l_discount END AS confidence, l_linenumber % 3 <> 0 AS mapped FROM lineitem)"""
+
+
+def _references_to_search(spark, d):
+    flag, none = F.col("l_returnflag"), F.lit(None).cast("string")
+    return T.read(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_suppkey").alias("source_act_id"), F.concat(F.when(flag == "A", "amends").otherwise("see"), F.lit(" section "), "l_linenumber").alias("raw_reference_text"), F.lit("").alias("context_snippet"),
+        F.concat(F.lit("Levy "), F.col("l_partkey") % 9, F.lit(" Act")).alias("target_act_title_raw"), none.alias("target_act_number"), F.lit(None).cast("int").alias("target_act_year"), none.alias("target_section_number"), none.alias("target_section_path"),
+        F.when(flag == "A", "AMENDS").when(flag == "N", "REFERS_TO").otherwise("REPEALS").alias("relationship_type"), F.when(F.col("l_linestatus") == "F", "VERIFIED").otherwise("NEEDS_REVIEW").alias("verification_status"),
+        F.when(F.col("l_linenumber") != 6, F.col("l_discount")).cast("double").alias("confidence_score"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_partkey").cast("string")).alias("target_act_id"), none.alias("target_section_id"),
+    )
+
+
+# FLT-08, FLT-03, MTH-10: the word names a relationship, a text has it too
+@query(f"""WITH {ACTS}, {SEARCHED_REFS} SELECT c.id, round(0.2::DOUBLE + coalesce(confidence, 0) + CASE WHEN contains(raw, 'amends') THEN 2.4::DOUBLE ELSE 0 END + CASE kind WHEN 'AMENDS' THEN 3.2::DOUBLE ELSE 0 END + 0.4::DOUBLE + 0.2::DOUBLE, 6) AS score
+FROM cited c JOIN acts a ON a.id = source_act_id WHERE {VISIBLE} AND status = 'VERIFIED' AND mapped AND (contains(raw, 'amends') OR kind = 'AMENDS')""")
+def search_references(spark, d):
+    return search.reference_hits(_references_to_search(spark, d), _acts_to_search(spark, d), "amends", "GENERAL_USER").select("id", "score")
+
+
+# FLT-08, FLT-10, FLT-11 with every filter: type, status, unresolved
+@query(f"""WITH {ACTS}, {SEARCHED_REFS} SELECT c.id, round(0.2::DOUBLE + coalesce(confidence, 0) + 2.5::DOUBLE + CASE WHEN contains(lower(named), 'levy 4') THEN 1.8::DOUBLE ELSE 0 END, 6) AS score
+FROM cited c JOIN acts a ON a.id = source_act_id WHERE {VISIBLE} AND status = 'NEEDS_REVIEW' AND NOT mapped AND kind = 'REPEALS' AND contains(lower(named), 'levy 4')""")
+def search_references_filtered(spark, d):
+    return search.reference_hits(_references_to_search(spark, d), _acts_to_search(spark, d), "Levy 4", "LAWYER", relationship="REPEALS", verification="NEEDS_REVIEW", mapped="unresolved").select("id", "score")
+
+
+# FLT-09: acts and sections that a query names exactly
+@query(f"WITH {ACTS}, {SECTIONS} SELECT act_id, sort_order FROM sections JOIN acts ON acts.id = act_id WHERE act_number = '9' AND year = 1987 AND sort_order = 3 OR act_number = '9' AND year = 1987 AND sort_order = 1")
+def search_exact_identifiers(spark, d):
+    number = F.col("sort_order").cast("string")
+    rows = T.sections(spark, d).withColumns({"section_number": number, "section_path": number}).join(_acts_to_search(spark, d).withColumnRenamed("id", "act_id"), "act_id")
+    wanted = (Q.exact_section(Q.parse(q)) for q in ("section 3 of Act No. 9 of 1987", "Act No. 9 of 1987, s. 1"))
+    return rows.where(search._any(*wanted)).select("act_id", "sort_order")
+
+
+# HYB-01, HYB-02, HYB-03, PRJ-06, FLT-15, SRT-05: the fused page of a query that names a section
+@query(f"""WITH {ACTS}, {VECTORS}, q AS (SELECT embedding AS e FROM vecs ORDER BY section_id LIMIT 1),
+s AS (SELECT v.section_id::VARCHAR AS id, v.act_id AS label, title, 1 - list_cosine_similarity(embedding, e) AS raw_distance FROM vecs v JOIN acts a ON a.id = v.section_id % 150 JOIN q ON true WHERE {VISIBLE} AND v.section_id % 4 <> 0),
+kw AS (SELECT id, row_number() OVER (ORDER BY title, id) AS r FROM s WHERE label = 3 QUALIFY r <= 100),
+sem AS (SELECT id, label = 3 AS tier, row_number() OVER (ORDER BY label = 3 DESC, round(raw_distance, 9), id) AS r FROM s QUALIFY r <= 100)
+SELECT 'hybrid' AS mode, 'SECTION' AS result_type, id, round(coalesce(1.0::DOUBLE / (60 + kw.r), 0) + coalesce(1.0::DOUBLE / (60 + sem.r), 0) + CASE WHEN kw.r IS NOT NULL OR tier THEN 200.0::DOUBLE ELSE 0 END, 9) AS score
+FROM kw FULL JOIN sem USING (id) ORDER BY score DESC, id LIMIT 20 OFFSET 3""")
+def search_hybrid_page(spark, d):
+    v = T.vectors(spark, d)
+    label = F.col("act_id").cast("string")
+    sections = v.select(
+        F.col("section_id").cast("string").alias("id"), (F.col("section_id") % 150).alias("act_id"), label.alias("section_number"), label.alias("section_path"), F.concat(F.lit("section "), label).alias("heading"), F.concat(F.lit("text "), "section_id").alias("text"),
+        F.concat(F.lit("text "), "section_id").alias("normalized_text"), F.when(F.col("section_id") % 4 != 0, "VERIFIED").otherwise("PENDING").alias("verification_status"), "embedding",
+    )
+    mode, page = hybrid.search_page(_acts_to_search(spark, d), sections, _references_to_search(spark, d).where("raw_reference_text NOT LIKE '%section 3%'"), "section 3", vector=_probe(spark, d), limit=20, offset=3)
+    return page.select(F.lit(mode).alias("mode"), "result_type", "id", "score")
+
+
 # --- joins -----------------------------------------------------------------------------------
 
 
