@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -16,6 +16,12 @@ def tallies(df: DataFrame, key: str, column: str, domain: Sequence[str], total:
     return df.groupBy(key).agg(F.count("*").alias(total), *(F.count_if(F.col(column) == v).alias(v.lower()) for v in domain))
 
 
+def reference_summary(references: DataFrame, least: float = 0.5) -> DataFrame:
+    """Per relationship: how many references, how many without a target, and how many of at least that confidence."""
+    counts = (F.count("*").alias("n"), F.count_if(F.col("target").isNull()).alias("unresolved"), F.count_if(F.col("confidence") >= least).alias("confident"))
+    return references.groupBy("relationship").agg(*counts)
+
+
 def domain_counts(df: DataFrame, column: str, domain: Sequence[str]) -> DataFrame:
     """(value, n) for every member of ``domain``, zeros included."""
     found = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
@@ -105,8 +111,6 @@ def newest(df: DataFrame, column: str, key: str, n: int) -> DataFrame:
 
 
 def adjacent(sections: DataFrame, act: str = "act_id", order: str = "sort_order") -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy(act).orderBy(order)
     return sections.withColumns({"previous": F.lag(order).over(w), "next": F.lead(order).over(w)})
 

@@ -80,6 +80,11 @@ def chapter_places(acts: DataFrame) -> DataFrame:
     return starts.groupBy(F.concat(F.lit("chapter "), "start").alias("place")).agg(F.min("act").alias("by_chapter"))
 
 
+def acts_by_number(acts: DataFrame) -> DataFrame:
+    """(act_number, year, by_number): the least act of each."""
+    return acts.groupBy("act_number", "year").agg(F.min("id").alias("by_number"))
+
+
 def own_target(references: DataFrame, acts: DataFrame) -> DataFrame:
     """Add ``own`` and ``match``, the act that a reference names itself, and title_form; number and year are filled from what it says.
 
@@ -95,8 +100,7 @@ def own_target(references: DataFrame, acts: DataFrame) -> DataFrame:
     titled = titled.withColumn("titled", F.coalesce("_0", "_1", "_2")).drop("wanted", "_0", "_1", "_2")
     out = references.join(titled.withColumnsRenamed({c: f"_{c}" for c in SAID}), F.col(SAID[0]).eqNullSafe(F.col(f"_{SAID[0]}")) & F.col(SAID[1]).eqNullSafe(F.col(f"_{SAID[1]}")), "left").drop(*(f"_{c}" for c in SAID))
     out = out.withColumns({"target_act_number": X.act_number(F.coalesce("target_act_number", "said_number")), "target_act_year": F.coalesce("target_act_year", "said_year")})
-    numbered = acts.groupBy("act_number", "year").agg(F.min("id").alias("by_number"))
-    out = out.join(numbered, (F.col("target_act_number") == F.col("act_number")) & (F.col("target_act_year") == F.col("year")), "left").drop("act_number", "year")
+    out = out.join(acts_by_number(acts), (F.col("target_act_number") == F.col("act_number")) & (F.col("target_act_year") == F.col("year")), "left").drop("act_number", "year")
     chapter = F.lower(F.coalesce("said_chapter", X.chapter(F.col("target_section_path"))))
     out = out.withColumn("_chapter", chapter).join(chapter_places(acts), F.col("_chapter") == F.col("place"), "left").drop("_chapter", "place")
     cites = F.col("target_act_number").isNotNull() & F.col("target_act_year").isNotNull()

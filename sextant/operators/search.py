@@ -117,18 +117,19 @@ def nearest(rows: DataFrame, query: Sequence[float], k: int, offset: int = 0, ex
     return ranked.offset(offset).limit(k).withColumn("score", M.similarity_score(F.col("distance")))
 
 
+def first_ranks(ranked_: DataFrame, identity: Sequence[str], name: str, boost: str | None = None) -> DataFrame:
+    """Each identity once, with its best rank and its greatest boost."""
+    extra = [F.max(boost).alias(f"{name}_boost")] if boost else []
+    return ranked_.groupBy(*identity).agg(F.min("rank").alias(f"{name}_rank"), *extra)
+
+
 def fuse(keyword: DataFrame, semantic: DataFrame, identity: Sequence[str] = ("result_type", "id"), k: int = M.RRF_K, weights: tuple[float, float] = (1.0, 1.0), boost: str | None = None) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists (identity columns, ``rank``; ``boost`` optional).
 
     An identity that a list repeats keeps its first rank, and ranks are not renumbered.
     """
     keys = list(identity)
-
-    def first(df: DataFrame, name: str) -> DataFrame:
-        extra = [F.max(boost).alias(f"{name}_boost")] if boost else []
-        return df.groupBy(*keys).agg(F.min("rank").alias(f"{name}_rank"), *extra)
-
-    both = first(keyword, "keyword").join(first(semantic, "semantic"), keys, "full_outer")
+    both = first_ranks(keyword, keys, "keyword", boost).join(first_ranks(semantic, keys, "semantic", boost), keys, "full_outer")
     a, b = M.rrf(F.col("keyword_rank"), weights[0], k), M.rrf(F.col("semantic_rank"), weights[1], k)
     plus = F.greatest(F.coalesce("keyword_boost", F.lit(0.0)), F.coalesce("semantic_boost", F.lit(0.0))) if boost else F.lit(0.0)
     return both.withColumns({"keyword_contribution": a, "semantic_contribution": b, "boost": plus}).withColumn("score", F.round(a + b + plus, 9))

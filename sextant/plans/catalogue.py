@@ -15,7 +15,7 @@ from sextant import schemas
 from sextant.functions import scoring as M
 from sextant.functions import stems
 from sextant.functions import text as X
-from sextant.operators import catalog, cells, citations, documents, evaluation, exports, fulltext, fuzzy, graph, mapping, merge, search, segments, state
+from sextant.operators import catalog, cells, citations, documents, evaluation, exports, fulltext, fuzzy, graph, mapping, merge, rows, search, segments, state
 from sextant.operators import intent as Q
 from sextant.operators import visibility as V
 from sextant.plans import backfill, hybrid
@@ -120,9 +120,9 @@ def flt_confidence_band(spark, d):
 
 
 # FLT-16
-@query(f"WITH {ACTS} SELECT id FROM acts WHERE contains(lower(raw_text), 'the_')")
+@query(f"WITH {ACTS} SELECT id FROM acts WHERE contains(lower(raw_text), '%%% o')")
 def flt_literal_contains(spark, d):
-    return T.acts(spark, d).where(V.contains_literal(F.col("raw_text"), "the_")).select("id")
+    return T.acts(spark, d).where(V.contains_literal(F.col("raw_text"), "%%% O")).select("id")
 
 
 # FLT-25
@@ -286,7 +286,7 @@ def rrf_fusion(spark, d):
 # WIN-01
 @query(LISTS + " SELECT id, min(rank) AS first_rank FROM kw GROUP BY 1")
 def rrf_dedupe_first_rank(spark, d):
-    return _lists(spark, d)[0].groupBy("id").agg(F.min("rank").cast("bigint").alias("first_rank"))
+    return search.first_ranks(_lists(spark, d)[0], ["id"], "first").select("id", F.col("first_rank").cast("bigint").alias("first_rank"))
 
 
 # HYB-04: components of the fused page
@@ -379,36 +379,36 @@ def search_hybrid_page(spark, d):
 # JOI-01, JOI-02
 @query(f"WITH {ACTS}, {SECTIONS} SELECT act_id, sort_order, a.category FROM sections s JOIN acts a ON s.act_id = a.id")
 def join_inner_act(spark, d):
-    return T.sections(spark, d).join(T.acts(spark, d).select(F.col("id").alias("act_id"), "category"), "act_id").select("act_id", "sort_order", "category")
+    return rows.with_parent(T.sections(spark, d), T.acts(spark, d), "act_id", category="category").select("act_id", "sort_order", "category")
 
 
 # JOI-04, PRJ-02
 @query(f"""WITH {ACTS}, {REFS} SELECT r.l_orderkey, r.l_linenumber, r.l_partkey, r.source, a.title AS source_title, b.title AS target_title FROM refs r LEFT JOIN acts a ON r.source = a.id LEFT JOIN acts b ON r.target = b.id""")
 def join_left_targets(spark, d):
-    a = T.acts(spark, d)
-    s, t = a.select(F.col("id").alias("source"), F.col("title").alias("source_title")), a.select(F.col("id").alias("target"), F.col("title").alias("target_title"))
-    return T.references(spark, d).join(s, "source", "left").join(t, "target", "left").select("l_orderkey", "l_linenumber", "l_partkey", "source", "source_title", "target_title")
+    acts = T.acts(spark, d)
+    out = rows.with_parent(rows.with_parent(T.references(spark, d), acts, "source", "left", source_title="title"), acts, "target", "left", target_title="title")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "source", "source_title", "target_title")
 
 
 # JOI-20
 @query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 def join_semi_saved(spark, d):
-    return T.read(spark, d, "part").join(T.read(spark, d, "lineitem").where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_name")
+    return rows.having(T.read(spark, d, "part"), T.read(spark, d, "lineitem").where("l_quantity > 49"), "p_partkey", "l_partkey").select("p_partkey", "p_name")
 
 
 # JOI-17
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def join_anti_unmapped(spark, d):
-    return T.read(spark, d, "customer").join(T.read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    dear = T.read(spark, d, "orders").where("o_totalprice > 300000")
+    return rows.having(T.read(spark, d, "customer"), dear, "c_custkey", "o_custkey", without=True).select("c_custkey")
 
 
 # JOI-09: by number and year; of several acts the least id
 @query(f"""WITH {ACTS}, wanted AS (SELECT o_orderkey, (o_custkey % 60)::VARCHAR AS number, (1978 + o_orderkey % 60)::INTEGER AS y FROM orders)
 SELECT o_orderkey, min(a.id) AS act FROM wanted LEFT JOIN acts a ON a.act_number = number AND a.year = y GROUP BY 1""")
 def join_two_key(spark, d):
-    acts = T.acts(spark, d).groupBy("act_number", "year").agg(F.min("id").alias("act"))
     o = T.read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 60).cast("string").alias("act_number"), (1978 + F.col("o_orderkey") % 60).cast("int").alias("year"))
-    return o.join(acts, ["act_number", "year"], "left").select("o_orderkey", "act")
+    return o.join(mapping.acts_by_number(T.acts(spark, d)), ["act_number", "year"], "left").select("o_orderkey", F.col("by_number").alias("act"))
 
 
 # JOI-10: candidates in order, the first match
@@ -419,7 +419,7 @@ def join_title_candidates(spark, d):
     o = T.read(spark, d, "orders")
     forms = F.array(F.concat(F.lit("src"), F.col("o_custkey") % 40), F.concat(F.lit("src"), F.col("o_orderkey") % 30), F.lit("src1"))
     titled = T.acts(spark, d).groupBy("category").agg(F.min("id").alias("act"))
-    return o.select("o_orderkey", F.posexplode(forms).alias("pos", "category")).join(titled, "category").groupBy("o_orderkey").agg(F.min_by("act", "pos").alias("act"))
+    return rows.first_match(o.select("o_orderkey", forms.alias("forms")), "o_orderkey", "forms", titled, "category", "act")
 
 
 # JOI-11: containment of a word list, as an equi-join on words
@@ -447,22 +447,31 @@ def join_interval_overlap(spark, d):
 # JOI-05, JOI-06
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount > 0.09)")
 def join_exists_or(spark, d):
-    o, li = T.read(spark, d, "orders"), T.read(spark, d, "lineitem")
-    hit = li.where("l_discount > 0.09").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(True))
-    return o.join(hit, "o_orderkey", "left").where("o_totalprice > 400000 OR hit").select("o_orderkey")
+    cheap = T.read(spark, d, "lineitem").where("l_discount > 0.09")
+    return rows.having_or(T.read(spark, d, "orders"), cheap, "o_orderkey", "l_orderkey", F.col("o_totalprice") > 400000).select("o_orderkey")
 
 
 # JOI-07, SRT-08
 @query(f"WITH {ACTS}, {SECTIONS} SELECT act_id, sort_order, title FROM sections s JOIN acts a ON a.id = s.act_id WHERE verification_status = 'REJECTED' ORDER BY act_id DESC, sort_order DESC LIMIT 10")
 def join_failed_samples(spark, d):
-    s = T.sections(spark, d).where("verification_status = 'REJECTED'").join(T.acts(spark, d).select(F.col("id").alias("act_id"), "title"), "act_id")
-    return s.orderBy(F.col("act_id").desc(), F.col("sort_order").desc()).limit(10).select("act_id", "sort_order", "title")
+    failed = rows.with_parent(T.sections(spark, d).where("verification_status = 'REJECTED'"), T.acts(spark, d), "act_id", title="title")
+    return failed.orderBy(F.col("act_id").desc(), F.col("sort_order").desc()).limit(10).select("act_id", "sort_order", "title")
 
 
-# JOI-08: keys that name exactly one row
-@query("SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2 HAVING count(*) = 1")
+# JOI-08: gold identities (file name and path) that name exactly one section
+@query("""WITH one AS (SELECT p_name, p_size, min(p_partkey) AS section_id FROM part GROUP BY 1, 2 HAVING count(*) = 1), gold AS (SELECT DISTINCT p_partkey % 50 AS query_id, p_name, p_size FROM part)
+SELECT query_id, p_name || '.pdf' AS document_identifier, p_size::VARCHAR AS expected_section_path, section_id FROM gold JOIN one USING (p_name, p_size)""")
 def join_unique_identity(spark, d):
-    return T.read(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).where("n = 1").drop("n")
+    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 50).alias("query_id"), F.concat("p_name", F.lit(".pdf")).alias("source_file_name"), F.col("p_size").cast("string").alias("section_path"))
+    gold = p.select("query_id", F.col("source_file_name").alias("document_identifier"), F.col("section_path").alias("expected_section_path")).distinct()
+    found, _ = evaluation.resolve_gold(gold, p.select("id", F.col("id").alias("act_id"), "section_path"), p.select("id", "source_file_name"))
+    return found.select("query_id", "document_identifier", "expected_section_path", "section_id")
+
+
+# JOI-08: keys that one row has
+@query("SELECT p_name, p_brand, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2, 3 HAVING count(*) = 1")
+def join_unique_keys(spark, d):
+    return rows.unique_keys(T.read(spark, d, "part"), ["p_name", "p_brand", "p_size"], "p_partkey")
 
 
 CONTEXT = f"""WITH {REFS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at, l_orderkey, l_linenumber, l_partkey) AS pos FROM refs),
@@ -567,7 +576,7 @@ def agg_relationship_summary(spark, d):
 # AGG-10, AGG-11, AGG-12
 @query(f"WITH {REFS} SELECT relationship, count(*) AS n, count(*) - count(target) AS unresolved, count(*) FILTER (confidence >= 0.5) AS confident FROM refs GROUP BY 1")
 def agg_reference_summary(spark, d):
-    return T.references(spark, d).groupBy("relationship").agg(F.count("*").alias("n"), F.count_if(F.col("target").isNull()).alias("unresolved"), F.count_if(F.col("confidence") >= 0.5).alias("confident"))
+    return catalog.reference_summary(T.references(spark, d))
 
 
 # AGG-02, AGG-03, AGG-14
@@ -579,13 +588,13 @@ def agg_status_counts(spark, d):
 # AGG-13
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def agg_saved_by_type(spark, d):
-    return T.history(spark, d).groupBy(F.col("item_type").alias("event_type")).agg(F.count("*").alias("n"))
+    return rows.counts_by(T.history(spark, d).withColumnRenamed("item_type", "event_type"), "event_type")
 
 
 # AGG-04
 @query("SELECT max(ts) AS last_at, count(*) AS n FROM events")
 def agg_latest_embedding(spark, d):
-    return T.history(spark, d).agg(F.max("viewed_at").alias("last_at"), F.count("*").alias("n"))
+    return rows.latest_at(T.history(spark, d), "viewed_at")
 
 
 # AGG-26
@@ -678,15 +687,13 @@ def graph_edge_style(spark, d):
 # WIN-02
 @query(f"WITH {SECTIONS} SELECT act_id, sort_order, lead(sort_order, 1, 9999) OVER (PARTITION BY act_id ORDER BY sort_order) AS until FROM sections")
 def win_next_boundary(spark, d):
-    w = Window.partitionBy("act_id").orderBy("sort_order")
-    return T.sections(spark, d).select("act_id", "sort_order", F.lead("sort_order", 1, 9999).over(w).alias("until"))
+    return rows.next_start(T.sections(spark, d), "act_id", "sort_order", F.lit(9999)).select("act_id", "sort_order", "until")
 
 
 # WIN-03
 @query(f"WITH {SECTIONS} SELECT act_id, sort_order, heading FROM sections QUALIFY heading IS DISTINCT FROM lag(heading) OVER (PARTITION BY act_id ORDER BY sort_order)")
 def win_drop_repeated(spark, d):
-    w = Window.partitionBy("act_id").orderBy("sort_order")
-    return T.sections(spark, d).withColumn("last", F.lag("heading").over(w)).where(~F.col("heading").eqNullSafe(F.col("last"))).select("act_id", "sort_order", "heading")
+    return rows.without_repeats(T.sections(spark, d), "act_id", "sort_order", "heading").select("act_id", "sort_order", "heading")
 
 
 # WIN-09
@@ -705,8 +712,8 @@ def win_running_offsets(spark, d):
 # WIN-04, SRT-09
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS sort_order FROM lineitem")
 def win_sort_order(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return T.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.row_number().over(w) - 1).cast("bigint").alias("sort_order"))
+    lines = rows.numbered(T.read(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "sort_order")
 
 
 # WIN-10: the last line with text among the four before
@@ -714,8 +721,7 @@ def win_sort_order(spark, d):
 SELECT id, k::BIGINT AS k, last_value(nullif(trim(line), '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS above FROM lines""")
 def win_marginal_heading(spark, d):
     lines = T.acts(spark, d).select("id", F.posexplode(F.split("raw_text", "\n")).alias("k", "line"))
-    w = Window.partitionBy("id").orderBy("k").rowsBetween(-4, -1)
-    return lines.select("id", (F.col("k") + 1).cast("bigint").alias("k"), F.last(F.nullif(F.trim("line"), F.lit("")), ignorenulls=True).over(w).alias("above"))
+    return rows.text_above(lines, "id", "k", "line").select("id", (F.col("k") + 1).cast("bigint").alias("k"), "above")
 
 
 # WIN-12
@@ -727,8 +733,7 @@ def win_first_n_per_group(spark, d):
 # WIN-11, ARR-01
 @query("""SELECT conv_id, string_agg(role, ',' ORDER BY first) AS kept FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1""")
 def win_keep_first_duplicate(spark, d):
-    c = T.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    return c.select("conv_id", F.array_join(F.array_distinct(F.transform("t", lambda x: x["role"])), ",").alias("kept"))
+    return rows.distinct_in_order(T.read(spark, d, "conversations"), "conv_id", "turn", "role").select("conv_id", F.array_join("kept", ",").alias("kept"))
 
 
 # --- evaluation ----------------------------------------------------------------------------------
@@ -845,9 +850,7 @@ def str_relationship(spark, d):
 # STR-22, SNK-04, SNK-06
 @query("SELECT c_custkey, CASE WHEN regexp_matches(v, '^[=+\\-@]') THEN '''' || v ELSE v END AS cell FROM (SELECT c_custkey, ['=', '+', '-', '@', '', 'x'][1 + c_custkey % 6] || c_name AS v FROM customer)")
 def str_csv_safe(spark, d):
-    mark = F.element_at(F.array(*map(F.lit, "=+-@")), (F.col("c_custkey") % 6 + 1).cast("int"))
     v = F.concat(F.when(F.col("c_custkey") % 6 < 4, F.try_element_at(F.array(*map(F.lit, "=+-@")), (F.col("c_custkey") % 6 + 1).cast("int"))).when(F.col("c_custkey") % 6 == 4, "").otherwise("x"), F.col("c_name"))
-    del mark
     return exports.csv_rows(T.read(spark, d, "customer").withColumn("cell", v), ["c_custkey", "cell"]).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "cell")
 
 
