@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant import schemas
+from sextant.functions import embedding, payload, stems
 from sextant.functions import scoring as M
-from sextant.functions import stems
 from sextant.functions import text as X
 from sextant.operators import catalog, cells, citations, documents, evaluation, exports, fulltext, fuzzy, graph, mapping, merge, rows, search, segments, state
 from sextant.operators import intent as Q
@@ -982,6 +982,92 @@ def state_delete_cascade(spark, d):
     return state.delete_act("4", {"references": (r, "source_act_id")}, r, jobs)["references"].agg(F.count("*").alias("n"))
 
 
+# PRJ-03, JOI-05: saved items of three types with their act, title and status
+@query(f"""WITH {ACTS}, {SECTIONS}, {REFS}, i AS (SELECT event_id, ['ACT', 'SECTION', 'REFERENCE'][1 + event_id % 3] AS item_type, user_id, value FROM events),
+r AS (SELECT l_orderkey, max_by(struct_pack(source := source, relationship := relationship, verification_status := verification_status), (l_linenumber, l_partkey, source)) AS x FROM refs GROUP BY 1),
+one AS (SELECT event_id, item_type, CASE item_type WHEN 'ACT' THEN event_id % 1200 WHEN 'SECTION' THEN s.act_id ELSE (x).source END AS of_act, CASE item_type WHEN 'SECTION' THEN nullif(concat_ws(' ', 'Section ' || s.sort_order, s.heading), '') WHEN 'REFERENCE' THEN (x).relationship END AS own_title,
+  CASE item_type WHEN 'SECTION' THEN s.verification_status WHEN 'REFERENCE' THEN (x).verification_status END AS own_status
+  FROM i LEFT JOIN sections s ON item_type = 'SECTION' AND s.act_id = event_id % 120 AND s.sort_order = event_id % 9 LEFT JOIN r ON item_type = 'REFERENCE' AND l_orderkey = event_id)
+SELECT event_id, of_act::BIGINT AS of_act, coalesce(CASE item_type WHEN 'ACT' THEN title WHEN 'SECTION' THEN coalesce(own_title, '') ELSE own_title END, 'Saved item') AS title, coalesce(own_status, processing_status) AS status FROM one LEFT JOIN acts ON acts.id = of_act""")
+def catalog_saved_items(spark, d):
+    k = F.col("event_id")
+    kind = F.element_at(F.array(F.lit("ACT"), F.lit("SECTION"), F.lit("REFERENCE")), (1 + k % 3).cast("int"))
+    items = T.read(spark, d, "events").select(
+        "event_id", kind.alias("item_type"), F.when(k % 3 == 0, k % 1200).alias("act_id"), F.when(k % 3 == 1, F.concat_ws("/", k % 120, k % 9)).alias("section_id"), F.when(k % 3 == 2, k).alias("reference_id")
+    )
+    sections = T.sections(spark, d).select(F.concat_ws("/", "act_id", "sort_order").alias("id"), "act_id", "heading", F.col("sort_order").alias("section_number"), "verification_status")
+    last = F.max_by(F.struct("source", "relationship", "verification_status"), F.struct("l_linenumber", "l_partkey", "source")).alias("x")
+    refs = T.references(spark, d).groupBy(F.col("l_orderkey").alias("id")).agg(last).select("id", F.col("x.source").alias("source_act_id"), F.col("x.relationship").alias("raw_reference_text"), "x.verification_status")
+    return catalog.saved_items(items, T.acts(spark, d), sections, refs).select("event_id", "of_act", "title", "status")
+
+
+# PRJ-04
+@query(f"""WITH {ACTS}, {SECTIONS} SELECT event_id, title, heading, CASE WHEN event_id % 2 = 0 THEN '/sections/' || (event_id % 120) || '/' || (event_id % 9) ELSE '/acts/' || (event_id % 1200) END AS href
+FROM events LEFT JOIN acts ON id = event_id % 1200 LEFT JOIN sections s ON event_id % 2 = 0 AND s.act_id = event_id % 120 AND s.sort_order = event_id % 9""")
+def catalog_history_links(spark, d):
+    k = F.col("event_id")
+    items = T.read(spark, d, "events").select("event_id", (k % 1200).alias("act_id"), F.when(k % 2 == 0, F.concat_ws("/", k % 120, k % 9)).alias("section_id"))
+    sections = T.sections(spark, d).select(F.concat_ws("/", "act_id", "sort_order").alias("id"), "heading")
+    return catalog.history_links(items, T.acts(spark, d), sections).select("event_id", "title", "heading", "href")
+
+
+# SNK-03
+@query("""WITH k AS (SELECT o_custkey AS id, 'key-' || (o_orderkey % 4) AS key, min((o_orderdate, 'key-' || (o_orderkey % 4))) AS first FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1, 2),
+own AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'key-' || (c_custkey % 3) END AS key FROM customer),
+every AS (SELECT id, key, 0 AS part, NULL AS first FROM own WHERE key IS NOT NULL UNION ALL SELECT k.id, k.key, 1, k.first FROM k JOIN own USING (id) WHERE k.key IS DISTINCT FROM own.key)
+SELECT id, coalesce(string_agg(key, ',' ORDER BY part, first), '') AS keys FROM (SELECT id FROM own) LEFT JOIN every USING (id) GROUP BY 1""")
+def sink_artifact_pointers(spark, d):
+    acts = T.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("key-"), F.col("c_custkey") % 3)).alias("extraction_artifact_key"))
+    named = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("key-"), F.col("o_orderkey") % 4))
+    jobs = T.read(spark, d, "orders").select(F.col("o_custkey").alias("act_id"), F.col("o_orderdate").alias("created_at"), F.to_json(F.struct(named.alias("artifact_key"))).alias("summary_json"))
+    return exports.pointers(acts, jobs).select("id", F.array_join("keys", ",").alias("keys"))
+
+
+# DOC-10
+@query(f"""WITH {SECTIONS} SELECT act_id, sort_order, CASE WHEN sort_order % 2 = 0 THEN CASE WHEN act_id % 3 = 0 OR length(text) % 2 = 0 THEN 'STALE' ELSE 'READY' END ELSE 'FAILED' END AS embedding_status FROM sections""")
+def state_mark_stale(spark, d):
+    s = T.sections(spark, d).withColumns({
+        "embedding_status": F.when(F.col("sort_order") % 2 == 0, "READY").otherwise("FAILED"), "embedding_provider": F.lit("p"), "embedding_model": F.when(F.col("act_id") % 3 != 0, "m"),
+        "embedding_dimension": F.lit(1), "embedding_source_hash": F.when(F.length("text") % 2 == 1, X.source_hash(F.col("text"))).otherwise("old"),
+    })
+    return state.mark_stale(s, "p", "m", 1, X.source_hash(F.col("text"))).select("act_id", "sort_order", "embedding_status")
+
+
+# JSN-03: a model's references; those that name a number that the text lacks go, and so does a payload with an unknown relationship
+@query("""SELECT o_orderkey AS id, 'section ' || (o_orderkey % 50) AS raw_reference_text, CASE o_orderkey % 3 WHEN 0 THEN 'AMENDS' ELSE 'REFERS_TO' END AS relationship_type, 'Levy Act' AS target_act_title_raw, (o_orderkey % 50)::VARCHAR AS target_section_number,
+  greatest(0, least(1, CASE WHEN o_orderkey % 11 = 0 THEN 0.5 ELSE (o_orderkey % 13) / 10.0 END))::DOUBLE AS confidence_score FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0""")
+def json_model_payload(spark, d):
+    k = F.col("o_orderkey")
+    item = F.struct(
+        F.concat(F.lit("section "), k % 50).alias("raw_text"), F.when(k % 7 == 0, "hates").when(k % 3 == 0, "amends").alias("relationship"), F.lit(" Levy Act ").alias("target_act_title"),
+        F.when(k % 5 == 0, F.lit("99")).otherwise((k % 50).cast("string")).alias("target_section_number"), F.when(k % 11 != 0, (k % 13) / 10.0).alias("confidence"),
+    )
+    rows_ = T.read(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("as in section "), k % 50, F.lit(" of it")).alias("text"), F.to_json(F.struct(F.array(item).alias("references"))).alias("payload"))
+    return payload.references_of_payload(rows_).drop("extraction_method", "target_act_number", "target_act_year")
+
+
+# JOI-13: sections of resolved acts by number, else path, else the schedule that names the path
+@query(f"""WITH {SECTIONS}, s AS (SELECT act_id, sort_order, act_id || '/' || sort_order AS id, 'part ' || (sort_order + 10) AS path, sort_order = 2 AS schedule FROM sections),
+r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 130 AS act, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS num, CASE l_linenumber % 3 WHEN 0 THEN 'part ' || (l_linenumber + 10) ELSE 'Second Schedule' END AS path FROM lineitem),
+x AS (SELECT r.*, a.id AS by_number, b.id AS by_path, c.id AS by_schedule FROM r LEFT JOIN s a ON a.act_id = act AND a.sort_order = num LEFT JOIN s b ON b.act_id = act AND b.path = r.path LEFT JOIN s c ON c.act_id = act AND c.schedule AND r.path = 'Second Schedule')
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(by_number, by_path, by_schedule) AS section FROM x""")
+def map_sections(spark, d):
+    n = F.col("sort_order")
+    s = T.sections(spark, d).select(F.concat_ws("/", "act_id", n).alias("id"), "act_id", n.cast("string").alias("section_number"), F.concat(F.lit("part "), n + 10).alias("section_path"), F.when(n == 2, "SCHEDULE").otherwise("SECTION").alias("section_type"), F.lit("the SECOND schedule").alias("heading"), F.lit("x").alias("text"))
+    k = F.col("l_linenumber")
+    r = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_suppkey") % 130).alias("resolved"), F.when(k % 2 == 0, k.cast("string")).alias("target_section_number"), F.when(k % 3 == 0, F.concat(F.lit("part "), k + 10)).otherwise("Second Schedule").alias("target_section_path"))
+    return mapping.map_sections(r, s).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "section")
+
+
+# MTH-05: vectors of a hash; the first numbers by the same digest
+@query(f"""WITH {SECTIONS}, t AS (SELECT act_id, sort_order, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS plain FROM sections),
+b AS (SELECT act_id, sort_order, plain, list_transform(range(0, 8), lambda i: ('0x' || substr(sha256(unhex(sha256(plain))), 2 * i + 1, 2))::INTEGER / 255.0::DOUBLE * 2 - 1) AS v FROM t)
+SELECT act_id, sort_order, round(CASE WHEN plain = '' THEN 0 ELSE v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))) END, 9) AS first, 8 AS size FROM b""")
+def embed_by_hash(spark, d):
+    v = embedding.hash_provider(8)("text")
+    return T.sections(spark, d).select("act_id", "sort_order", v.alias("v")).select("act_id", "sort_order", F.round(F.get("v", F.lit(0)), 9).alias("first"), F.size("v").alias("size"))
+
+
 # FLT-22 facets
 @query(f"WITH {ACTS} SELECT DISTINCT 'year' AS facet, year::VARCHAR AS value FROM acts UNION SELECT DISTINCT 'category', category FROM acts")
 def catalog_facets(spark, d):
