@@ -7,8 +7,8 @@ winning path is used to extract every page of the host. A page without text at t
 back on its own best container.
 
 Inside a container, menus, adverts, forms and the like are left out. Names of layout parts only
-raise a suspicion: an element that has an article, main part or title in it and half the page's
-text is a wrapper and stays, and on a page where nothing else is left they do not count.
+raise a suspicion: an element with half the page's text is a wrapper and stays, if an article, main
+part or title is in it or only a word of its class or id spoke against it; and on a page where nothing else is left they do not count.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ DEPTH = 64
 
 
 class _Element:
-    __slots__ = ("comment", "depth", "key", "kind", "out", "parent", "size", "step", "suspect", "tag")
+    __slots__ = ("comment", "depth", "key", "kind", "named", "out", "parent", "size", "step", "suspect", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, own: dict[str, str]):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 1
@@ -84,7 +84,9 @@ class _Element:
             names = {re.sub(r"[\d/]+", "", c) for c in own.get("class", "").lower().split()} - {""}
         self.step = f"{tag}.{'.'.join(sorted(names))}" if names else tag
         self.out = tag in _OUT_TAGS or "hidden" in own
-        self.suspect = tag in _SUSPECT_TAGS or own.get("role", "").lower() in _OUT_ROLES or (tag not in ("body", "html") and bool(words & _OUT_WORDS))
+        stated = tag in _SUSPECT_TAGS or own.get("role", "").lower() in _OUT_ROLES
+        self.suspect = stated or (tag not in ("body", "html") and bool(words & _OUT_WORDS))
+        self.named = self.suspect and not stated  # only a word of its class or id says so
         self.comment = bool(words & _COMMENT_WORDS)
         self.kind = _WEIGHT.get(tag, 1.0) * (1.5 if words & _GOOD_WORDS else 1.0)
         self.key = tag in ("article", "main") or tag == "h1"  # whether a part that an article has lies in it
@@ -198,7 +200,7 @@ class Page:
         for e in self.elements[1:]:
             inside[e] = inside[e.parent] or e.tag in ("article", "main")
             heading = e.tag == "header" and inside[e] and e.key  # an article's own title
-            wraps = e.key and 2 * e.size >= whole and not e.comment
+            wraps = (e.key or e.named) and 2 * e.size >= whole and not e.comment
             if e.parent in out or (e.suspect and not heading and not wraps):
                 out.add(e)
         if any(text and text.strip() and not e.out and e not in out for e, text, _ in self.texts):
