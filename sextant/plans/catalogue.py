@@ -1349,9 +1349,17 @@ def doc_extract_refs(spark, d):
     return found.drop("target_act_year", "extraction_method")
 
 
-# DOC-04..DOC-06, AGG-11: every order cites a part's act by title; some leave it to context
-@query()
-def doc_map_refs(spark, d):
+MAPPED = """WITH a AS (SELECT p_name, min(p_partkey::VARCHAR) AS act FROM part GROUP BY 1),
+l AS (SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS id, l_suppkey::VARCHAR AS source_act_id, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN act END AS own,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS position FROM lineitem JOIN part ON l_partkey = p_partkey JOIN a USING (p_name)),
+c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY source_act_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM l),
+r AS (SELECT *, own IS NULL AND context IS NOT NULL AS used_context, coalesce(own, context) AS resolved, CASE WHEN own IS NOT NULL THEN 'exact' WHEN context IS NOT NULL THEN 'inferred' END AS match FROM c),
+s AS (SELECT r.*, CASE WHEN turn IS NOT NULL THEN resolved || '/' || l_linenumber END AS section FROM r LEFT JOIN conversations ON conv_id::VARCHAR = resolved AND turn = l_linenumber),
+mapped AS (SELECT *, CASE WHEN resolved IS NULL THEN 0.55 WHEN match = 'exact' THEN CASE WHEN section IS NULL THEN 0.92 ELSE 0.98 END WHEN section IS NULL THEN 0.68 ELSE 0.78 END::DOUBLE AS confidence FROM s)"""
+
+
+def _mapped(spark, d):
+    """Every line cites a part's act by title; some leave it to context."""
     acts = T.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), X.search_form(F.concat("p_name", F.lit(" act"))).alias("normalized_title"), F.col("p_size").cast("string").alias("act_number"), (F.col("p_partkey") % 40 + 1980).cast("int").alias("year"), F.col("p_brand").alias("source_name"))
     sections = T.sections(spark, d).select(F.concat_ws("/", "act_id", "sort_order").alias("id"), F.col("act_id").cast("string").alias("act_id"), F.col("sort_order").cast("string").alias("section_number"), F.col("sort_order").cast("string").alias("section_path"), F.lit("SECTION").alias("section_type"), "heading", "text")
     li = T.read(spark, d, "lineitem").join(T.read(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
@@ -1363,7 +1371,20 @@ def doc_map_refs(spark, d):
         F.when(F.col("l_returnflag") == "A", "AMENDS").otherwise("REPEALS").alias("relationship_type"), F.when(names, F.concat(F.initcap("p_name"), F.lit(" Act"))).alias("target_act_title_raw"), none.alias("target_act_number"), F.lit(None).cast("int").alias("target_act_year"),
         F.col("l_linenumber").cast("string").alias("target_section_number"), none.alias("target_section_path"), none.alias("target_act_id"), none.alias("target_section_id"), F.lit("PENDING").alias("verification_status"),
     )
-    return mapping.map_references(refs, acts, sections).select("id", "source_act_id", "position", "resolved", "section", "match", "confidence", "needs_review", "used_context")
+    return mapping.map_references(refs, acts, sections)
+
+
+# DOC-04, DOC-05, DOC-06
+@query(MAPPED + " SELECT id, source_act_id, position::INTEGER AS position, resolved, section, match, confidence, resolved IS NULL OR confidence < 0.85 AS needs_review, used_context FROM mapped")
+def doc_map_refs(spark, d):
+    return _mapped(spark, d).select("id", "source_act_id", "position", "resolved", "section", "match", "confidence", "needs_review", "used_context")
+
+
+# AGG-11
+@query(MAPPED + """ SELECT count(resolved) AS mapped_acts, count(section) AS mapped_sections, count(*) - count(resolved) AS unresolved, count(*) FILTER (used_context) AS context_used,
+count(*) FILTER (match = 'exact') AS exact, 0::BIGINT AS partial, count(*) FILTER (match = 'inferred') AS inferred FROM mapped""")
+def agg_mapping_summary(spark, d):
+    return mapping.mapping_summary(_mapped(spark, d))
 
 
 # STR-21
