@@ -37,6 +37,10 @@ RELATIONSHIP_WORDS = {
 }
 
 
+#: A text of Latin letters and signs that NFKC leaves alone; none of them combines with another.
+COMPOSED = "^[" + "".join(f"\\x{{{c:x}}}" for c in range(0x180) if unicodedata.normalize("NFKC", chr(c)) == chr(c)) + "]*$"
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -59,8 +63,8 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def search_form(text: Column, compose: bool = True) -> Column:
-    """Lower case; all but a-z and 0-9 become single spaces; null becomes empty. ``compose``: NFKC first (only texts beyond ASCII go to Python)."""
-    plain = F.length(text) == F.octet_length(text)
+    """Lower case; all but a-z and 0-9 become single spaces; null becomes empty. ``compose``: NFKC first (only texts that hold more than composed Latin letters go to Python)."""
+    plain = (F.length(text) == F.octet_length(text)) | text.rlike(COMPOSED)
     t = F.coalesce(F.when(plain, text), nfkc(F.when(~plain, text))) if compose else text
     return F.coalesce(F.trim(F.regexp_replace(F.lower(t), r"[^a-z0-9]+", " ")), F.lit(""))
 

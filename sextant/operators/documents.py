@@ -95,6 +95,22 @@ def better_source(candidates: DataFrame, doc: str = "id") -> DataFrame:
     return candidates.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
+def has_sparse_page(pages: Column, least: int = 20) -> Column:
+    """Whether a page of an extraction, an array of texts, has fewer than ``least`` characters without the space around it: its native text is then not enough."""
+    return F.exists(pages, lambda p: F.length(X.strip(F.coalesce(p, F.lit("")))) < least)
+
+
+def native_first(candidates: DataFrame, doc: str = "id") -> DataFrame:
+    """Of each document's extractions the native one if none of its pages is sparse and it passes the gate, else as ``better_source`` chooses.
+
+    ``candidates``: preference, errors, is_baseline, is_native, pages.
+    """
+    sparse = F.col("is_native") & has_sparse_page(F.col("pages"))
+    judged = candidates.withColumn("errors", F.when(sparse, F.array_append("errors", F.lit("sparse_pages"))).otherwise(F.col("errors")))
+    first = F.when(F.col("is_native"), F.lit(-1)).otherwise(F.col("preference"))
+    return better_source(judged.withColumns({"_given": F.col("preference"), "preference": first}), doc).withColumn("preference", F.col("_given")).drop("_given")
+
+
 def quality_errors(chars: Column, pages: Column, sections: Column, base_sections: Column, spans: Column, base_spans: Column) -> Column:
     """Which of the gate's demands an extraction misses."""
     least = F.least(F.lit(5), F.greatest(F.lit(1), F.floor(pages / 20)))

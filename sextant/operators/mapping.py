@@ -158,6 +158,16 @@ def map_references(references: DataFrame, acts: DataFrame, sections: DataFrame)
     return rows.withColumns({"confidence": confidence, "needs_review": F.col("resolved").isNull() | (confidence < 0.85)}).drop("principal", "bare", "own", "title_form")
 
 
+def context_preview(mapped: DataFrame) -> DataFrame:
+    """(source_act_id, act, cited): per act its first reference in order that names an act itself and does not say "principal enactment".
+
+    ``mapped``: source_act_id, position, own, principal, raw_reference_text; acts without one have no row.
+    """
+    named = mapped.where(F.col("own").isNotNull() & ~F.coalesce("principal", F.lit(False)))
+    first = F.min_by(F.struct(F.col("own").alias("act"), F.col("raw_reference_text").alias("cited")), "position")
+    return named.groupBy("source_act_id").agg(first.alias("_first")).select("source_act_id", "_first.act", "_first.cited")
+
+
 def mapping_summary(mapped: DataFrame) -> DataFrame:
     band = F.when(F.col("resolved").isNull(), "unresolved").otherwise(F.col("match"))
     return mapped.agg(

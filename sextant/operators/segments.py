@@ -125,3 +125,9 @@ def segment(df: DataFrame, key: str = "id", text: str = "raw_text") -> DataFrame
         F.when(~F.col("numbered"), "OTHER").when(F.col("block") == 0, "PREAMBLE").otherwise(F.col("marker.kind")).alias("section_type"), body.alias("text"), "source_start", "source_end",
     )
     return named.select(key, "position", "section_number", "section_path", "heading", "section_type", "text", X.search_form(F.col("text")).alias("normalized_text"), F.col("position").alias("sort_order"), "source_start", "source_end")
+
+
+def summary(sections: DataFrame, key: str = "id") -> DataFrame:
+    """Per text: sections, schedules and parts, whether it fell back on one row, and whether a preamble was kept."""
+    of = lambda kind: F.count_if(F.col("section_type") == kind)
+    return sections.groupBy(key).agg(of("SECTION").alias("sections_detected"), of("SCHEDULE").alias("schedules_detected"), of("PART").alias("parts_detected"), (of("OTHER") > 0).alias("fallback_used"), (of("PREAMBLE") > 0).alias("preamble_kept"))

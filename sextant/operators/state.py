@@ -94,6 +94,22 @@ def backfill(sections: DataFrame, embed: Column, provider: str, model: str, dime
     return sections.where(~wanted).unionByName(made.select(*sections.columns))
 
 
+def delete_guards(acts: DataFrame, references: DataFrame, sections: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Per act: active_jobs, incoming (references of other acts that target it or one of its sections, each once), and deletable.
+
+    Counts are combined before they are shuffled; each act is joined to two rows at most.
+    """
+    owners = sections.select(F.col("id").alias("_section"), F.col("act_id").alias("_owner"))
+    held = references.join(owners, F.col("target_section_id") == F.col("_section"), "left")
+    targets = F.array_distinct(F.array_compact(F.array("target_act_id", "_owner")))
+    hits = held.select("source_act_id", F.explode(targets).alias("_target")).where(~F.col("source_act_id").eqNullSafe(F.col("_target")))
+    incoming = hits.groupBy("_target").agg(F.count("*").alias("incoming"))
+    active = jobs.where(F.col("status").isin("QUEUED", "RUNNING")).groupBy(F.col("act_id").alias("_busy")).agg(F.count("*").alias("active_jobs"))
+    both = acts.join(incoming, F.col("id") == F.col("_target"), "left").join(active, F.col("id") == F.col("_busy"), "left")
+    out = both.select("id", F.coalesce("active_jobs", F.lit(0)).alias("active_jobs"), F.coalesce("incoming", F.lit(0)).alias("incoming"))
+    return out.withColumn("deletable", (F.col("active_jobs") == 0) & (F.col("incoming") == 0))
+
+
 def delete_act(act_id: str, tables: dict[str, tuple[DataFrame, str]], references: DataFrame, jobs: DataFrame) -> dict[str, DataFrame]:
     """Every table without the act's rows; refused while a job runs or other acts refer to it."""
     if not jobs.where((F.col("act_id") == act_id) & F.col("status").isin("QUEUED", "RUNNING")).isEmpty():

@@ -390,7 +390,7 @@ def join_left_targets(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "source", "source_title", "target_title")
 
 
-# JOI-20
+# JOI-06: a semi-join
 @query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 def join_semi_saved(spark, d):
     return rows.having(T.read(spark, d, "part"), T.read(spark, d, "lineitem").where("l_quantity > 49"), "p_partkey", "l_partkey").select("p_partkey", "p_name")
@@ -573,7 +573,7 @@ def agg_relationship_summary(spark, d):
     return graph.summary(T.references(spark, d), 7).drop("by_type", "by_status")
 
 
-# AGG-10, AGG-11, AGG-12
+# AGG-10
 @query(f"WITH {REFS} SELECT relationship, count(*) AS n, count(*) - count(target) AS unresolved, count(*) FILTER (confidence >= 0.5) AS confident FROM refs GROUP BY 1")
 def agg_reference_summary(spark, d):
     return catalog.reference_summary(T.references(spark, d))
@@ -1323,6 +1323,48 @@ def doc_segment(spark, d):
     return s.select("id", "section_number", "section_type", "heading", "text", "sort_order", held.contains(F.col("text")).alias("found"))
 
 
+# AGG-12
+@query("""SELECT p_partkey AS id, (p_size % 4 + 1)::BIGINT AS sections_detected, (p_partkey % 5 = 0)::BIGINT AS schedules_detected, ((p_partkey % 2 = 0)::BIGINT + (p_partkey % 3 = 0)::BIGINT)::BIGINT AS parts_detected, false AS fallback_used, true AS preamble_kept FROM part""")
+def doc_segment_summary(spark, d):
+    return segments.summary(segments.segment(T.statutes(spark, d)))
+
+
+# JOI-20: what keeps an act from being deleted
+@query(f"""WITH {ACTS}, {SECTIONS}, r AS (SELECT l_suppkey AS source, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey % 40 END AS act, CASE WHEN l_linenumber % 2 = 0 THEN s.act_id END AS owner FROM lineitem LEFT JOIN sections s ON l_linenumber % 2 = 0 AND s.act_id = l_partkey % 90 AND s.sort_order = l_linenumber),
+hits AS (SELECT act AS target FROM r WHERE act IS NOT NULL AND act <> source UNION ALL SELECT owner FROM r WHERE owner IS NOT NULL AND owner <> source AND owner IS DISTINCT FROM act),
+i AS (SELECT target, count(*) AS n FROM hits GROUP BY 1), j AS (SELECT event_id % 300 AS act, count(*) AS n FROM events WHERE event_type = 'view' AND event_id % 300 > 150 GROUP BY 1)
+SELECT id, coalesce(j.n, 0) AS active_jobs, coalesce(i.n, 0) AS incoming, j.n IS NULL AND i.n IS NULL AS deletable FROM acts LEFT JOIN i ON target = id LEFT JOIN j ON j.act = id""")
+def state_delete_guards(spark, d):
+    k = F.col("l_linenumber")
+    refs = T.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_act_id"), F.when(k % 3 == 0, F.col("l_partkey") % 40).alias("target_act_id"), F.when(k % 2 == 0, F.concat_ws("/", F.col("l_partkey") % 90, k)).alias("target_section_id"))
+    sections = T.sections(spark, d).select(F.concat_ws("/", "act_id", "sort_order").alias("id"), "act_id")
+    e = T.read(spark, d, "events").where(F.col("event_id") % 300 > 150)
+    jobs = e.select((F.col("event_id") % 300).alias("act_id"), F.when(F.col("event_type") == "view", "RUNNING").otherwise("COMPLETED").alias("status"))
+    return state.delete_guards(T.acts(spark, d).select("id"), refs, sections, jobs)
+
+
+# DOC-06
+@query(f"""WITH {REFS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at, l_orderkey, l_linenumber, l_partkey) AS pos FROM refs)
+SELECT source AS source_act_id, arg_min(target, pos) AS act, arg_min('line ' || l_linenumber, pos) AS cited FROM r WHERE target IS NOT NULL AND l_linenumber <> 5 GROUP BY 1""")
+def doc_context_preview(spark, d):
+    order = Window.partitionBy("source").orderBy("created_at", "l_orderkey", "l_linenumber", "l_partkey")
+    mapped = T.references(spark, d).select(F.col("source").alias("source_act_id"), F.row_number().over(order).alias("position"), F.col("target").alias("own"), (F.col("l_linenumber") == 5).alias("principal"), F.concat(F.lit("line "), "l_linenumber").alias("raw_reference_text"))
+    return mapping.context_preview(mapped)
+
+
+# SRC-10: the native extraction, unless a page of it is sparse or it misses the gate
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+c AS (SELECT l_orderkey AS id, l_linenumber AS preference, l_linenumber = max(l_linenumber) OVER w AS base, q > 30 OR (l_linenumber = max(l_linenumber) OVER w AND q < 10) AS bad FROM l WINDOW w AS (PARTITION BY l_orderkey))
+SELECT id, preference FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY bad, CASE WHEN bad THEN NOT base END NULLS FIRST, CASE WHEN base THEN -1 ELSE preference END) = 1""")
+def doc_native_first(spark, d):
+    li = T.read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    last = F.col("l_linenumber") == F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
+    pages = F.array(F.lit("a page of text that is long enough"), F.when(F.col("q") < 10, "   sparse  ").otherwise("another page, as long as it"))
+    errors = F.when(F.col("q") > 30, F.array(F.lit("sections"))).otherwise(F.array().cast("array<string>"))
+    c = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("preference"), errors.alias("errors"), last.alias("is_baseline"), last.alias("is_native"), pages.alias("pages"))
+    return documents.native_first(c).select("id", "preference")
+
+
 # DOC-01 over prose: a text without a numbered section is one row
 @query()
 def doc_segment_prose(spark, d):
