@@ -6,8 +6,9 @@ multiplier l per source, the rates are r = min(most, exp(l)), and its Newton ste
 every source the tokens at the present rates and their derivative: sums over the documents
 that Spark takes anew in each iteration. Rates are then rounded to whole copies: among
 documents of one source and one size, as many get the upper copy as keeps the source's running
-total nearest its running expectation, from the largest size to the least, so a source ends
-within about half its smallest document of its target.
+total nearest its running expectation, from the largest size to the least. What is left at the
+end is at most half a document of the last size that could still give way; where the small documents of
+a source are all taken, or none is, that is more than half its smallest one.
 """
 
 from __future__ import annotations
