@@ -43,6 +43,8 @@ SAYS = {
 FIRST_WEAK = "SECTION"
 GATED = ("SECTION", "SUBSECTION", "PARAGRAPH", "ITEM")
 CONTEXT = 160
+#: Stands for a match while a text is split; no character of its own.
+MARK = "\uffff"
 #: What a text must hold for a pattern that is tried at every letter.
 NEEDED = {"ACT_CITATION": r"(?iU)\sAct,?\s+No\.?\s*\d+\s+of\s+\d{4}"}
 NAMES = list(PATTERNS)
@@ -57,10 +59,15 @@ def match_offsets(texts: DataFrame) -> DataFrame:
 
     The parts between the matches of a pattern are as a split gives them, so a match starts at the sum of what precedes it.
     """
+    none = F.array().cast("array<struct<pass:int,i:int,raw:string,gap:int>>")
+
     def found(number: int, name: str) -> Column:
-        text = F.when(F.col("text").rlike(NEEDED[name]), F.col("text")).otherwise("") if name in NEEDED else F.col("text")
-        zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(_regex(name)), F.lit(0)).alias("raw"), F.transform(F.split(text, _regex(name), -1), F.octet_length).alias("gap"))
-        return F.transform(zipped, lambda x, i: F.struct(F.lit(number).alias("pass"), i.alias("i"), x["raw"].alias("raw"), x["gap"].alias("gap")))
+        text, regex = F.col("text"), _regex(name)
+        # a split compiles its pattern for every text, a replacement once
+        parts = F.when(text.contains(MARK), F.split(text, regex, -1)).otherwise(F.split(F.regexp_replace(text, regex, MARK), MARK, -1))
+        zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("raw"), F.transform(parts, F.octet_length).alias("gap"))
+        each = F.transform(zipped, lambda x, i: F.struct(F.lit(number).alias("pass"), i.alias("i"), x["raw"].alias("raw"), x["gap"].alias("gap")))
+        return F.when(text.rlike(NEEDED.get(name, regex)), each).otherwise(none)
 
     rows = texts.select("doc", F.explode(F.flatten(F.array(*(found(k, name) for k, name in enumerate(NAMES))))).alias("m")).select("doc", "m.*").where("raw IS NOT NULL").repartition("doc")
     upto = F.sum(F.col("gap") + F.octet_length("raw")).over(Window.partitionBy("doc", "pass").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")

@@ -80,7 +80,7 @@ def test_labelled_references(spark):
 @pytest.mark.parametrize("size", [1, 400])
 def test_offsets_and_bounds_against_python(spark, size):
     rng = random.Random(size)
-    bits = ["under section 5. ", "é漢 Chapter 3;", "\n", "item 7 ", "😀", " Second Schedule ", "Levy Act, No. 3 of 1999 ", "x" * 50, ". "]
+    bits = ["under section 5. ", "é漢 Chapter 3;", "\n", "item 7 ", "😀", " Second Schedule ", "Levy Act, No. 3 of 1999 ", "x" * 50, ". ", "\uffff"]
     texts = {k: "".join(rng.choices(bits, k=rng.randint(0, 12) * size)) for k in range(40 if size == 1 else 2)}
     df = spark.createDataFrame(list(texts.items()), "doc int, text string")
     matches = citations.match_offsets(df)
