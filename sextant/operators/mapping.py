@@ -49,12 +49,13 @@ def containing_titles(wanted: DataFrame, titles: DataFrame) -> DataFrame:
 
     A title that contains a text has all of its pieces of 4 characters, so each text is joined on the one
     that fewest titles have, not on a common word, and not at all if one of its pieces is in no title.
+    The pieces are many times the titles that they come from, by whose size Spark would broadcast them, so both joins are merged.
     """
     postings = titles.where(F.length("title") >= GRAM).select(*titles.columns, F.explode(_grams(F.col("title"))).alias("gram"))
     rarity = postings.groupBy("gram").agg(F.count("*").alias("n"))
-    pieces = wanted.where(F.length("wanted") >= GRAM).select("wanted", F.explode(_grams(F.col("wanted"))).alias("gram")).join(rarity, "gram", "left")
+    pieces = wanted.where(F.length("wanted") >= GRAM).select("wanted", F.explode(_grams(F.col("wanted"))).alias("gram")).join(rarity.hint("merge"), "gram", "left")
     rarest = pieces.groupBy("wanted").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all")).where("all").drop("all")
-    return rarest.join(postings, "gram").where((F.length("title") >= F.length("wanted")) & F.col("title").contains(F.col("wanted"))).drop("gram")
+    return rarest.join(postings.hint("merge"), "gram").where((F.length("title") >= F.length("wanted")) & F.col("title").contains(F.col("wanted"))).drop("gram")
 
 
 def resolve_titles(wanted: DataFrame, acts: DataFrame) -> DataFrame:

@@ -90,3 +90,13 @@ def test_chapters_inside_longer_text(spark):
     places = {r["place"]: r["by_chapter"] for r in mapping.chapter_places(acts).collect()}
     assert places == {"chapter 2": 1, "chapter 21": 1, "chapter 212": 1, "chapter 212a": 1, "chapter 9": 3, "chapter 9b": 3}
     assert mapping.chapter_places(acts.drop("source_url", "source_name")).count() == 2
+
+
+def test_title_pieces_are_not_broadcast(spark, tmp_path):
+    # the pieces of titles are dozens of times the titles by whose size Spark would choose to broadcast them
+    spark.createDataFrame([(f"levies of region {k}", k, 1) for k in range(50)], "title string, act int, holders int").write.parquet(f"{tmp_path}/titles")
+    spark.createDataFrame([("region 7",)], "wanted string").write.parquet(f"{tmp_path}/wanted")
+    found = mapping.containing_titles(spark.read.parquet(f"{tmp_path}/wanted"), spark.read.parquet(f"{tmp_path}/titles"))
+    first_plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in first_plan and "Broadcast" not in first_plan
+    assert {r["act"] for r in found.collect()} == {7}
