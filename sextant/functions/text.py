@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from functools import cache
 from html import unescape
+from string import ascii_letters, digits
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,6 +43,28 @@ RELATIONSHIP_WORDS = {
 COMPOSED = "^[" + "".join(f"\\x{{{c:x}}}" for c in range(0x180) if unicodedata.normalize("NFKC", chr(c)) == chr(c)) + "]*$"
 
 
+@cache
+def composable() -> str:
+    """A class of the characters for whose sake a text's search form needs NFKC; without one of these the form is the same.
+
+    They are those that NFKC turns into ASCII letters or digits, and the marks that it joins with an ASCII letter before them.
+    """
+    alnum = frozenset(ascii_letters + digits)
+    joins = {m for m in map(chr, range(0x80, 0x3100)) if unicodedata.combining(m) and any(len(unicodedata.normalize("NFKC", a + m)) == 1 for a in alnum)}
+
+    def counts(c: str) -> bool:
+        apart = unicodedata.normalize("NFKD", c)
+        if unicodedata.combining(apart[0]):
+            return not joins.isdisjoint(apart)
+        return apart != c and not alnum.isdisjoint(apart) and unicodedata.normalize("NFKC", c) != c
+
+    found = [k for k in range(0x80, 0x110000) if not 0xD800 <= k < 0xE000 and counts(chr(k))]
+    starts = [k for k, before in zip(found, [-1, *found], strict=False) if k != before + 1]
+    stops = [k for k, after in zip(found, [*found[1:], -1], strict=True) if k + 1 != after]
+    # ASCII and the letters of Latin-1, of which none is in the list, are asked for first, as it is long
+    return "[[^\\x00-\\x7F\\xC0-\\xFF]&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, stops, strict=True)) + "]]"
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -63,9 +87,8 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def search_form(text: Column, compose: bool = True) -> Column:
-    """Lower case; all but a-z and 0-9 become single spaces; null becomes empty. ``compose``: NFKC first (only texts that hold more than composed Latin letters go to Python)."""
-    plain = (F.length(text) == F.octet_length(text)) | text.rlike(COMPOSED)
-    t = F.coalesce(F.when(plain, text), nfkc(F.when(~plain, text))) if compose else text
+    """Lower case; all but a-z and 0-9 become single spaces; null becomes empty. ``compose``: NFKC first (only texts in which it matters go to Python, see ``composable``)."""
+    t = F.coalesce(nfkc(F.when(text.rlike(composable()), text)), text) if compose else text
     return F.coalesce(F.trim(F.regexp_replace(F.lower(t), r"[^a-z0-9]+", " ")), F.lit(""))
 
 
