@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Of the weight by which rows are dealt to tasks, so much goes to one.
+TASK_BYTES = 8 << 20
+
+
+def dealt(rows: DataFrame, key: str, weight: Column, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``rows`` in partitions by the key's hash, as many as the sum of their weights asks for: more rows make more tasks, not larger ones.
+
+    Windows, groups and joins on the key keep to these partitions. Adaptive execution only merges the session's number of partitions,
+    which does not grow with the input. Weights are summed in a job of its own.
+    """
+    total = rows.agg(F.sum(weight.cast("long"))).first()[0] or 0
+    return rows.repartition(max(1, -(-total // task_bytes)), key)
+
+
 def with_parent(children: DataFrame, parents: DataFrame, key: str, how: str = "inner", parent_key: str = "id", **columns: str) -> DataFrame:
     """``children`` with columns of the row that ``key`` names, under new names (new=old). Parents' keys are distinct; other names may clash."""
     side = parents.select(F.col(parent_key).alias("_parent"), *(F.col(old).alias(new) for new, old in columns.items()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sextant.functions import text as X
+from sextant.operators.rows import dealt
 
 # What starts a section, and what a cover, title or marginal line says.
 NUMBERED = r"(?sU)^\s*(\d{1,3}[A-Z]?)\.\s*(.*)$"
@@ -22,6 +23,10 @@ MARGINAL = r"(?iU)\b(short title|amendment|insertion|replacement|repeal|schedule
 BODY_TEXT = r"(?iU)^(this act|the provisions|section \d+|in section|for the purposes|where)"
 
 
+#: What a line takes in the sorts of a task besides its text.
+LINE_BYTES = 256
+
+
 def _clean_heading(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^[.;: -]+|[.;: -]+$", ""), F.lit(""))
 
@@ -63,7 +68,9 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
     kind: SCHEDULE; before the first of these PART or SECTION. A section number alone on its line takes the next line that is not
     blank as heading, which then begins no section itself: lines that so follow one another alternate.
     """
-    lines = df.select(F.col(key).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("k", "line"))
+    texts = df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = dealt(texts, "doc", F.octet_length("text") + LINE_BYTES * (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1))
+    lines = texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
     at = F.coalesce(F.sum(F.length("line") + 1).over(_lines(before=True)), F.lit(0)).cast("int")
     own = lines.withColumns({"at": at, "bare": X.strip(F.col("line"))}).withColumns({
         "blank": F.col("bare") == "", "schedule": F.regexp_extract("line", SCHEDULE_LINE, 1), "part": F.regexp_extract("line", PART_LINE, 1),
@@ -87,7 +94,7 @@ def segment(df: DataFrame, key: str = "id", text: str = "raw_text") -> DataFrame
 
     A section begins at its marginal heading if the line above is one, else behind the line above. What precedes loses its
     cover and title lines; a text without a numbered section is one row. Offsets are of the text as given, in characters. A null
-    text counts as empty; keys must be distinct. Texts are shuffled once, by key; a document's lines are sorted, not gathered,
+    text counts as empty; keys must be distinct. Texts are shuffled once, by key, to tasks of a fixed size; a document's lines are sorted, not gathered,
     until each block is put together.
     """
     lines = line_table(df, key, text)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sextant.operators import rows
+from sextant.operators import rows, segments
 
 
 def test_joins(spark):
@@ -30,3 +30,11 @@ def test_windows(spark):
     assert [r["sort_order"] for r in rows.numbered(df, "g", "k").orderBy("g", "k").collect()] == [0, 1, 2, 3, 4, 0, 1]
     assert [r["above"] for r in rows.text_above(df, "g", "k", "v", 2).orderBy("g", "k").collect()] == [None, "a", "a", "a", None, None, None]
     assert {r["g"]: r["kept"] for r in rows.distinct_in_order(df, "g", "k", "v").collect()} == {"g": ["a"], "h": ["  "]}
+
+
+def test_more_rows_make_more_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"text {k}") for k in range(12)], "id int, raw_text string")
+    assert rows.dealt(df, "id", F.lit(rows.TASK_BYTES) / 2).rdd.getNumPartitions() == 6
+    assert rows.dealt(df.limit(0), "id", F.lit(1)).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(segments, "LINE_BYTES", rows.TASK_BYTES)
+    assert segments.line_table(df, "id", "raw_text").rdd.getNumPartitions() > 12
