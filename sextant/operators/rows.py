@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.sources.storage import settle
+
 
 #: Of the weight by which rows are dealt to tasks, so much goes to one.
 TASK_BYTES = 8 << 20
@@ -22,9 +24,15 @@ def dealt(rows: DataFrame, key: str, weight: Column, task_bytes: int = TASK_BYTE
     return rows.repartition(max(1, -(-total // task_bytes)), key)
 
 
-def with_parent(children: DataFrame, parents: DataFrame, key: str, how: str = "inner", parent_key: str = "id", **columns: str) -> DataFrame:
-    """``children`` with columns of the row that ``key`` names, under new names (new=old). Parents' keys are distinct; other names may clash."""
+def with_parent(children: DataFrame, parents: DataFrame, key: str, how: str = "inner", parent_key: str = "id", few: bool = False, **columns: str) -> DataFrame:
+    """``children`` with columns of the row that ``key`` names, under new names (new=old). Parents' keys are distinct; other names may clash.
+
+    few: children share few keys, or many have none; the parents that they name are settled first, so that few are broadcast
+    and a hot key's children are not sorted in one task. The result is the same.
+    """
     side = parents.select(F.col(parent_key).alias("_parent"), *(F.col(old).alias(new) for new, old in columns.items()))
+    if few:
+        side = settle(having(side, children.select(key).distinct(), "_parent", key), "parents")
     return children.join(side, F.col(key) == F.col("_parent"), how).drop("_parent")
 
 

@@ -38,3 +38,12 @@ def test_more_rows_make_more_tasks(spark, monkeypatch):
     assert rows.dealt(df.limit(0), "id", F.lit(1)).rdd.getNumPartitions() == 1
     monkeypatch.setattr(segments, "LINE_BYTES", rows.TASK_BYTES)
     assert segments.line_table(df, "id", "raw_text").rdd.getNumPartitions() > 12
+
+
+def test_parents_of_hot_and_null_keys(spark):
+    children = spark.createDataFrame([(k, None if k % 3 == 0 else k % 3) for k in range(300)], "n int, parent int")
+    parents = spark.createDataFrame([(k, f"p{k}") for k in range(2, 2000)], "id int, title string")
+    joined = rows.with_parent(children, parents, "parent", "left", few=True, title="title")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert {r["n"]: r["title"] for r in joined.collect()} == {k: "p2" if k % 3 == 2 else None for k in range(300)}
+    assert rows.with_parent(children, parents, "parent", few=True, title="title").count() == 100
