@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sextant.operators import rows, segments
+from sextant.plans import catalogue
 
 
 def test_joins(spark):
@@ -47,3 +48,12 @@ def test_parents_of_hot_and_null_keys(spark):
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     assert {r["n"]: r["title"] for r in joined.collect()} == {k: "p2" if k % 3 == 2 else None for k in range(300)}
     assert rows.with_parent(children, parents, "parent", few=True, title="title").count() == 100
+
+
+def test_native_first_is_dealt_by_size(spark, tmp_path, monkeypatch):
+    lines = [(k // 3, k % 3 + 1, float(k % 50)) for k in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    asked = []
+    monkeypatch.setattr(rows, "dealt", lambda df, key, weight: asked.append(key) or df.repartition(7, key))
+    assert catalogue.queries()["doc_native_first"](spark, str(tmp_path)).count() == 20
+    assert asked == ["l_orderkey"]
