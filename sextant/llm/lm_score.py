@@ -1,10 +1,10 @@
 """Language-model scoring: a causal self-attention model over subword ids (``lm_model``), trained on Spark.
 
 Words (A-Z lower-cased) are cut into pieces of a public vocabulary. What the model learns grows
-with the input: the counts that give its tree and first biases are of all training documents,
-and its weights are trained on a fixed ``SHARE`` of their text (of small inputs more: at least
-``LEAST_BYTES``, or all). Training takes ``ROUNDS`` rounds; in each, the parts of the sample go
-on separately from the same weights, and their changes are averaged in Spark, block by block.
+with the input: the counts that give its tree and first biases, and the text that its weights
+are trained on, are of all training documents. Training takes ``ROUNDS`` rounds; in each, the
+parts of that text go on separately from the same weights, and their changes are averaged in
+Spark, block by block.
 
 The unigram base is taken over all training documents: each group of documents sends every
 distinct word once with its count, and learns the count of the whole.
@@ -26,9 +26,7 @@ from pyspark.sql import functions as F
 from sextant.llm.common import drop, group_count, runs_at, settle
 from sextant.llm.lm_model import COMPANY, Model, Trainer, add, apply
 
-#: The weights are trained on this share of the training text, and on at least so many bytes, if there are as many.
-SHARE, LEAST_BYTES = 0.02, 8 << 20
-#: Rounds; bytes of a part of the sample, and parts at most (beyond that they grow); pieces to be seen at least, in several passes if need be.
+#: Rounds; bytes of a part of the training text, and parts at most (beyond that they grow); pieces to be seen at least, in several passes if need be.
 ROUNDS, PART_BYTES, MOST_PARTS, LEAST_PIECES = 8, 4 << 20, 256, 5_000_000
 
 
@@ -110,8 +108,8 @@ def _by_bucket(words: pa.Array, buckets: int) -> tuple[np.ndarray, list[tuple[in
     return order, [(int(ranked[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def train(sample: DataFrame, counts: np.ndarray, initial: np.ndarray, parts: int, passes: int) -> Model:
-    """A model from ``sample`` (part, turn, id, ids): the ids of documents, dealt to ``parts`` parts and ``ROUNDS`` turns.
+def train(sequences: DataFrame, counts: np.ndarray, initial: np.ndarray, parts: int, passes: int) -> Model:
+    """A model from ``sequences`` (part, turn, id, ids): the ids of documents, dealt to ``parts`` parts and ``ROUNDS`` turns.
 
     counts and initial: see ``Model``. The driver only ever holds the model and its changes.
     """
@@ -128,7 +126,7 @@ def train(sample: DataFrame, counts: np.ndarray, initial: np.ndarray, parts: int
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["code", "n"])
 
     # at most COMPANY rows for each piece of the vocabulary
-    pairs = sample.select("ids").mapInArrow(followers, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    pairs = sequences.select("ids").mapInArrow(followers, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     near = np.zeros((len(counts), COMPANY), np.float32)
     if pairs.num_rows:
         code = pairs.column("code").to_numpy()
@@ -164,8 +162,8 @@ def train(sample: DataFrame, counts: np.ndarray, initial: np.ndarray, parts: int
 
     row = "name string, part int, payload binary"
     for turn in range(ROUNDS if pairs.num_rows else 0):
-        start = sample.sparkSession.sparkContext.broadcast(model)
-        own = sample.where(F.col("turn") == turn).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "id", "ids")
+        start = sequences.sparkSession.sparkContext.broadcast(model)
+        own = sequences.where(F.col("turn") == turn).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "id", "ids")
         changes = own.mapInArrow(partial(learn, start, turn), row).groupBy("name").applyInArrow(total, row)
         apply(model, sorted((r["name"], r["payload"]) for r in changes.collect()))  # as large as the model
         start.unpersist()
@@ -232,11 +230,9 @@ def score_documents(docs: DataFrame, held_out: Column, pieces: str, group_bytes:
     counts[listed.column("code").to_numpy()] = listed.column("n").to_numpy()
     counts[size] = n_docs
 
-    # the sample: whole documents, dealt out by hash
-    share = min(1.0, max(SHARE, LEAST_BYTES / max(n_bytes, 1)))
-    parts = int(min(MOST_PARTS, share * n_bytes // PART_BYTES + 1))
-    passes = max(1, min(16, round(LEAST_PIECES / max(int(counts.sum()) * share, 1))))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id", "text"), 11) / F.lit(float(1 << 53))
+    # all training documents, dealt out by hash
+    parts = int(min(MOST_PARTS, n_bytes // PART_BYTES + 1))
+    passes = max(1, min(16, round(LEAST_PIECES / max(int(counts.sum()), 1))))
     dealt = F.xxhash64(F.lit("deal"), "doc_id", "text")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,12 +242,12 @@ def score_documents(docs: DataFrame, held_out: Column, pieces: str, group_bytes:
             own = [ids[a:b].astype("<u2").tobytes() for a, b in zip(stops - sizes, stops, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("turn"), batch.column("id"), pa.array(own, pa.binary())], ["part", "turn", "id", "ids"])
 
-    chosen = rows.where(~F.col("held_out") & (place < share)).select(
+    dealt_out = rows.where(~F.col("held_out")).select(
         F.pmod(dealt, F.lit(parts)).cast("int").alias("part"), F.pmod(F.shiftrightunsigned(dealt, 32), F.lit(ROUNDS)).cast("int").alias("turn"), F.col("doc_id").alias("id"), "text"
     )
-    sample = settle(chosen.mapInArrow(cut_up, "part int, turn int, id long, ids binary"), "sample")
-    model = spark.sparkContext.broadcast(train(sample, counts, initial, parts, passes))
-    drop(sample)
+    sequences = settle(dealt_out.mapInArrow(cut_up, "part int, turn int, id long, ids binary"), "sequences")
+    model = spark.sparkContext.broadcast(train(sequences, counts, initial, parts, passes))
+    drop(sequences)
     log_all, log_end = float(np.log10(train_tokens + vocabulary + 1)), float(np.log10(n_docs + 1))
 
     def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
