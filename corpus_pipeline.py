@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.llm import decontaminate, language_id, mixing, set_join, token_output
-from sextant.llm.common import WORD, bounded, settle, shared_dir, table
+from sextant.llm.common import WORD, bounded, drop, settle, settling, shared_dir, table
 from sextant.llm.queries import tokenizer_path
 
 
@@ -53,11 +53,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of documents that pairs with a Jaccard similarity of 0.8 or more over 5-word shingles connect, the one with the least doc_id (null last), then text, stays.
 
     Covering tables over SimHash fingerprints of 5-word shingles connect most of them, an exact join the rest.
-    Rows are judged by their own texts: doc_id may be null or repeat.
+    Rows are judged by their own texts: doc_id may be null or repeat. Texts are ranked by themselves only where rows of a
+    component share a doc_id; elsewhere they are not moved.
     """
-    found = set_join.with_components(docs, size=5, least=0.8, radius=4)
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "text"))
-    return found.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
+    found = set_join.with_components(docs.withColumn("_row", F.monotonically_increasing_id()), size=5, least=0.8, radius=4)
+    of = Window.partitionBy("component")
+    several = settle(found.select("_row", "doc_id", "component").withColumn("_n", F.count("*").over(of)).where("_n > 1").drop("_n"), "several")
+    least = F.rank().over(of.orderBy(F.asc_nulls_last("doc_id")))
+    ranked = several.withColumn("_place", least).withColumn("_ties", F.count_if(F.col("_place") == 1).over(of))
+    ties = ranked.where("_place = 1 AND _ties > 1").select("_row", "component")
+    texts = found.select("_row", "text").join(bounded(settle(ties, "ties")), "_row")
+    behind = texts.withColumn("_rank", F.row_number().over(of.orderBy("text", "_row"))).where("_rank > 1").select("_row")
+    others = settle(ranked.where("_place > 1").select("_row").unionByName(behind), "others")
+    return found.join(bounded(others), "_row", "left_anti").select(*docs.columns)
 
 
 @apart
@@ -99,8 +107,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    spent: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        with settling() as made:
+            docs = settle(stage(spark, docs, sf_dir), name)
+        for old in spent + made[:-1]:  # nothing reads the last stage's frames any more, nor what this one made on its way
+            drop(old)
+        spent = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -11,6 +11,8 @@ either, whatever the order is, so that every such pair meets at one of these. Sh
 common in a sample come last in the order: this spares pairs, and no pair depends on it. Pairs
 that share enough of these are compared by their whole sets.
 
+A pair is dropped before its sets are read where sketches of a fixed size tell that they differ in too many shingles; this drops no similar pair.
+
 Shingles whose sets are all connected go. Of the sets that meet at another one, first each is compared with the
 least. Only sets that are not yet connected are then compared pair by pair, so that many near copies of one text
 do not make all their pairs.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm.common import drop, settle
@@ -69,6 +71,22 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return token[by_token], n[by_token]
 
 
+#: Columns of a set's sketch: the parities of its shingles by their first byte, 64 to a column.
+SKETCH = ["s0", "s1", "s2", "s3"]
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parities of ``own``. One shingle changes one of them, so two sets differ in as many shingles as their sketches in bits, or more."""
+    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _may_be_alike(x: str, y: str, m: str, n: str, least: float) -> Column:
+    """Whether the sketches of sets of m and n shingles (columns that begin with x and y) allow the similarity: of it follows that they differ in a share of m + n at most."""
+    bits = sum((F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in SKETCH), F.lit(0))
+    return bits <= F.lit((1 - least) / (1 + least)) * (F.col(m) + F.col(n)) + F.lit(1e-6)
+
+
 def _hopeful(met: DataFrame, least: float) -> DataFrame:
     """Those pairs (a, b) of ``met`` (a, b, their sizes m, n; a row for each shingle shared by their fronts) that may be similar enough.
 
@@ -77,7 +95,7 @@ def _hopeful(met: DataFrame, least: float) -> DataFrame:
     behind = F.ceil(F.lit(least) * F.greatest("m", "n") - F.lit(1e-9)) - 1
     need = F.lit(least / (1 + least)) * (F.col("m") + F.col("n")) - F.lit(1e-6)
     sizes = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n") - F.lit(1e-9)
-    return met.where(sizes).groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared")).where(F.col("shared") + behind >= need).select("a", "b")
+    return met.where(sizes).groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared")).where(F.col("shared") + behind >= need).select("a", "b", "m", "n")
 
 
 def _alike(pairs: DataFrame, marked: DataFrame, size: int, least: float) -> DataFrame:
@@ -129,12 +147,13 @@ def with_components(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times = order.value
         for batch in batches:
-            keys, sizes, fronts, prints = [], [], [], []
+            keys, sizes, fronts, prints, parities = [], [], [], [], []
             for t in batch.column("text"):
                 own = shingles(t.as_py().encode() if t.is_valid else None, size)
                 keys.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 sizes.append(len(own))
                 prints.append(majority(own))
+                parities.append(sketch(own))
                 seen = np.zeros(len(own), np.int64)
                 if len(common) and len(own):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
@@ -142,10 +161,12 @@ def with_components(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
                 front = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0
                 fronts.append(own[np.argsort(seen, kind="stable")[:front]].tobytes())
             more = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fronts, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "key", "n", "front", "fp"])
+            more += [pa.array(np.ascontiguousarray(c)) for c in np.array(parities, np.int64).reshape(-1, len(SKETCH)).T]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "key", "n", "front", "fp", *SKETCH])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = settle(docs.mapInArrow(mark, f"{kinds}, key long, n int, front binary, fp long"), "marked")
+    marked = settle(docs.mapInArrow(mark, f"{kinds}, key long, n int, front binary, fp long, {', '.join(f'{s} long' for s in SKETCH)}"), "marked")
+    sketches = settle(marked.groupBy("key").agg(*(F.first(s).alias(s) for s in SKETCH)), "sketches")
     near = _alike(_near(marked, radius), marked, size, least)
     joined = settle(connected_components(near), "near")
 
@@ -165,20 +186,22 @@ def with_components(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
     met = settle(met.where("low <> high").select("token", "key", "n", "c", "to"), "met")
 
     star = met.where("to.c <> c").select(F.col("to.key").alias("a"), F.col("key").alias("b"), F.col("to.n").alias("m"), "n")
-    links = near.unionByName(_alike(_hopeful(star, least), marked, size, least))
+    by_end = {end: sketches.select(F.col("key").alias(end), *(F.col(s).alias(f"{end}_{s}") for s in SKETCH)) for end in "ab"}
+    hoped = _hopeful(star, least).join(by_end["a"], "a").join(by_end["b"], "b").where(_may_be_alike("a_", "b_", "m", "n", least)).select("a", "b")
+    links = near.unionByName(_alike(hoped, marked, size, least))
     found = settle(connected_components(links), "starred")
 
     placed = met.drop("c").join(found, met.key == found.node, "left").select("token", "key", "n", F.coalesce("component", "key").alias("c"))
     shares = placed.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token")
     main = shares.agg(F.max_by("c", F.struct("many", "c")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    mixed = settle(placed.join(main.select("token", "main"), "token"), "mixed")
+    mixed = settle(placed.join(main.select("token", "main"), "token").join(sketches, "key"), "mixed")
     # each shingle once for each pair of sets of two components, at least one of them not the shingle's main one
     x, y = mixed.where("c <> main").alias("x"), mixed.alias("y")
-    meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.key") < F.col("y.key")))
+    meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & _may_be_alike("x.", "y.", "x.n", "y.n", least)
     first = F.col("x.key") < F.col("y.key")
     sides = {"a": ("x.key", "y.key"), "b": ("y.key", "x.key"), "m": ("x.n", "y.n"), "n": ("y.n", "x.n")}
     rest = x.join(y, meets).select(*(F.when(first, F.col(p)).otherwise(F.col(q)).alias(name) for name, (p, q) in sides.items()))
-    every = links.unionByName(_alike(_hopeful(rest, least), marked, size, least))
+    every = links.unionByName(_alike(_hopeful(rest, least).select("a", "b"), marked, size, least))
 
     moved = settle(connected_components(every), "components")
     out = marked.join(moved, marked.key == moved.node, "left")
