@@ -80,3 +80,19 @@ def test_invalid_vectors_and_empty_table(spark, tmp_path):
     assert [r["section_id"] for r in cells.search_cells(spark, path, [1.0, 0.0], 9, probes=2).collect()][:4] == [1, 7, 7, 2]
     cells.write_cells(spark.createDataFrame([], schema), str(tmp_path / "b"))
     assert cells.search_cells(spark, str(tmp_path / "b"), [1.0], 3).collect() == []
+
+
+def test_tiles_of_a_cell_give_the_same_rows(spark, index, monkeypatch):
+    queries = T.vectors(spark, SF).where("section_id % 20 = 0").select(F.col("section_id").alias("query"), F.col("embedding").alias("vector"))
+    whole = sorted(map(tuple, cells.join_cells(spark, index, queries, 10).collect()))
+    monkeypatch.setattr(cells, "TILE", 80)
+    seen = cells.join_cells(spark, index, queries, 10)
+    assert sorted(map(tuple, seen.collect())) == whole
+
+
+def test_copies_of_one_vector_are_ranked_by_key(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("section_id"), F.when(F.col("id") % 3 > 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(-1.0), F.col("id").cast("double"))).alias("embedding"))
+    cells.write_cells(rows, str(tmp_path / "cells"), cells=4)
+    queries = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("nan"), 1.0]), (3, [1.0])], "query int, vector array<double>")
+    got = cells.join_cells(spark, str(tmp_path / "cells"), queries, 4).orderBy("rank").collect()
+    assert [(r["query"], r["section_id"], r["distance"]) for r in got] == [(1, 1, 0.0), (1, 2, 0.0), (1, 4, 0.0), (1, 5, 0.0)]
