@@ -10,24 +10,36 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as X
 from sextant.functions.scoring import metadata_confidence
+from sextant.operators.rows import dealt
+
+#: Bytes of text whose metadata one task finds, and what a text takes besides its own.
+TASK_BYTES, TEXT_BYTES = 2 << 20, 256
 
 
 def metadata(df: DataFrame, key: str = "id", text: str = "raw_text", file_name: str = "source_file_name") -> DataFrame:
-    """Title, number, year and dates near the start of each text; the title by its first act-like line, else the file's name."""
-    start = F.substring(text, 1, 8000)
+    """Title, number, year and dates near the start of each text; the title by its first act-like line, else the file's name.
+
+    Starts of texts (and their first 40 lines) are dealt by key to tasks of a fixed size; line and title are columns of their own, so that each is found once.
+    """
+    starts = df.select(key, F.substring(text, 1, 8000).alias("_start"), F.substring_index(text, "\n", 40).alias("_lines_of"), F.col(file_name).alias("_file"))
+    starts = dealt(starts, key, F.coalesce(F.octet_length("_start") + F.octet_length("_lines_of"), F.lit(0)) + TEXT_BYTES, TASK_BYTES)
+    start = F.col("_start")
     day = r"(\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]+\s+\d{4})"
     date = lambda *names: F.coalesce(*(X.loose_date(X.found(start, rf"(?i)\b{n}\s*{day}")) for n in names))
-    lines = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 40), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    lines = F.filter(F.transform(F.slice(F.split(F.col("_lines_of"), "\n"), 1, 40), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
     bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i),?\s*No\.?\s*\d+[A-Za-z]?\s+of\s+\d{4}\b", ""), r"^[ ,:;-]+|[ ,:;-]+$", "")
     noise = r"(?i)\b(parliament|democratic socialist republic|sri lanka|gazette|printed|published|arrangement of sections|certified on|date of certification|supplement|can be downloaded|documents\.gov\.lk)\b"
-    fits = lambda x: (F.length(bare(x)) >= 8) & (F.length(bare(x)) < 160) & bare(x).rlike(r"(?i)\b(act|ordinance)\b") & ~x.rlike(noise)
+    # no bare line says "act" whose line does not
+    fits = lambda x: x.rlike("(?i)act|ordinance") & (F.length(bare(x)) >= 8) & (F.length(bare(x)) < 160) & bare(x).rlike(r"(?i)\b(act|ordinance)\b") & ~x.rlike(noise)
     line = F.try_element_at(F.filter(lines, fits), F.lit(1))
-    stem = F.regexp_replace(F.regexp_replace(F.col(file_name), r"\.[^.]*$", ""), "_", " ")
-    title = F.coalesce(bare(line), stem)
-    cased = F.when(F.upper(title) == title, F.initcap(title)).otherwise(title)
+    stem = F.regexp_replace(F.regexp_replace(F.col("_file"), r"\.[^.]*$", ""), "_", " ")
+    found = starts.withColumn("_line", line).withColumn("_title", F.coalesce(bare(F.col("_line")), stem))
+    title, line = F.col("_title"), F.col("_line")
+    found = found.withColumn("_cased", F.when(F.upper(title) == title, F.initcap(title)).otherwise(title))
+    cased = F.col("_cased")
     number = X.found(start, r"(?i)\b(?:Act\s*,?\s*)?No\.?\s*(\d+[A-Za-z]?)\s+of\s+\d{4}\b")
     certified = date(r"Certified\s+on", r"Date\s+of\s+Certification\s*:?")
-    return df.select(
+    return found.select(
         key, cased.alias("title"), X.search_form(title).alias("normalized_title"), number.alias("act_number"), X.found(start, r"(?i)\bNo\.?\s*\d+[A-Za-z]?\s+of\s+(\d{4})\b").cast("int").alias("year"),
         certified.alias("certification_date"), date(r"Published\s+on", r"Date\s+of\s+Publication\s*:?", r"Publication\s+Date\s*:?").alias("publication_date"),
         metadata_confidence(F.when(line.isNotNull(), 0.9).otherwise(0.35), number.isNotNull(), certified.isNotNull()).alias("confidence"),
