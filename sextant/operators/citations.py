@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import scoring as M
 from sextant.functions import text as X
+from sextant.operators.rows import dealt
 
 # The patterns in the order of their passes, with the names of their groups.
 PATTERNS = {
@@ -47,7 +48,15 @@ CONTEXT = 160
 MARK = "\uffff"
 #: What a text must hold for a pattern that is tried at every letter.
 NEEDED = {"ACT_CITATION": r"(?iU)\sAct,?\s+No\.?\s*\d+\s+of\s+\d{4}"}
+#: Letters, one of which a text of ASCII must hold, in either case, for a pattern to match.
+HOLDS = {
+    "AMENDING_ACT": ("amend",), "SECTION_OF_ACT_AMENDED": ("hereby",), "PRINCIPAL_SECTION_AMENDED": ("principal",), "NEW_SECTION_INSERT": ("inserted",), "EFFECT_AS_SECTION": ("effect",), "REPEAL_PARAGRAPH": ("repeal",),
+    "SUBSTITUTION": ("substitut",), "ADDITION": ("addition",), "NEW_PARAGRAPH_ITEM": ("following",), "SCHEDULE_AMENDMENT": ("principal",), "ACT_CITATION": ("act",), "SECTION": ("sec", "s."), "SUBSECTION": ("subsection",),
+    "PARAGRAPH": ("paragraph",), "ITEM": ("item",), "SCHEDULE": ("schedule",), "CHAPTER": ("chapter",),
+}
 NAMES = list(PATTERNS)
+#: Bytes of text that go to one task, and what a text takes besides its own: patterns take their time.
+TASK_BYTES, TEXT_BYTES = 2 << 20, 256
 
 
 def _regex(name: str) -> str:
@@ -57,19 +66,25 @@ def _regex(name: str) -> str:
 def match_offsets(texts: DataFrame) -> DataFrame:
     """(doc, pass, raw, start, stop) of every match in ``texts`` (doc, text), in bytes.
 
-    The parts between the matches of a pattern are as a split gives them, so a match starts at the sum of what precedes it.
+    One pass of a pattern puts marks around its matches, so that a split at these gives them and the gaps in turn, and a match
+    starts at the sum of what precedes it. A text that holds the mark itself is split by the pattern.
     """
-    none = F.array().cast("array<struct<pass:int,i:int,raw:string,gap:int>>")
 
     def found(number: int, name: str) -> Column:
         text, regex = F.col("text"), _regex(name)
         # a split compiles its pattern for every text, a replacement once
-        parts = F.when(text.contains(MARK), F.split(text, regex, -1)).otherwise(F.split(F.regexp_replace(text, regex, MARK), MARK, -1))
-        zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("raw"), F.transform(parts, F.octet_length).alias("gap"))
-        each = F.transform(zipped, lambda x, i: F.struct(F.lit(number).alias("pass"), i.alias("i"), x["raw"].alias("raw"), x["gap"].alias("gap")))
-        return F.when(text.rlike(NEEDED.get(name, regex)), each).otherwise(none)
-
-    rows = texts.select("doc", F.explode(F.flatten(F.array(*(found(k, name) for k, name in enumerate(NAMES))))).alias("m")).select("doc", "m.*").where("raw IS NOT NULL").repartition("doc")
+        marked = F.split(F.regexp_replace(text, regex, f"{MARK}$0{MARK}"), MARK, -1)
+        split = F.flatten(F.transform(F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("raw")), lambda x: F.array(x["gap"], F.coalesce(x["raw"], F.lit("")))))
+        able = F.length(text) < F.octet_length(text)
+        for letters in HOLDS[name]:
+            able = able | F.col("low").contains(letters)
+        if name in NEEDED:
+            able = able & text.rlike(NEEDED[name])
+        return F.struct(F.lit(number).alias("pass"), F.when(able, F.when(text.contains(MARK), F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(marked)).alias("parts"))
+
+    parts = texts.withColumn("low", F.lower("text")).select("doc", F.explode(F.array(*(found(k, name) for k, name in enumerate(NAMES)))).alias("m")).select("doc", "m.*").where(F.size("parts") > 1)
+    each = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / 2).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.get("parts", 2 * i + 1).alias("raw"), F.octet_length(F.get("parts", 2 * i)).alias("gap")))
+    rows = parts.select("doc", "pass", F.explode(each).alias("m")).select("doc", "pass", "m.*")
     upto = F.sum(F.col("gap") + F.octet_length("raw")).over(Window.partitionBy("doc", "pass").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
     return rows.withColumn("stop", upto).select("doc", "pass", "raw", (F.col("stop") - F.octet_length("raw")).alias("start"), "stop")
 
@@ -133,9 +148,10 @@ def extract_references(df: DataFrame, key: str = "id", text: str = "text") -> Da
     """One row for each reference in each text, in the order of passes and places; a null text has none, keys must be distinct.
 
     Everything moves by key: offsets, bounds and containment are windows over a document's matches, and its text is joined
-    to them once. It is linear in the text and its matches.
+    to them once. It is linear in the text and its matches. Texts are shuffled once, by key, to tasks of a fixed size.
     """
     texts = df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = dealt(texts, "doc", F.octet_length("text") + TEXT_BYTES, TASK_BYTES)
     seen = _in_context(texts, _bounded(texts, match_offsets(texts)))
     relation = F.coalesce(_by_pass(lambda n: F.lit(SAYS[n][0] or "")), X.classify_relationship(F.col("sentence")))
     relates = ~F.col("relationship_type").isin("REFERS_TO", "UNKNOWN")
