@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions.stems import STOP_WORDS, with_stems
+from sextant.operators.rows import dealt
 from sextant.sources.storage import settle
 
 #: A side of a join is broadcast if it has no more rows than this by a count.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text whose words one task counts, and what a text takes besides its own.
+TASK_BYTES, TEXT_BYTES = 16 << 20, 64
 
 
 def _tokens(text: Column) -> Column:
@@ -22,16 +25,21 @@ def _tokens(text: Column) -> Column:
 def postings(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(lexeme, key, n): how often each lexeme occurs in the columns' texts of each row, stop words aside.
 
-    Each distinct token is stemmed once. Words are counted in map tasks before they are shuffled; to a larger
-    vocabulary than can be broadcast, counts are joined.
+    Texts are dealt once, by key, to tasks of a fixed size, in which their words are then counted: postings are not shuffled. Each
+    distinct token that a stem may change is stemmed once, and those that it does change are broadcast; to a larger vocabulary than that
+    allows, counts are joined.
     """
-    words = df.select(F.col(key).alias("key"), F.explode(_tokens(F.concat_ws(" ", *columns))).alias("token"))
+    said = df.select(F.col(key).alias("key"), F.concat_ws(" ", *columns).alias("text"))
+    words_of = lambda texts: texts.select("key", F.explode(_tokens(F.col("text"))).alias("token"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stems = settle(with_stems(words.select("token").distinct().repartition(parts)), "stems")
+    able = words_of(said).where(F.col("token").rlike("^[a-z]{3,}$")).select("token").distinct().repartition(parts)
+    stems = settle(with_stems(able), "stems").where("lexeme <> token")  # filtered as read: a filter would repeat the steps
+    words = words_of(dealt(said, "key", F.octet_length("text") + TEXT_BYTES, TASK_BYTES))
     if stems.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return words.join(F.broadcast(stems), "token").groupBy("lexeme", "key").agg(F.count("*").alias("n"))
+        named = words.join(F.broadcast(stems), "token", "left").withColumn("lexeme", F.coalesce("lexeme", "token"))
+        return named.groupBy("lexeme", "key").agg(F.count("*").alias("n"))
     counted = words.groupBy("key", "token").agg(F.count("*").alias("n"))
-    return counted.join(stems, "token").groupBy("lexeme", "key").agg(F.sum("n").alias("n"))
+    return counted.join(stems, "token", "left").groupBy(F.coalesce("lexeme", "token").alias("lexeme"), "key").agg(F.sum("n").alias("n"))
 
 
 def _bucket(lexeme: Column, buckets: int) -> Column:

@@ -155,3 +155,12 @@ def test_reads_only_the_lexemes_of_the_query(spark, index):
 def test_empty_table(spark, tmp_path):
     fulltext.write_index(spark.createDataFrame([], "id int, t string"), "id", ["t"], str(tmp_path / "none"))
     assert fulltext.search_index(spark, str(tmp_path / "none"), "levy").collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_postings_are_not_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(fulltext, "BROADCAST_ROWS", most)
+    df = spark.createDataFrame([(1, "running runs 77 ran"), (2, "Things, the thing"), (3, None)], "id long, body string")
+    found = fulltext.postings(df, "id", ["body"])
+    assert sorted(map(tuple, found.collect())) == [("77", 1, 1), ("ran", 1, 1), ("run", 1, 2), ("thing", 2, 2)]
+    assert most == 0 or "hashpartitioning(lexeme" not in found._jdf.queryExecution().executedPlan().toString()
