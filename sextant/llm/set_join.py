@@ -13,6 +13,9 @@ that share enough of these are compared by their whole sets.
 
 A pair is dropped before its sets are read where sketches of a fixed size tell that they differ in too many shingles; this drops no similar pair.
 
+Texts stay where they are: what is written down of a row holds a hash of its text, by which those few whose sets are to be
+compared are found again.
+
 Shingles whose sets are all connected go. Of the sets that meet at another one, first each is compared with the
 least. Only sets that are not yet connected are then compared pair by pair, so that many near copies of one text
 do not make all their pairs.
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import drop, settle
+from sextant.llm.common import bounded, drop, settle, settling
 from sextant.llm.components import connected_components
 from sextant.llm.simhash import majority, near_links
 
@@ -71,6 +74,15 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return token[by_token], n[by_token]
 
 
+#: The column with a text's hash.
+TEXT_HASH = "text_hash"
+
+
+def text_hash() -> Column:
+    """What tells texts apart where they are not at hand."""
+    return F.xxhash64("text")
+
+
 #: Columns of a set's sketch: the parities of its shingles by their first byte, 64 to a column.
 SKETCH = ["s0", "s1", "s2", "s3"]
 
@@ -98,10 +110,11 @@ def _hopeful(met: DataFrame, least: float) -> DataFrame:
     return met.where(sizes).groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared")).where(F.col("shared") + behind >= need).select("a", "b", "m", "n")
 
 
-def _alike(pairs: DataFrame, marked: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: keys, distinct) whose sets are similar enough."""
+def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: keys, distinct) whose sets are similar enough. Only texts of these keys are moved, unless there are too many keys for a broadcast."""
     pairs = settle(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = settle(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "wanted")
+    places = settle(marked.join(bounded(wanted), "key", "left_semi").groupBy("key").agg(F.min(TEXT_HASH).alias(TEXT_HASH)), "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,12 +130,12 @@ def _alike(pairs: DataFrame, marked: DataFrame, size: int, least: float) -> Data
                 good.append(both * (1 + least) >= least * (len(x) + len(y)) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = marked.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = docs.select("text", text_hash().alias(TEXT_HASH)).join(bounded(places), TEXT_HASH).groupBy("key").agg(F.first("text").alias("text"))
     sets = settle(texts.mapInArrow(cut, "key long, own binary"), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     found = settle(both.mapInArrow(compare, "a long, b long"), "alike")
-    drop(sets)
-    drop(pairs)
+    for old in (sets, places, wanted, pairs):
+        drop(old)
     return found
 
 
@@ -134,15 +147,38 @@ def _near(marked: DataFrame, radius: int) -> DataFrame:
     return near_links(nodes, radius).unionByName(equal)
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One of the rows (key, n, front) of each key. Those of a key of its own are not moved, if the others are few enough."""
+    several = bounded(settle(rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "repeated"))
+    first = rows.join(several, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("front").alias("front"))
+    return rows.join(several, "key", "left_anti").unionByName(first)
+
+
 def with_components(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
-    """``docs`` with ``component``: equal for rows that similar pairs connect, each pair of a Jaccard similarity of ``least`` or more.
+    """``docs`` with ``component``: equal for rows that similar pairs connect (see ``components_of``)."""
+    found = components_of(docs.select("text"), size, least, radius).distinct().withColumnRenamed(TEXT_HASH, "_hash")
+    return docs.join(found, text_hash() == found._hash).select(*docs.columns, "component")
+
+
+def components_of(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
+    """The rows of ``docs``, their ``text`` replaced by ``text_hash``, with ``component``: equal for rows that similar pairs connect, each pair of a Jaccard similarity of ``least`` or more.
 
     Sets are the shingles of ``text``; other columns pass through. Rows of equal sets count once,
     whatever their number; texts without words have equal sets. ``radius``, the bits in which fingerprints may differ
-    in the first pass, decides how much is left to the second, never the result.
+    in the first pass, decides how much is left to the second, never the result. ``docs`` is read several times, so it
+    should be cheap to read and the same each time.
     """
-    spark, names = docs.sparkSession, docs.columns
+    with settling() as made:
+        found = settle(_components_of(docs, size, least, radius), "components")
+    for old in made[:-1]:
+        drop(old)
+    return found
+
+
+def _components_of(docs: DataFrame, size: int, least: float, radius: int) -> DataFrame:
+    spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_common(docs, size))
+    names = [c for c in docs.columns if c != "text"] + [TEXT_HASH]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times = order.value
@@ -162,12 +198,13 @@ def with_components(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
                 fronts.append(own[np.argsort(seen, kind="stable")[:front]].tobytes())
             more = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fronts, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
             more += [pa.array(np.ascontiguousarray(c)) for c in np.array(parities, np.int64).reshape(-1, len(SKETCH)).T]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "key", "n", "front", "fp", *SKETCH])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], [*names, "key", "n", "front", "fp", *SKETCH])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = settle(docs.mapInArrow(mark, f"{kinds}, key long, n int, front binary, fp long, {', '.join(f'{s} long' for s in SKETCH)}"), "marked")
+    hashed = docs.withColumn(TEXT_HASH, text_hash())
+    kinds = ", ".join(f"`{c}` {hashed.schema[c].dataType.simpleString()}" for c in names)
+    marked = settle(hashed.mapInArrow(mark, f"{kinds}, key long, n int, front binary, fp long, {', '.join(f'{s} long' for s in SKETCH)}"), "marked")
     sketches = settle(marked.groupBy("key").agg(*(F.first(s).alias(s) for s in SKETCH)), "sketches")
-    near = _alike(_near(marked, radius), marked, size, least)
+    near = _alike(_near(marked, radius), docs, marked, size, least)
     joined = settle(connected_components(near), "near")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +215,8 @@ def with_components(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
             token = np.frombuffer(b"".join(fronts), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array(n), pa.array(c)], ["token", "key", "n", "c"])
 
-    nodes = marked.groupBy("key").agg(F.first("n").alias("n"), F.first("front").alias("front"))
-    nodes = nodes.join(joined, nodes.key == joined.node, "left").select("key", "n", "front", F.coalesce("component", "key").alias("c"))
+    nodes = _one_each(marked.select("key", "n", "front"))
+    nodes = nodes.join(bounded(joined), nodes.key == joined.node, "left").select("key", "n", "front", F.coalesce("component", "key").alias("c"))
     rows = nodes.mapInArrow(spread, "token long, key long, n int, c long")
     own = Window.partitionBy("token")
     met = rows.withColumns({"low": F.min("c").over(own), "high": F.max("c").over(own), "to": F.min(F.struct("key", "n", "c")).over(own)})
@@ -188,7 +225,7 @@ def with_components(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
     star = met.where("to.c <> c").select(F.col("to.key").alias("a"), F.col("key").alias("b"), F.col("to.n").alias("m"), "n")
     by_end = {end: sketches.select(F.col("key").alias(end), *(F.col(s).alias(f"{end}_{s}") for s in SKETCH)) for end in "ab"}
     hoped = _hopeful(star, least).join(by_end["a"], "a").join(by_end["b"], "b").where(_may_be_alike("a_", "b_", "m", "n", least)).select("a", "b")
-    links = near.unionByName(_alike(hoped, marked, size, least))
+    links = near.unionByName(_alike(hoped, docs, marked, size, least))
     found = settle(connected_components(links), "starred")
 
     placed = met.drop("c").join(found, met.key == found.node, "left").select("token", "key", "n", F.coalesce("component", "key").alias("c"))
@@ -201,8 +238,8 @@ def with_components(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
     first = F.col("x.key") < F.col("y.key")
     sides = {"a": ("x.key", "y.key"), "b": ("y.key", "x.key"), "m": ("x.n", "y.n"), "n": ("y.n", "x.n")}
     rest = x.join(y, meets).select(*(F.when(first, F.col(p)).otherwise(F.col(q)).alias(name) for name, (p, q) in sides.items()))
-    every = links.unionByName(_alike(_hopeful(rest, least).select("a", "b"), marked, size, least))
+    every = links.unionByName(_alike(_hopeful(rest, least).select("a", "b"), docs, marked, size, least))
 
-    moved = settle(connected_components(every), "components")
-    out = marked.join(moved, marked.key == moved.node, "left")
+    moved = settle(connected_components(every), "moved")
+    out = marked.select(*names, "key").join(bounded(moved), F.col("key") == F.col("node"), "left")
     return out.select(*names, F.coalesce("component", "key").alias("component"))

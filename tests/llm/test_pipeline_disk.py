@@ -1,12 +1,13 @@
 """What the pipeline leaves on disk, and pairs of sets that need not be read."""
 
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sextant.llm import set_join
+from sextant.llm import mixing, set_join
 from sextant.llm.common import settle, shared_dir
 
 
@@ -49,3 +50,45 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
         assert bits(set_join.sketch(x), set_join.sketch(y)) <= len(np.setxor1d(x, y))
     apart = [np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(2)]
     assert bits(*map(set_join.sketch, apart)) > 600 / 9  # as many as sets of this size may differ in
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+def test_near_duplicates_leave_only_the_rows_that_go(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(30)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)] + [(50, texts[3] + " more", "en", "s", 1), (2, texts[2], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(2)
+    shared = Path(shared_dir(spark))
+    before = set(shared.iterdir())
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    left = set(shared.iterdir()) - before
+    assert {p.name.rsplit("-", 1)[0] for p in left} == {"sextant-gone", "sextant-repeated"}
+    assert all("text" not in spark.read.parquet(str(p)).columns for p in left)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(30))
+
+
+def test_equal_rows_leave_one_with_its_own_columns(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(1, same, "en", "a", 1), (1, same, "de", "b", 2), (1, same, None, None, 3), (None, None, "x", "p", 4), (None, None, "y", "q", 5), (None, "", "z", "r", 6), (7, "a text apart", "en", "s", 7)]
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()]
+    assert len(got) == 3 and set(got) <= set(rows)
+    assert sorted(map(repr, (r[:2] for r in got))) == sorted(map(repr, [(1, same), (None, None), (7, "a text apart")]))
+
+
+def test_mixture_moves_texts_once(spark):
+    docs = spark.createDataFrame([(k % 7 or None, f"text {k} " * (k % 3), "en", "ab"[k % 2] if k % 5 else None, 1) for k in range(60)], DOCS)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = corpus_pipeline.mixture(spark, docs, "")
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "_own" in x]
+        copies = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixed.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    assert copies == +want
