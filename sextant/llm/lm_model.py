@@ -256,9 +256,12 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def add(payloads: list[bytes]) -> bytes:
-    """The sum of changes of one block."""
-    parts = [_unpacked(x) for x in payloads]
-    return _packed(*_summed(np.concatenate([r for r, _ in parts]), np.concatenate([v for _, v in parts])))
+    """The sum of changes of one block, added one after another."""
+    rows = np.unique(np.concatenate([_unpacked(x)[0] for x in payloads]))
+    total = np.zeros((len(rows), _unpacked(payloads[0])[1].shape[1]), F32)
+    for own, values in map(_unpacked, payloads):
+        total[np.searchsorted(rows, own)] += values
+    return _packed(rows, total)
 
 
 def apply(model: Model, sums: list[tuple[str, bytes]]) -> None:

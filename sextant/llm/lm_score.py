@@ -12,7 +12,7 @@ distinct word once with its count, and learns the count of the whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import chain
 
@@ -28,6 +28,8 @@ from sextant.llm.lm_model import COMPANY, Model, Trainer, add, apply
 
 #: Rounds; bytes of a part of the training text, and parts at most (beyond that they grow); pieces to be seen at least, in several passes if need be.
 ROUNDS, PART_BYTES, MOST_PARTS, LEAST_PIECES = 8, 4 << 20, 256, 5_000_000
+#: What a task of Python looks at together, however many rows it is handed: ids, and bytes of text.
+STEP, SLICE_BYTES = 1 << 18, 4 << 20
 
 
 class Pieces:
@@ -108,6 +110,32 @@ def _by_bucket(words: pa.Array, buckets: int) -> tuple[np.ndarray, list[tuple[in
     return order, [(int(ranked[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
+def followers_of(columns: Iterable[pa.Array], rank: np.ndarray, end: int) -> np.ndarray:
+    """Rows (piece << 16 | rank of the piece before, count) of sequences of ids; pieces before of rank -1 are not counted.
+
+    Counts stand in one table of vocabulary by ``COMPANY``, and ``STEP`` ids are looked at together, however many a column holds.
+    """
+    total = np.zeros(len(rank) * COMPANY, np.int64)
+    for column in columns:
+        before = end  # what a sequence begins after, and ends with
+        for sequence in column:
+            ids = np.frombuffer(sequence.as_buffer(), "<u2")
+            for a in range(0, len(ids), STEP):
+                after = ids[a : a + STEP].astype(np.int64)
+                ranks = rank[np.concatenate(([before], after[:-1]))]
+                np.add.at(total, (after * COMPANY + ranks)[ranks >= 0], 1)
+                before = after[-1]
+    at = np.flatnonzero(total)
+    return np.stack((at // COMPANY << 16 | at % COMPANY, total[at]), axis=1)
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[slice]:
+    """Runs of rows that hold about ``most`` bytes of text each, one row at least."""
+    filled = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edge = np.flatnonzero(np.diff(filled // most)) + 1 if len(filled) else filled
+    yield from map(slice, [0, *edge.tolist()], [*edge.tolist(), len(filled)])
+
+
 def train(sequences: DataFrame, counts: np.ndarray, initial: np.ndarray, parts: int, passes: int) -> Model:
     """A model from ``sequences`` (part, turn, id, ids): the ids of documents, dealt to ``parts`` parts and ``ROUNDS`` turns.
 
@@ -119,11 +147,8 @@ def train(sequences: DataFrame, counts: np.ndarray, initial: np.ndarray, parts:
     rank[often] = np.arange(len(often))
 
     def followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2").astype(np.int64)
-            before, after = rank[np.concatenate(([end], ids[:-1]))], ids
-            found = _summed((after << 16 | before)[before >= 0], np.ones(int((before >= 0).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["code", "n"])
+        found = followers_of((batch.column("ids") for batch in batches), rank, end)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["code", "n"])
 
     # at most COMPANY rows for each piece of the vocabulary
     pairs = sequences.select("ids").mapInArrow(followers, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
@@ -236,11 +261,12 @@ def score_documents(docs: DataFrame, held_out: Column, pieces: str, group_bytes:
     dealt = F.xxhash64(F.lit("deal"), "doc_id", "text")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes = pieces_of(pieces).texts(batch.column("text"))
-            stops = np.cumsum(sizes)
-            own = [ids[a:b].astype("<u2").tobytes() for a, b in zip(stops - sizes, stops, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("turn"), batch.column("id"), pa.array(own, pa.binary())], ["part", "turn", "id", "ids"])
+        for whole in batches:
+            for batch in (whole.slice(x.start, x.stop - x.start) for x in slices(whole.column("text"), SLICE_BYTES)):
+                ids, sizes = pieces_of(pieces).texts(batch.column("text"))
+                stops = np.cumsum(sizes)
+                own = [ids[a:b].astype("<u2").tobytes() for a, b in zip(stops - sizes, stops, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("turn"), batch.column("id"), pa.array(own, pa.binary())], ["part", "turn", "id", "ids"])
 
     dealt_out = rows.where(~F.col("held_out")).select(
         F.pmod(dealt, F.lit(parts)).cast("int").alias("part"), F.pmod(F.shiftrightunsigned(dealt, 32), F.lit(ROUNDS)).cast("int").alias("turn"), F.col("doc_id").alias("id"), "text"
