@@ -91,9 +91,10 @@ def _summed(codes: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 def words_of(texts: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (A-Z lower-cased, split at ASCII white space), the number of each word of all texts, and the words of each text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # lower-cased before the cast: after it, Arrow reads a slice without nulls at the wrong places
+    texts = pc.fill_null(pc.ascii_lower(texts).cast(pa.large_string()), "")
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(texts)
     flat = split.flatten()
     filled = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty part
     edge = np.concatenate(([0], np.cumsum(filled)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
