@@ -144,7 +144,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     spent: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
         with settling() as made:
-            docs = settle(stage(spark, docs, sf_dir), name)
+            docs = settle(stage(spark, docs, sf_dir), name, wide=True)
         for old in spent + made[:-1]:  # nothing reads the last stage's frames any more, nor what this one made on its way
             drop(old)
         spent = made[-1:]

@@ -131,9 +131,9 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, size: int, leas
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     texts = docs.select("text", text_hash().alias(TEXT_HASH)).join(bounded(places), TEXT_HASH).groupBy("key").agg(F.first("text").alias("text"))
-    sets = settle(texts.mapInArrow(cut, "key long, own binary"), "sets")
+    sets = settle(texts.mapInArrow(cut, "key long, own binary"), "sets", wide=True)
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    found = settle(both.mapInArrow(compare, "a long, b long"), "alike")
+    found = settle(both.mapInArrow(compare, "a long, b long"), "alike", wide=True)
     for old in (sets, places, wanted, pairs):
         drop(old)
     return found
@@ -202,7 +202,7 @@ def _components_of(docs: DataFrame, size: int, least: float, radius: int) -> Dat
 
     hashed = docs.withColumn(TEXT_HASH, text_hash())
     kinds = ", ".join(f"`{c}` {hashed.schema[c].dataType.simpleString()}" for c in names)
-    marked = settle(hashed.mapInArrow(mark, f"{kinds}, key long, n int, front binary, fp long, {', '.join(f'{s} long' for s in SKETCH)}"), "marked")
+    marked = settle(hashed.mapInArrow(mark, f"{kinds}, key long, n int, front binary, fp long, {', '.join(f'{s} long' for s in SKETCH)}"), "marked", wide=True)
     sketches = settle(marked.groupBy("key").agg(*(F.first(s).alias(s) for s in SKETCH)), "sketches")
     near = _alike(_near(marked, radius), docs, marked, size, least)
     joined = settle(connected_components(near), "near")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded, by_bucket, order_buckets, runs_at
+from sextant.llm.common import WIDE, bounded, by_bucket, having, order_buckets, runs_at
 
 BLOCK, SEGMENT, PERCENT, MAGIC = 256, 1 << 16, 95, b"PFR1"
 _HEAD = struct.Struct("<4sII")
@@ -177,14 +177,16 @@ def _chunks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def _encoder(path: str) -> Encoder:
-    """One for each Python worker, whose tasks follow one another."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+class _OfWorker:
+    """The encoder of a Python worker, made there when first asked for. As a broadcast it serves tasks that follow one another, and goes with the first task of another query."""
 
+    def __init__(self, path: str):
+        self.path = path
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        return Encoder(self.path)
 
-_ENCODERS: dict[str, Encoder] = {}
 
 FILE_SCHEMA = "bucket int, segment int, n_tokens long, doc_ids array<long>, doc_starts array<long>, payload binary"
 
@@ -198,9 +200,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, bucket
     """
     rows = docs.select("doc_id", "text")
     dealt, count = order_buckets(rows, "doc_id", "text", bucket_bytes)
+    own = docs.sparkSession.sparkContext.broadcast(_OfWorker(tokenizer))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, names = _encoder(tokenizer), ["bucket", "segment", "n_tokens", "doc_ids", "doc_starts", "payload"]
+        ids_of, names = own.value.encoder, ["bucket", "segment", "n_tokens", "doc_ids", "doc_starts", "payload"]
         end, held = np.array([end_id], dtype="<u4"), []
         state = {"bucket": None, "segment": 0, "length": 0}
 
@@ -229,7 +232,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, bucket
             yield close()
 
     ordered = by_bucket(dealt, count, F.col("doc_id").asc_nulls_first(), F.col("text"))
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.parquet(path)
+    with having(docs.sparkSession, WIDE):
+        ordered.mapInArrow(encode, FILE_SCHEMA).write.parquet(path)
+    own.unpersist()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """What the pipeline leaves on disk, and pairs of sets that need not be read."""
 
+import gc
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sextant.llm import mixing, set_join
-from sextant.llm.common import settle, shared_dir
+from sextant.llm import mixing, set_join, token_output
+from sextant.llm.common import WIDE, settle, shared_dir
+from sextant.llm.queries import tokenizer_path
 
 
 def shuffle_files(spark):
@@ -92,3 +95,28 @@ def test_mixture_moves_texts_once(spark):
     for r in mixing.mix(docs).collect():
         want[r.doc_id, r.source, r.size] += r.copies
     assert copies == +want
+
+
+def test_wide_rows_go_to_python_a_few_mb_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    texts = spark.range(6000).coalesce(1).select(F.repeat(F.lit("x"), 5000).alias("text"))
+    before = {key: spark.conf.get(key, None) for key in WIDE}
+    found = settle(texts.mapInArrow(sizes, "rows long, bytes long"), "test", wide=True).collect()
+    assert sum(r.rows for r in found) == 6000 and max(r.bytes for r in found) < 5 << 20
+    assert {key: spark.conf.get(key, None) for key in WIDE} == before
+
+
+def test_encoders_go_when_their_file_is_written(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"some text {k}") for k in range(20)], "doc_id long, text string")
+    token_output.write_tokens(docs, str(tmp_path / "tokens"), tokenizer_path(), end_id=1)
+    assert token_output.read_tokens(spark, str(tmp_path / "tokens")).count() == 20
+
+    def encoders(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, token_output.Encoder) for x in gc.get_objects())])], ["n"])
+
+    assert sum(r.n for r in spark.range(0, 8, 1, 8).mapInArrow(encoders, "n long").collect()) == 0
